@@ -77,11 +77,15 @@ class WordCache:
         if len(self.known) > self.limit:
             self.known = {}
         known, parts = self.known, [self.v.words(t) if t else [] for t in texts]
-        missing = list(set().union(*parts).difference(known)) if parts else []
-        if missing:
+        found = [list(map(known.get, p)) for p in parts]
+        short = [i for i, f in enumerate(found) if None in f]
+        if short:
+            missing = list({w for i in short for w, x in zip(parts[i], found[i], strict=True) if x is None})
             mark = SPACE if self.v.cuts else ""
             known.update(zip(missing, self.encode([mark + w for w in missing]), strict=True))
-        return [list(map(known.__getitem__, p)) for p in parts]
+            for i in short:
+                found[i] = list(map(known.__getitem__, parts[i]))
+        return found
 
 
 def merge_table(v: Vocabulary) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray, bool]:

@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewater.llm import token_counts, token_files, topk, transducer
+from tidewater.llm import chat, pii, quality, token_counts, token_files, topk, toxicity, transducer
 from tidewater.llm.common import new_path
 
 PIECES = "piece_bpe_32k.model"
 BYTES = "byte_bpe_50k.json"
+#: For the registered query only; users bring their own key.
+PII_KEY = b"tidewater example key"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +29,32 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _table(spark, sf_dir, "documents"), quality.fold(F.col("doc_id"), 4) == 2
+    network = quality.train(docs, _table(spark, sf_dir, "labels"), held_out)
+    return quality.quality_scores(docs, network).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    windows = chat.chat_windows(rows.unionByName(extra), public_tokenizers.path(PIECES), budget=2048, history=256)
+    return chat.window_digests(windows)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _table(spark, sf_dir, "documents"), quality.fold(F.col("doc_id"), 5) == 0
+    field = toxicity.train(docs, _table(spark, sf_dir, "labels"), held_out)
+    return toxicity.toxicity(docs, field).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "spans",
+    )
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_token_files(
         _table(spark, sf_dir, "documents"), new_path(spark, "token-files"), public_tokenizers.path(BYTES), end_id=0
@@ -37,11 +66,20 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), keep_ids=False)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return done.select("doc_id", F.size("pii").cast("long").alias("n_pii"), "pii", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_topk": op2_exact_topk,
+    "op3_quality": op3_quality,
+    "op5_chat_windows": op5_chat_windows,
+    "op7_toxicity": op7_toxicity,
     "op8_token_files": op8_token_files,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_pii": op10_pii,
 }
 
 ORACLE: dict[str, str] = {

@@ -10,6 +10,7 @@ starts without a pass through one task. Readers map the files into memory.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,6 +34,10 @@ from tidewater.llm.common import text_chunks, texts_of
 NO_ID = -(2**63)
 
 
+#: Letters, then marks: byte-level pre-tokenizers cut between them.
+MARKED = re.compile(r"^([^\W\d_]+)([.,;:!?&%$#*|]{1,3})$")
+
+
 class ByteEncoder:
     """Ids of texts by the tokenizers library, kept by space-led word.
 
@@ -53,37 +58,59 @@ class ByteEncoder:
             self.library.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and pre.use_regex
         )
         self.limit = limit
-        self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        vocabulary = sorted((i, t) for t, i in self.library.get_vocab().items())
+        self.leads = np.zeros(vocabulary[-1][0] + 1, bool)
+        self.leads[[i for i, t in vocabulary if t[:1] == "\u0120"]] = True  # how byte-level vocabularies write a space
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.width).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
-        if missing := list(words.difference(known)):
-            known.update(zip(missing, self._encode([lead + w for w in missing]), strict=True))
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with its leading space; many words go as one text, cut where ids begin with the space."""
+        joined = ["".join([" " + w for w in words[i : i + 256]]) for i in range(0, len(words), 256)]
+        ids = np.concatenate([np.array(e.ids, self.width) for e in self.library.encode_batch(joined, add_special_tokens=False)])
+        at, flat, size = np.flatnonzero(self.leads[ids]).tolist(), ids.tobytes(), self.width.itemsize
+        cuts = zip(at, [*at[1:], len(ids)], strict=True)
+        return [flat[a * size : b * size] for a, b in cuts]
+
+    def _learn(self, missing: list[str]) -> None:
+        """Add words to the cache; letters with marks behind them share the ids of the letters."""
+        rest, marked, plain = self.rest, [], []
+        for w in missing:
+            if m := MARKED.match(w):
+                marked.append((w, *m.groups()))
+            else:
+                plain.append(w)
+        plain += {stem for _, stem, _ in marked}.difference(rest, plain)
+        if plain:
+            rest.update(zip(plain, self._encode_words(plain), strict=True))
+        if new := list({tail for _, _, tail in marked}.difference(self.tails)):
+            self.tails.update(zip(new, self._encode(new), strict=True))
+        for w, stem, tail in marked:
+            rest[w] = rest[stem] + self.tails[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of the width."""
         if len(self.rest) > self.limit:
             self.rest = {}
-        if len(self.first) > self.limit:
-            self.first = {}
-        simple = self.by_word
-        alone = [
-            i for i, t in enumerate(texts)
-            if not simple or "  " in t or t[:1] == " " or t[-1:] == " " or any(s in t for s in self.special)
-        ]
-        parts = [None if not simple else t.split(" ") for t in texts]
-        for i in alone:
-            parts[i] = None
-        self._learn(self.first, {p[0] for p in parts if p}, "")
-        self._learn(self.rest, set().union(*(p[1:] for p in parts if p)), " ")
-        out = [self.first[p[0]] + b"".join(map(self.rest.__getitem__, p[1:])) if p else b"" for p in parts]
-        if alone:
-            for i, ids in zip(alone, self._encode([texts[i] for i in alone]), strict=True):
-                out[i] = ids
-        return out
+        rest, simple = self.rest, self.by_word
+        parts = [
+            t.split(" ") if simple and "  " not in t and t[:1] != " " and t[-1:] != " " and not any(s in t for s in self.special)
+            else None
+            for t in texts
+        ]
+        found = [list(map(rest.get, p[1:])) if p else None for p in parts]
+        short = [i for i, f in enumerate(found) if f and None in f]
+        if short:
+            missing = list({w for i in short for w, x in zip(parts[i][1:], found[i], strict=True) if x is None})
+            self._learn(missing)
+            for i in short:
+                found[i] = list(map(rest.__getitem__, parts[i][1:]))
+        # First words, and texts that are not plain, as they stand.
+        heads = self._encode([p[0] if p else t for p, t in zip(parts, texts, strict=True)])
+        return [h + b"".join(f) if f else h for h, f in zip(heads, found, strict=True)]
 
 
 @lru_cache(maxsize=1)
