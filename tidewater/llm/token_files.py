@@ -10,7 +10,6 @@ starts without a pass through one task. Readers map the files into memory.
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,10 +33,6 @@ from tidewater.llm.common import text_chunks, texts_of
 NO_ID = -(2**63)
 
 
-#: Letters, then marks: byte-level pre-tokenizers cut between them.
-MARKED = re.compile(r"^([^\W\d_]+)([.,;:!?&%$#*|]{1,3})$")
-
-
 class ByteEncoder:
     """Ids of texts by the tokenizers library, kept by space-led word.
 
@@ -59,7 +54,6 @@ class ByteEncoder:
         )
         self.limit = limit
         self.rest: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
         vocabulary = sorted((i, t) for t, i in self.library.get_vocab().items())
         self.leads = np.zeros(vocabulary[-1][0] + 1, bool)
         self.leads[[i for i, t in vocabulary if t[:1] == "\u0120"]] = True  # how byte-level vocabularies write a space
@@ -75,22 +69,6 @@ class ByteEncoder:
         cuts = zip(at, [*at[1:], len(ids)], strict=True)
         return [flat[a * size : b * size] for a, b in cuts]
 
-    def _learn(self, missing: list[str]) -> None:
-        """Add words to the cache; letters with marks behind them share the ids of the letters."""
-        rest, marked, plain = self.rest, [], []
-        for w in missing:
-            if m := MARKED.match(w):
-                marked.append((w, *m.groups()))
-            else:
-                plain.append(w)
-        plain += {stem for _, stem, _ in marked}.difference(rest, plain)
-        if plain:
-            rest.update(zip(plain, self._encode_words(plain), strict=True))
-        if new := list({tail for _, _, tail in marked}.difference(self.tails)):
-            self.tails.update(zip(new, self._encode(new), strict=True))
-        for w, stem, tail in marked:
-            rest[w] = rest[stem] + self.tails[tail]
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of the width."""
         if len(self.rest) > self.limit:
@@ -105,7 +83,7 @@ class ByteEncoder:
         short = [i for i, f in enumerate(found) if f and None in f]
         if short:
             missing = list({w for i in short for w, x in zip(parts[i][1:], found[i], strict=True) if x is None})
-            self._learn(missing)
+            rest.update(zip(missing, self._encode_words(missing), strict=True))
             for i in short:
                 found[i] = list(map(rest.__getitem__, parts[i][1:]))
         # First words, and texts that are not plain, as they stand.
