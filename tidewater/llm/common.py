@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,3 +79,30 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def trimmed(known: dict[str, object], limit: int) -> dict[str, object]:
+    """``known``, or beyond ``limit`` words the shorter half of it, which texts use most."""
+    if len(known) <= limit:
+        return known
+    size = int(np.median([len(w) for w in known]))
+    return {w: x for w, x in known.items() if len(w) < size}
+
+
+def fill_missing(parts: list[list[str]], found: list[list], known: dict, learn: Callable[[list[str]], list]) -> None:
+    """Put the results of words that ``known`` lacked (None in ``found``) in place, learning each word once."""
+    at, missing = [], {}
+    for words, got in zip(parts, found, strict=True):
+        j = -1
+        try:
+            while True:
+                j = got.index(None, j + 1)
+                at.append((got, j, words[j]))
+                missing[words[j]] = None
+        except ValueError:
+            continue
+    if missing:
+        words = list(missing)
+        known.update(zip(words, learn(words), strict=True))
+        for got, j, w in at:
+            got[j] = known[w]

@@ -14,6 +14,8 @@ import numpy as np
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as pb
 
+from tidewater.llm.common import fill_missing, trimmed
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -65,7 +67,7 @@ class Vocabulary:
 class WordCache:
     """Results of ``encode`` for distinct words, for all texts that a worker sees.
 
-    Holds ``limit`` words at most: beyond that it starts afresh.
+    Holds ``limit`` words at most: beyond that the longer ones go.
     """
 
     def __init__(self, vocabulary: Vocabulary, encode: Callable[[list[str]], list], limit: int = 1_000_000):
@@ -74,17 +76,11 @@ class WordCache:
 
     def of(self, texts: list[str]) -> list[list]:
         """For each text, the results of its words in order."""
-        if len(self.known) > self.limit:
-            self.known = {}
+        self.known = trimmed(self.known, self.limit)
         known, parts = self.known, [self.v.words(t) if t else [] for t in texts]
         found = [list(map(known.get, p)) for p in parts]
-        short = [i for i, f in enumerate(found) if None in f]
-        if short:
-            missing = list({w for i in short for w, x in zip(parts[i], found[i], strict=True) if x is None})
-            mark = SPACE if self.v.cuts else ""
-            known.update(zip(missing, self.encode([mark + w for w in missing]), strict=True))
-            for i in short:
-                found[i] = list(map(known.__getitem__, parts[i]))
+        mark = SPACE if self.v.cuts else ""
+        fill_missing(parts, found, known, lambda words: self.encode([mark + w for w in words]))
         return found
 
 

@@ -24,10 +24,9 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewater.llm.common import text_chunks, texts_of
+from tidewater.llm.common import fill_missing, text_chunks, texts_of, trimmed
 
 #: doc_id of a row without one, in the files.
 NO_ID = -(2**63)
@@ -71,21 +70,16 @@ class ByteEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of the width."""
-        if len(self.rest) > self.limit:
-            self.rest = {}
+        self.rest = trimmed(self.rest, self.limit)
         rest, simple = self.rest, self.by_word
         parts = [
             t.split(" ") if simple and "  " not in t and t[:1] != " " and t[-1:] != " " and not any(s in t for s in self.special)
             else None
             for t in texts
         ]
-        found = [list(map(rest.get, p[1:])) if p else None for p in parts]
-        short = [i for i, f in enumerate(found) if f and None in f]
-        if short:
-            missing = list({w for i in short for w, x in zip(parts[i][1:], found[i], strict=True) if x is None})
-            rest.update(zip(missing, self._encode_words(missing), strict=True))
-            for i in short:
-                found[i] = list(map(rest.__getitem__, parts[i][1:]))
+        words = [p[1:] if p else [] for p in parts]
+        found = [list(map(rest.get, w)) for w in words]
+        fill_missing(words, found, rest, self._encode_words)
         # First words, and texts that are not plain, as they stand.
         heads = self._encode([p[0] if p else t for p, t in zip(parts, texts, strict=True)])
         return [h + b"".join(f) if f else h for h, f in zip(heads, found, strict=True)]
@@ -204,4 +198,4 @@ def read_token_files(spark: SparkSession, files: TokenFiles, with_ids: bool = Fa
 
     manifest = [(s.stem, s.base) for s in files.shards]
     table = spark.createDataFrame(manifest, "stem string, base long")
-    return table.repartition(max(1, len(manifest)), F.col("stem")).mapInPandas(run, schema)
+    return table.repartition(max(1, len(manifest)), "stem").mapInPandas(run, schema)
