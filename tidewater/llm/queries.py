@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import chat, pii, quality, token_counts, token_files, topk, toxicity, transducer
+from tidewater.llm import chat, jaccard, pii, quality, token_counts, token_files, topk, toxicity, transducer
 from tidewater.llm.common import new_path
 
 PIECES = "piece_bpe_32k.model"
@@ -46,6 +46,10 @@ def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.window_digests(windows)
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), percent=75, size=5)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = _table(spark, sf_dir, "documents"), quality.fold(F.col("doc_id"), 5) == 0
     field = toxicity.train(docs, _table(spark, sf_dir, "labels"), held_out)
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_topk": op2_exact_topk,
     "op3_quality": op3_quality,
     "op5_chat_windows": op5_chat_windows,
+    "op6_jaccard": op6_jaccard,
     "op7_toxicity": op7_toxicity,
     "op8_token_files": op8_token_files,
     "op9_sentencepiece": op9_sentencepiece,
@@ -83,6 +88,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op6_jaccard": """
+        WITH RECURSIVE d AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), s AS (
+          SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS items
+          FROM d
+        ), c AS (SELECT items, min(doc_id) AS v FROM (SELECT doc_id, list_sort(items) AS items FROM s WHERE len(items) > 0) GROUP BY items),
+        e AS (SELECT v, len(items) AS n, unnest(items) AS item FROM c),
+        r AS (SELECT item FROM e GROUP BY item HAVING count(*) > 1),
+        p AS (
+          SELECT a.v AS a, b.v AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k
+          FROM e a JOIN r USING (item) JOIN e b USING (item) WHERE a.v <> b.v GROUP BY a.v, b.v
+        ), l AS (SELECT a, b FROM p WHERE 100 * k >= 75 * (na + nb - k)),
+        reach(v, u) AS (SELECT v, v FROM c UNION SELECT reach.v, l.b FROM reach JOIN l ON l.a = reach.u),
+        m AS (SELECT v, min(u) AS u FROM reach GROUP BY v)
+        SELECT s.doc_id, len(s.items) AS n_shingles, coalesce(m.u, s.doc_id) AS component_id
+        FROM s LEFT JOIN c ON list_sort(s.items) = c.items LEFT JOIN m ON m.v = c.v""",
     "op2_exact_topk": """
         WITH e AS (
           SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
