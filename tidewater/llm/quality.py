@@ -183,7 +183,7 @@ def train(documents: DataFrame, labels: DataFrame, held_out: Column | None = Non
     n_known, n_docs = known.count(), docs.count()
     draw = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1_000_000))
     share = lambda n: F.lit(1_000_000 * min(1.0, bound / max(n, 1)))
-    trusted = docs.join(known.where(draw < share(n_known)), "doc_id", "left_semi")
+    trusted = docs.join(F.broadcast(known.where(draw < share(n_known))), "doc_id", "left_semi")
     web = docs.where(draw < share(n_docs))
     read = lambda df: np.array([np.frombuffer(r.x, np.float32) for r in _featured(df).collect()]).reshape(-1, FEATURES)
     del spark

@@ -202,7 +202,8 @@ def train(documents: DataFrame, labels: DataFrame, held_out: Column | None = Non
     draw = F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1_000_000))
     share = lambda t: 1_000_000 * min(1.0, bound / 2 / max(count.get(t, 0), 1))
     drawn = known.where(draw < F.when(F.col("toxic") == 1, share(1)).otherwise(share(0)))
-    rows = documents.select("doc_id", "text").join(drawn, "doc_id").where(F.length("text") > 0).collect()
+    # About ``bound`` narrow rows: sent to the documents instead of shuffling these.
+    rows = documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").where(F.length("text") > 0).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
     # Copies would make every word of theirs look telling.
     rows = [rows[i] for i in without_copies([r.text for r in rows])]
