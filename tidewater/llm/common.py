@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text processed at once inside a task, in bytes; bounds numpy temporaries.
 CHUNK_BYTES = 2 << 20
@@ -106,3 +108,22 @@ def fill_missing(parts: list[list[str]], found: list[list], known: dict, learn:
         known.update(zip(words, learn(words), strict=True))
         for got, j, w in at:
             got[j] = known[w]
+
+
+def appended(df: DataFrame, fields: list[tuple[str, pa.DataType, T.DataType]], make: Callable[[pa.RecordBatch], list]) -> DataFrame:
+    """``df`` with columns that ``make`` computes from slices of its rows, as lists or arrays.
+
+    A column of ``df`` with one of the new names is overwritten; all others pass
+    unread. ``df`` needs a column text.
+    """
+    new = [n for n, _, _ in fields]
+    source = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in new])
+    schema = T.StructType([*source.schema, *(T.StructField(n, t) for n, _, t in fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_chunks(batch):
+                made = [pa.array(v, t) for v, (_, t, _) in zip(make(part), fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, *new])
+
+    return source.mapInArrow(run, schema)

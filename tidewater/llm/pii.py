@@ -10,7 +10,7 @@ who has the key can restore the text.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from datetime import date
 from functools import lru_cache
 from hashlib import blake2b
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import text_chunks, texts_of
+from tidewater.llm.common import appended, texts_of
 
 ROUNDS = 10
 KINDS = ("email", "phone", "card", "ip", "date", "iban", "ssn", "secret")
@@ -234,22 +234,18 @@ def pseudonymise(documents: DataFrame, key: bytes, restore: bool = False) -> Dat
     Values that only look private (a false check digit, the 31st of February)
     stay. Narrow: no shuffle and no table of values.
     """
-    names = [c for c in documents.columns if c != "pii"]
-    source = documents.select(*[F.col(f"`{c}`") for c in names])
-    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    new = "_pseudonymised"
+    arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    one = T.StructType().add("kind", T.StringType()).add("start", T.LongType()).add("end", T.LongType())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def replace(part: pa.RecordBatch) -> list:
         p = pseudonymiser(key)
-        for batch in batches:
-            for part in text_chunks(batch):
-                at = part.schema.get_field_index("text")
-                absent = part.column(at).is_null().to_pylist()
-                done = [p.apply(t, restore) for t in texts_of(part)]
-                columns = list(part.columns)
-                columns[at] = pa.array([None if a else t for a, (t, _) in zip(absent, done, strict=True)], pa.string())
-                found = [[{"kind": k, "start": a, "end": b} for k, a, b in s] for _, s in done]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, span)], [*part.schema.names, "pii"])
+        done = [p.apply(t, restore) for t in texts_of(part)]
+        absent = part.column(part.schema.get_field_index("text")).is_null().to_pylist()
+        found = [[{"kind": k, "start": a, "end": b} for k, a, b in s] for _, s in done]
+        return [[None if a else t for a, (t, _) in zip(absent, done, strict=True)], found]
 
-    one = T.StructType().add("kind", T.StringType()).add("start", T.LongType()).add("end", T.LongType())
-    schema = T.StructType(list(source.schema)).add("pii", T.ArrayType(one))
-    return source.mapInArrow(run, schema)
+    fields = [(new, pa.string(), T.StringType()), ("pii", arrow, T.ArrayType(one))]
+    out = appended(documents, fields, replace)
+    names = [c for c in documents.columns if c != "pii"]
+    return out.select(*[F.col(new).alias(c) if c == "text" else F.col(f"`{c}`") for c in names], "pii")

@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewater.llm.common import text_chunks
+from tidewater.llm.common import appended, text_chunks
 
 #: Byte classes: lower, upper, digit, space, line end, sentence marks, inner marks, other ASCII, lead and tail bytes.
 CLASSES = 10
@@ -176,7 +177,6 @@ def train(documents: DataFrame, labels: DataFrame, held_out: Column | None = Non
     label. Without positives, or without documents, the network scores every text
     by the prior 0.5.
     """
-    spark = documents.sparkSession
     docs = documents.select("doc_id", "text")
     out = F.coalesce(held_out, F.lit(False)) if held_out is not None else F.lit(False)
     known = labels.select("doc_id", "quality").where((F.col("quality") == 1) & ~out).select("doc_id").distinct()
@@ -186,28 +186,23 @@ def train(documents: DataFrame, labels: DataFrame, held_out: Column | None = Non
     trusted = docs.join(F.broadcast(known.where(draw < share(n_known))), "doc_id", "left_semi")
     web = docs.where(draw < share(n_docs))
     read = lambda df: np.array([np.frombuffer(r.x, np.float32) for r in _featured(df).collect()]).reshape(-1, FEATURES)
-    del spark
     p, u = read(trusted), read(web)
     if not len(p) or not len(u):
         return Network(np.zeros(FEATURES), np.ones(FEATURES), np.zeros((FEATURES, 1)), np.zeros(1), np.zeros(1), 0.0, 0.5)
     return fit_network(p.astype(float), u.astype(float))
 
 
-def quality_scores(documents: DataFrame, network: Network) -> DataFrame:
-    """Score every whole text from 0 to 1: doc_id, score.
+def scored(documents: DataFrame, network: Network, column: str = "score") -> DataFrame:
+    """``documents`` with the score of every whole text, from 0 to 1, in one more column.
 
     Inputs of a score are the text's bytes alone. A null text counts as empty and
-    gets the score of an empty one; a null doc_id stays null; repeated rows get
-    equal scores; an empty table gives none; other columns are left alone,
-    whatever their names. Narrow: no shuffle; the network (some 3000 numbers)
-    travels with the tasks.
+    gets the score of an empty one; repeated rows get equal scores; an empty table
+    stays empty; a column of that name is overwritten, all others pass as they are.
+    Narrow: no shuffle; the network (some 2000 numbers) travels with the tasks.
     """
-    kind = dict(documents.dtypes)["doc_id"]
+    return appended(documents, [(column, pa.float64(), T.DoubleType())], lambda part: [network.scores(features(_text_bytes(part)))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_chunks(batch):
-                s = network.scores(features(_text_bytes(part)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+def quality_scores(documents: DataFrame, network: Network) -> DataFrame:
+    """doc_id (null stays null) and score of every row; see :func:`scored`."""
+    return scored(documents.select("doc_id", "text"), network).select("doc_id", "score")

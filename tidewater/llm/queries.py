@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import chat, jaccard, pii, quality, token_counts, token_files, topk, toxicity, transducer
+from tidewater.llm import chat, decontaminate, jaccard, pii, quality, token_counts, token_files, topk, toxicity, transducer
 from tidewater.llm.common import new_path
 
 PIECES = "piece_bpe_32k.model"
@@ -38,6 +38,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", F.size("items").cast("long").alias("n_items"), "items")
+
+
 def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_topk": op2_exact_topk,
     "op3_quality": op3_quality,
+    "op4_decontamination": op4_decontamination,
     "op5_chat_windows": op5_chat_windows,
     "op6_jaccard": op6_jaccard,
     "op7_toxicity": op7_toxicity,
