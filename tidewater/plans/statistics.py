@@ -50,18 +50,18 @@ def channel_load_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, "coverage", "contact_share", "cv", digits=6)
 
 
-@query("""WITH {samples} SELECT k, ch, count(*) AS total, count(v) AS known, round(avg(v), 4) AS mean, min(v) AS min, max(v) AS max,
-round(quantile_cont(v, 0.25), 4) AS p25, round(quantile_cont(v, 0.5), 4) AS median, round(quantile_cont(v, 0.75), 4) AS p75 FROM s GROUP BY k, ch""")
+@query("""WITH {samples} SELECT k, ch, count(*) AS total, count(v) AS known, round(avg(v), 8) AS mean, min(v) AS min, max(v) AS max,
+round(quantile_cont(v, 0.25), 8) AS p25, round(quantile_cont(v, 0.5), 8) AS median, round(quantile_cont(v, 0.75), 8) AS p75 FROM s GROUP BY k, ch""")
 def episode_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(aggregates.distribution(samples(spark, sf_dir), ["k", "ch"], "v"), "mean", "p25", "median", "p75")
+    return rounded(aggregates.distribution(samples(spark, sf_dir), ["k", "ch"], "v"), "mean", "p25", "median", "p75", digits=8)
 
 
 @query("""WITH {samples}, e AS (SELECT k, avg(v) AS m FROM s GROUP BY k)
-SELECT count(*) AS total, count(m) AS known, round(avg(m), 4) AS mean, round(min(m), 4) AS min, round(max(m), 4) AS max,
-round(quantile_cont(m, 0.25), 4) AS p25, round(quantile_cont(m, 0.5), 4) AS median, round(quantile_cont(m, 0.75), 4) AS p75 FROM e""")
+SELECT count(*) AS total, count(m) AS known, round(avg(m), 8) AS mean, round(min(m), 8) AS min, round(max(m), 8) AS max,
+round(quantile_cont(m, 0.25), 8) AS p25, round(quantile_cont(m, 0.5), 8) AS median, round(quantile_cont(m, 0.75), 8) AS p75 FROM e""")
 def episode_first_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = samples(spark, sf_dir).groupBy("k").agg(F.avg("v").alias("m"))
-    return rounded(aggregates.distribution(each, [], "m"), "mean", "min", "max", "p25", "median", "p75")
+    return rounded(aggregates.distribution(each, [], "m"), "mean", "min", "max", "p25", "median", "p75", digits=8)
 
 
 @query("""WITH {samples}, m AS (SELECT ch, quantile_cont(v, 0.5) AS median FROM s GROUP BY ch)
@@ -85,14 +85,14 @@ def rank_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {{samples}}, h AS (SELECT k, t // {24 * HOUR} AS h, avg(v) FILTER (ch = 'click') AS a, avg(v) FILTER (ch = 'view') AS b FROM s GROUP BY ALL)
-SELECT k, count(*) AS pairs, round(CASE WHEN stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END, 4) AS corr, round(sqrt(avg((a - b) * (a - b))), 4) AS rms, round(avg(a - b), 4) AS bias
+SELECT k, count(*) AS pairs, round(CASE WHEN stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END, 4) AS corr, round(sqrt(avg((a - b) * (a - b))), 4) AS rms, round(avg(a - b), 8) AS bias
 FROM h WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY k""")
 def stream_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.floor(F.col("t") / (24 * HOUR)).cast("long")
     mean = lambda c: F.avg(F.when(F.col("ch") == c, F.col("v")))
     h = samples(spark, sf_dir).groupBy("k", day.alias("h")).agg(mean("click").alias("a"), mean("view").alias("b"))
     out = aggregates.agreement(h, K, "a", "b").withColumn("corr", F.when(~F.isnan("corr"), F.col("corr")))
-    return rounded(out, "corr", "rms", "bias")
+    return rounded(rounded(out, "corr", "rms"), "bias", digits=8)
 
 
 @query("""WITH {samples}, x AS (SELECT k, ch, sum(v) AS load FROM s GROUP BY k, ch)
