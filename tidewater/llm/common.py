@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text processed at once inside a task, in bytes; bounds numpy temporaries.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+_CACHES: list = []
+
+
+def per_worker(build: Callable) -> Callable:
+    """Keep the last result of ``build`` for all tasks of a Python worker, until another operator's turn."""
+    cached = lru_cache(maxsize=1)(build)
+    _CACHES.append(cached)
+
+    @wraps(build)
+    def get(*args):
+        release(cached)
+        return cached(*args)
+
+    return get
+
+
+def release(keep: Callable | None = None) -> None:
+    """Drop what other operators keep in this worker, which outlives its stage."""
+    full = [c for c in _CACHES if c is not keep and c.cache_info().currsize]
+    for c in full:
+        c.cache_clear()
+    if full:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -121,6 +147,7 @@ def appended(df: DataFrame, fields: list[tuple[str, pa.DataType, T.DataType]], m
     schema = T.StructType([*source.schema, *(T.StructField(n, t) for n, _, t in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in text_chunks(batch):
                 made = [pa.array(v, t) for v, (_, t, _) in zip(make(part), fields, strict=True)]

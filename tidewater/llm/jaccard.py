@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import discard, mix64, stash, text_chunks
+from tidewater.llm.common import discard, mix64, release, stash, text_chunks
 from tidewater.llm.components import components
 from tidewater.llm.shingles import set_id, shingle_sets
 
@@ -58,6 +58,7 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    release()
     for part in text_chunks(batch):
         text = part.column(part.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
         yield part, list(shingle_sets([t or b"" for t in text], size))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import appended, text_chunks
+from tidewater.llm.common import appended, release, text_chunks
 
 #: Byte classes: lower, upper, digit, space, line end, sentence marks, inner marks, other ASCII, lead and tail bytes.
 CLASSES = 10
@@ -156,6 +156,7 @@ def _text_bytes(part: pa.RecordBatch) -> list[bytes]:
 
 def _featured(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in text_chunks(batch):
                 x = features(_text_bytes(part))

@@ -10,7 +10,6 @@ each UTF-8 byte of an unknown one (byte fallback).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import text_chunks, texts_of
+from tidewater.llm.common import per_worker, text_chunks, texts_of
 from tidewater.llm.pieces import Vocabulary, WordCache, merge_table
 
 NONE = np.iinfo(np.int64).max
@@ -87,7 +86,7 @@ class RankMerger:
         return counts.tolist()
 
 
-@lru_cache(maxsize=1)
+@per_worker
 def counter(model: bytes) -> WordCache:
     """A word cache that counts tokens; a worker builds it once for all its tasks."""
     v = Vocabulary(model)
@@ -108,7 +107,7 @@ def token_counts(documents: DataFrame, model_path: str, limit: int = 4096) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = counter(model)
         for batch in batches:
-            for part in text_chunks(batch):
+            for part in text_chunks(batch, 2 << 20):
                 texts = texts_of(part)
                 counts = [sum(x) for x in cache.of(texts)]
                 size = [len(t.encode()) for t in texts]

@@ -14,7 +14,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import accumulate
 from pathlib import Path
 
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from tidewater.llm.common import fill_missing, text_chunks, texts_of, trimmed
+from tidewater.llm.common import fill_missing, per_worker, text_chunks, texts_of, trimmed
 
 #: doc_id of a row without one, in the files.
 NO_ID = -(2**63)
@@ -85,7 +84,7 @@ class ByteEncoder:
         return [h + b"".join(f) if f else h for h, f in zip(heads, found, strict=True)]
 
 
-@lru_cache(maxsize=1)
+@per_worker
 def encoder(spec: str) -> ByteEncoder:
     """The encoder of a worker, for all its tasks."""
     return ByteEncoder(spec)
@@ -133,7 +132,7 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer_path: str, en
         fs, root = pafs.FileSystem.from_uri(folder)
         end, doc_ids, ends, out, total = np.array([end_id], e.width).tobytes(), [], [], None, 0
         for batch in batches:
-            for part in text_chunks(batch):
+            for part in text_chunks(batch, 2 << 20):
                 if out is None:
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(f"{root}/ids-{stem}.bin")

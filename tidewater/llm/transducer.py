@@ -16,13 +16,12 @@ import math
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewater.llm.common import text_chunks, texts_of
+from tidewater.llm.common import per_worker, text_chunks, texts_of
 from tidewater.llm.pieces import SPACE, Vocabulary, WordCache
 
 #: Ids are kept as unsigned 32-bit integers.
@@ -132,11 +131,11 @@ class Transducer:
         return text[1:] if self.v.prefix and text[:1] == " " else text
 
 
-@lru_cache(maxsize=1)
+@per_worker
 def compiled(model: bytes) -> tuple[Transducer, WordCache]:
     """The transducer and its cache of words; a worker compiles it once."""
     t = Transducer(model)
-    return t, WordCache(t.v, t.all)
+    return t, WordCache(t.v, t.all, limit=500_000)
 
 
 def encode_decode(documents: DataFrame, model_path: str, keep_ids: bool = True, keep_text: bool = False) -> DataFrame:
