@@ -2,8 +2,10 @@
 
 Two tags, clean and toxic. Tokens of training texts are labelled: toxic where the
 text is labelled toxic and the word is far likelier in toxic texts than in others,
-else clean. The field has a weight for each learnt word and tag, tag biases and tag
-transitions, fitted by gradient ascent on the conditional likelihood. Scoring runs
+else clean. A word's feature is the word itself or one of its beginnings (inflected and
+compound forms share these), whichever tells most. The field has a weight for each
+learnt feature and tag, tag biases and tag transitions, fitted by gradient ascent on
+the conditional likelihood. Scoring runs
 forward-backward over the whole text. Words without weights all share one factor,
 so a run of k of them is one matrix power; the recursions visit only words with
 weights and stay exact. Marginals give the offending offsets, and a logistic link
@@ -12,6 +14,7 @@ over them, fitted on the same training texts, the document's score.
 
 from __future__ import annotations
 
+import dataclasses
 import re
 import zlib
 from collections import Counter
@@ -26,18 +29,35 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import text_chunks, texts_of
 
 WORD = re.compile(r"\w+")
+#: Letters of the shortest and of the longest beginning that is a feature.
+HEAD, LONGEST = 4, 8
+#: What a feature must tell for its words to count as toxic in toxic texts.
+TOXIC_EVIDENCE = 24.0
+
+
+def parts(word: str) -> list[str]:
+    """The feature names of a word: itself, and its beginnings with a star."""
+    return [word, *(word[:k] + "*" for k in range(HEAD, min(LONGEST, len(word) - 1) + 1))]
+
+
+def lowered(text: str) -> list[str]:
+    """The lower-cased words of a text, one for each word of the text as it stands."""
+    low = text.lower()
+    return WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
 
 
 @dataclass(frozen=True)
 class Field:
-    """A fitted field: word weights by tag, bias, transitions, and the document link."""
+    """A fitted field: feature weights by tag, bias, transitions, the document link, and how much each feature tells."""
 
     weights: dict[str, float]
     bias: float
     transition: np.ndarray
     link: np.ndarray
+    evidence: dict[str, float] = dataclasses.field(default_factory=dict)
 
     def __post_init__(self):
+        object.__setattr__(self, "_heads", {f[:HEAD] for f in self.weights})
         # Psi[a, b]: going from tag a to tag b at a word without a weight of its own.
         psi = np.exp(self.transition + np.array([0.0, self.bias]))
         values, vectors = np.linalg.eig(psi / psi.sum())
@@ -71,19 +91,30 @@ class Field:
         p = fore * back
         return p[:, 1] / p.sum(1)
 
-    def link_inputs(self, marginals: np.ndarray) -> np.ndarray:
-        """What the document link reads: a constant, the highest marginal and their damped sum."""
+    def features(self, words: list[str]) -> tuple[list[int], list[str]]:
+        """The places of words that have a feature with a weight, and the most telling one of each."""
+        at, names, heads = [], [], self._heads
+        for i, w in enumerate(words):
+            if w[:HEAD] in heads:
+                known = [p for p in parts(w) if p in self.weights]
+                if known:
+                    at.append(i)
+                    names.append(max(known, key=lambda p: self.evidence.get(p, 0.0)))
+        return at, names
+
+    def link_inputs(self, marginals: np.ndarray, n: int) -> np.ndarray:
+        """What the document link reads: a constant, the highest marginal, their damped sum and density in n words."""
         if not len(marginals):
-            return np.array([1.0, 0.0, 0.0])
-        return np.array([1.0, marginals.max(), np.log1p(marginals.sum())])
+            return np.array([1.0, 0.0, 0.0, 0.0])
+        total = marginals.sum()
+        return np.array([1.0, marginals.max(), np.log1p(total), np.log1p(200 * total / (n + 50))])
 
     def read(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """Score of a text, and (start, end, marginal) of its toxic words."""
-        words = WORD.findall(text.lower())
-        weights = self.weights
-        at = [i for i, w in enumerate(words) if w in weights]
-        m = self.marginals(at, [weights[words[i]] for i in at], len(words)) if at else np.zeros(0)
-        score = 1 / (1 + np.exp(-np.clip(self.link_inputs(m) @ self.link, -30, 30)))
+        words = lowered(text)
+        at, names = self.features(words)
+        m = self.marginals(at, [self.weights[f] for f in names], len(words)) if at else np.zeros(0)
+        score = 1 / (1 + np.exp(-np.clip(self.link_inputs(m, len(words)) @ self.link, -30, 30)))
         spans = []
         if (m > 0.5).any():
             hot = {i: float(x) for i, x in zip(at, m, strict=True) if x > 0.5}
@@ -91,24 +122,24 @@ class Field:
         return float(score), spans
 
 
-def tag_words(texts: list[list[str]], toxic: list[bool], evidence: float = 24.0) -> set[str]:
-    """Words that count as toxic in toxic texts.
+def telling(texts: list[list[str]], toxic: list[bool], least: float) -> dict[str, float]:
+    """Features that tell toxic texts from clean ones, and by how much.
 
     Their odds there are above e^1.5 times those in clean texts, and twice the log
-    likelihood ratio against equal odds is above ``evidence``.
+    likelihood ratio against equal odds, which is the evidence, is above ``least``.
     """
     bad, good = Counter(), Counter()
     for words, t in zip(texts, toxic, strict=True):
-        (bad if t else good).update(set(words))
+        (bad if t else good).update({p for w in set(words) for p in parts(w)})
     n1, n0 = sum(toxic), len(toxic) - sum(toxic)
-    base, out = n1 / max(1, n1 + n0), set()
-    for w, c in bad.items():
+    base, out = n1 / max(1, n1 + n0), {}
+    for f, c in bad.items():
         if c < 3 or not n0:
             continue
-        g, share = good[w], c / (c + good[w])
+        g, share = good[f], c / (c + good[f])
         ratio = 2 * (c * np.log(share / base) + (g * np.log((1 - share) / (1 - base)) if g else 0.0))
-        if (c / n1) / ((g + 0.1) / n0) > np.exp(1.5) and ratio > evidence:
-            out.add(w)
+        if (c / n1) / ((g + 0.1) / n0) > np.exp(1.5) and ratio > least:
+            out[f] = float(ratio)
     return out
 
 
@@ -116,7 +147,7 @@ def without_copies(texts: list[str], most: float = 0.3) -> list[int]:
     """Places of the texts that do not repeat others: under ``most`` of a sample of their 5-word runs came before."""
     seen, keep = set(), []
     for i, t in enumerate(texts):
-        words = WORD.findall(t.lower())
+        words = lowered(t)
         runs = {zlib.crc32(" ".join(words[j : j + 5]).encode()) for j in range(max(1, len(words) - 4))}
         runs = {r for r in runs if r % 8 == 0} or runs
         if len(runs & seen) <= most * len(runs):
@@ -128,22 +159,25 @@ def without_copies(texts: list[str], most: float = 0.3) -> list[int]:
 def fit_field(texts: list[str], toxic: list[bool], share: float | None = None, rounds: int = 30, rate: float = 0.5) -> Field:
     """Label tokens, then fit the field and the link.
 
-    Words with evidence of a third of what a toxic label takes have weights; all
-    others share the plain factor. Gradients are observed minus expected counts,
+    Features with evidence of a third of what a toxic label takes have weights; all
+    other words share the plain factor. Gradients are observed minus expected counts,
     the latter from forward-backward. ``share`` is that of toxic texts among all
     labelled ones, if the given texts hold more of them; the link answers to it.
     """
-    words = [WORD.findall(t.lower()) for t in texts]
+    words = [lowered(t) for t in texts]
     if not any(toxic):
-        return Field({}, 0.0, np.array([[2.0, -2.0], [0.0, 0.0]]), np.array([-5.0, 0.0, 0.0]))
-    bad = tag_words(words, toxic)
-    # Words as usual in clean texts as in toxic ones carry no evidence and stay plain.
-    weights = dict.fromkeys(tag_words(words, toxic, 8.0), 0.0)
+        return Field({}, 0.0, np.array([[2.0, -2.0], [0.0, 0.0]]), np.array([-5.0, 0.0, 0.0, 0.0]))
+    # Features as usual in clean texts as in toxic ones carry no evidence and stay plain.
+    evidence = telling(words, toxic, TOXIC_EVIDENCE / 3)
+    weights = dict.fromkeys(evidence, 0.0)
+    chooser = Field(weights, 0.0, np.zeros((2, 2)), np.zeros(4), evidence)
+    found = [chooser.features(ws) for ws in words]
+    weights = dict.fromkeys(sorted({f for _, names in found for f in names}), 0.0)
+    evidence = {f: evidence[f] for f in weights}
     chains = []
-    for ws, t in zip(words, toxic, strict=True):
-        at = [i for i, w in enumerate(ws) if w in weights]
+    for ws, t, (at, names) in zip(words, toxic, found, strict=True):
         if at:
-            chains.append((at, [ws[i] for i in at], np.array([float(t and ws[i] in bad) for i in at]), len(ws)))
+            chains.append((at, names, np.array([float(t and evidence[f] > TOXIC_EVIDENCE) for f in names]), len(ws)))
     # Transitions and bias by counting (with one added): plain words are clean throughout.
     stay = 1.0 + sum(len(ws) for ws in words)
     hits = 1.0 + sum(float(y.sum()) for _, _, y, _ in chains)
@@ -152,7 +186,7 @@ def fit_field(texts: list[str], toxic: list[bool], share: float | None = None, r
     )
     transition = np.log(np.array([[stay / (stay + hits), hits / (stay + hits)], [hits / (hits + runs), runs / (hits + runs)]]))
     step = dict.fromkeys(weights, 1e-6)
-    field = Field(weights, -1.0, transition, np.zeros(3))
+    field = Field(weights, -1.0, transition, np.zeros(4), evidence)
     for _ in range(rounds):
         slope = dict.fromkeys(weights, 0.0)
         for at, names, y, n in chains:
@@ -163,12 +197,10 @@ def fit_field(texts: list[str], toxic: list[bool], share: float | None = None, r
             g -= 0.05 * weights[w]
             step[w] += g * g
             weights[w] += 4 * rate * g / step[w] ** 0.5
-    weights = {w: x for w, x in weights.items() if abs(x) > 0.05}
-    field = Field(weights, -1.0, transition, np.zeros(3))
-    rows = []
-    for ws in words:
-        at = [i for i, w in enumerate(ws) if w in weights]
-        rows.append(field.link_inputs(field.marginals(at, [weights[ws[i]] for i in at], len(ws)) if at else np.zeros(0)))
+    rows = [
+        field.link_inputs(field.marginals(at, [weights[f] for f in names], len(ws)) if at else np.zeros(0), len(ws))
+        for ws, (at, names) in zip(words, found, strict=True)
+    ]
     x, y = np.array(rows), np.array(toxic, float)
     share = y.mean() if share is None else share
     each = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())) if 0 < y.mean() < 1 else np.ones(len(y))
@@ -186,7 +218,7 @@ def fit_field(texts: list[str], toxic: list[bool], share: float | None = None, r
         while loss(link + move) > loss(link) and np.abs(move).max() > 1e-6:
             move = move / 2
         link = link + move
-    return Field(weights, -1.0, transition, link)
+    return Field(weights, -1.0, transition, link, evidence)
 
 
 def train(documents: DataFrame, labels: DataFrame, held_out: Column | None = None, bound: int = 5000) -> Field:
