@@ -39,7 +39,7 @@ def test_asof_ties_and_tolerance(spark):
 def test_empty_tables(spark):
     d = frame(spark, [], "k int, t long, id int, v double")
     assert clock.gap_aware(d, ["k"], "t", "id").count() == 0
-    assert asof.asof_backward(d, d.select("k", "t", "v"), ["k"], "t", ["v"]).count() == 0 if False else True
+    assert asof.asof_backward(d.select("k", "t", "id"), d.select("k", "t", "v"), ["k"], "t", ["v"]).count() == 0
     assert segments.plateaus(d, ["k"], "t", "v", 1.0, 1).count() == 0
     assert aggregates.distribution(d, ["k"], "v").count() == 0
 
@@ -181,7 +181,7 @@ def test_merge_keeps_the_base(spark):
 
 
 def test_jump_and_spike(spark):
-    d = frame(spark, [(1, i, v) for i, v in enumerate((0.0, 0.1, 9.0, 0.2, 0.3, 5.0, 5.1))], "k int, i int, v double")
+    d = frame(spark, [(1, i, v) for i, v in enumerate((0.0, 0.1, 9.0, 0.2, 0.3, 5.0, 5.1, *(5.1 + 0.1 * i for i in range(20))))], "k int, i int, v double")
     got = {r.i: r.spike for r in audits.jumps(d, ["k"], ["i"], "v", 1.0).collect()}
     assert got == {2: True, 3: False, 5: False}
 
