@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -108,13 +109,7 @@ def test_top_k_is_exact(spark):
     assert topk.top_k(few, 5, 50).count() == 2 and topk.top_k(df.limit(0), 5, 50).count() == 0
 
 
-def words(text):
-    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").replace("\x00", "\x00").split(" ")
-
-
 def brute_components(rows, percent=75, size=5):
-    import re
-
     sets = []
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
