@@ -10,6 +10,7 @@ starts without a pass through one task. Readers map the files into memory.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -86,7 +87,8 @@ class ByteEncoder:
 
 @per_worker
 def encoder(spec: str) -> ByteEncoder:
-    """The encoder of a worker, for all its tasks."""
+    """The encoder of a worker, for all its tasks; a task has one core, so the library starts no threads."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return ByteEncoder(spec)
 
 
