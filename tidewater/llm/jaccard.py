@@ -326,7 +326,8 @@ def near_duplicates(documents: DataFrame, percent: int = 75, size: int = 5) -> D
     rows = table.select("doc_id", "n_shingles", "sid")
     named = rows.join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("class", F.coalesce("label", "sid"))
     named, path_n = stash(named.select("doc_id", "n_shingles", "class"), "classes")
-    first = named.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("first"))
+    # Written apart, so that the join reads plain exchanges, whose hot partitions Spark splits.
+    first, _ = stash(named.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("first")), "first")
     discard(spark, path_t, path_c)
     return named.join(first, "class", "left").select(
         "doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id")
