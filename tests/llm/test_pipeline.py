@@ -19,7 +19,7 @@ def test_stages_and_their_decisions(spark, tmp_path):
     words = host.text.split()
     near = " ".join([*words[:-1], "otherword"])
     leak = " ".join([*words[:30], bench[0].text, *words[30:200]])
-    private = host.text.replace(words[40], "reach me at some.body@example.com now", 1)[::1]
+    private = host.text.replace(words[40], "reach me at some.body@example.com now", 1)
     extra = [(10**6, host.text), (10**6 + 1, near), (10**6 + 2, leak), (10**6 + 3, private)]
     planted = spark.createDataFrame([(i, t, "en", "planted", len(t)) for i, t in extra], docs.schema)
     for name in ("labels", "benchmark"):
@@ -30,7 +30,6 @@ def test_stages_and_their_decisions(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     kept = {r.doc_id for r in out}
     assert len(kept) == len(out) and kept <= {r.doc_id for r in docs.unionByName(planted).collect()}
-    assert host.doc_id in kept or min(kept & {host.doc_id, *(i for i, _ in extra)}, default=None) is not None
     assert not {10**6, 10**6 + 1, 10**6 + 2} & kept
     before = docs.count()
     assert len(kept) > 0.4 * before
