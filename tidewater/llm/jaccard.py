@@ -32,8 +32,8 @@ from tidewater.llm.shingles import set_id, shingle_sets
 HOT_BITS, WANTED_BITS = 26, 25
 #: Lists with more entries are long; a shingle in more documents is frequent.
 LONG = 32
-#: Members of a long-list group that one task holds.
-BLOCK = 4096
+#: Members of a long-list group that one block holds, and their shingles on average (a task holds two blocks).
+BLOCK, BLOCK_SHINGLES = 4096, 4_000_000
 
 
 def needed(nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
@@ -253,8 +253,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _group_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links within the groups of long lists; groups beyond BLOCK members go by pairs of blocks."""
-    held = groups.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("pivot")) / BLOCK).cast("int"))
+    """Links within the groups of long lists; those beyond a block's members or shingles go by pairs of blocks."""
+    size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    large, _ = stash(groups.groupBy("pivot").agg(size.alias("blocks")).where(F.col("blocks") > 1), "large")
+    held = groups.join(large, "pivot", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     mine = held.withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     spread = mine.select("pivot", "sid", "mine", other).select(
@@ -312,7 +314,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75, size: int = 5) -> D
     occurrences = overlap - (F.expr(f"({percent}L * greatest(na, nb) + 99) div 100") - 1)
     pairs = counted.where((F.col("count") >= occurrences) & (most > 0)).select("a", "b")
     pairs, path_p = stash(pairs, "pairs")
-    groups, path_g = stash(lists.where(F.col("pivot").isNotNull()).select("pivot", "sid").distinct(), "groups")
+    groups, path_g = stash(lists.where(F.col("pivot").isNotNull()).select("pivot", "sid", "n").distinct(), "groups")
     discard(spark, path_l)
 
     # Whole sets are kept only where wanted; a fixed bitmap says which may be.
