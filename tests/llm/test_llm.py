@@ -87,6 +87,15 @@ def test_token_files_read_back(spark, odd, small, empty):
     assert token_files.read_token_files(spark, token_files.write_token_files(empty, new_path(spark, "t"), BYTES)).count() == 0
 
 
+def test_token_files_join_runs_of_other_white_space():
+    library = Tokenizer.from_file(BYTES)
+    whole = ["a \xa0 \xa0 b", "Home \xa0 \xa0 About \xa0 \xa0 \xa0 Contact", "a\xa0 b \xa0c", "x \xa0 y \xa0\xa0 z", "a\n \n b \n c\n d"]
+    for texts in (whole, whole[::-1], ["p \xa0 q \xa0\xa0 r \xa0 \u3000s"]):
+        e = token_files.ByteEncoder(open(BYTES).read())
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(b, e.width).tolist() for b in e.encode(texts)] == want
+
+
 def brute_top(rows, k, every):
     out = set()
     for q, x in rows:

@@ -11,6 +11,7 @@ starts without a pass through one task. Readers map the files into memory.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,15 +31,17 @@ from tidewater.llm.common import fill_missing, per_worker, text_chunks, texts_of
 
 #: doc_id of a row without one, in the files.
 NO_ID = -(2**63)
+#: A single space between other white space, with which it may form one token.
+INSIDE_RUN = re.compile(r" \s(?<=\s \s)")
 
 
 class ByteEncoder:
     """Ids of texts by the tokenizers library, kept by space-led word.
 
-    A byte-level pre-tokenizer cuts before every single space that stands
-    between other characters, so such words encode alone as in their text. Texts
-    with runs of spaces or special strings go to the library whole, and so does
-    every text if the file's settings are others.
+    A byte-level pre-tokenizer cuts before every single space unless white space
+    of any kind stands on both its sides, so such words encode alone as in their
+    text. Texts with such a space, runs of spaces or special strings go to the
+    library whole, and so does every text if the file's settings are others.
     """
 
     def __init__(self, spec: str, limit: int = 1_000_000):
@@ -61,8 +64,18 @@ class ByteEncoder:
         return [np.array(e.ids, self.width).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word with its leading space; many words go as one text, cut where ids begin with the space."""
-        joined = ["".join([" " + w for w in words[i : i + 256]]) for i in range(0, len(words), 256)]
+        """Ids of each word with its leading space; many words go as one text, cut where ids begin with the space.
+
+        A word that begins with other white space starts a text, so that nothing runs into it.
+        """
+        joined, n = [], 0
+        for w in words:
+            if n % 256 == 0 or w[0].isspace():
+                joined.append([])
+                n = 0
+            joined[-1].append(" " + w)
+            n += 1
+        joined = ["".join(j) for j in joined]
         ids = np.concatenate([np.array(e.ids, self.width) for e in self.library.encode_batch(joined, add_special_tokens=False)])
         at, flat, size = np.flatnonzero(self.leads[ids]).tolist(), ids.tobytes(), self.width.itemsize
         cuts = zip(at, [*at[1:], len(ids)], strict=True)
@@ -73,7 +86,8 @@ class ByteEncoder:
         self.rest = trimmed(self.rest, self.limit)
         rest, simple = self.rest, self.by_word
         parts = [
-            t.split(" ") if simple and "  " not in t and t[:1] != " " and t[-1:] != " " and not any(s in t for s in self.special)
+            t.split(" ")
+            if simple and "  " not in t and t[:1] != " " and t[-1:] != " " and not INSIDE_RUN.search(t) and not any(s in t for s in self.special)
             else None
             for t in texts
         ]
