@@ -284,6 +284,16 @@ def test_pii_is_linked_valid_and_reversible(spark):
     assert pii.pseudonymise(df.limit(0), PII_KEY).count() == 0
 
 
+def test_secrets_whatever_the_case():
+    p = pii.Pseudonymiser(PII_KEY)
+    for head, value, tail in (('TOKEN = "', "9233A8ECF7", '"'), ("token=", "AbC12345", ""), ("Password: '", "Hunter!2", "'"), ("API_KEY=", "XYZabc99", "")):
+        text = f"see {head}{value}{tail} here"
+        hidden, spans = p.apply(text)
+        assert [k for k, _, _ in spans] == ["secret"] and value not in hidden and hidden.startswith(f"see {head}")
+        assert p.apply(hidden, back=True)[0] == text
+    assert p.apply("Token: beginning")[1] == []
+
+
 def test_feistel_is_a_permutation():
     f = pii.Feistel(b"k")
     for n in (1, 2, 7, 100, 1000):

@@ -182,7 +182,7 @@ def _secret(f: Feistel, text: str, back: bool) -> str | None:
 #: In order of precedence; each match then has to pass its own check.
 FORMATS: dict[str, tuple[str, Callable[[Feistel, str, bool], str | None]]] = {
     "email": (r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9.+_-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
-    "secret": (r"\bAKIA[A-Z0-9]{16}\b|\b(?:password|passwd|token|secret|api_key)\s*[=:]\s*(?:\"[^\"\s]{6,}\"|'[^'\s]{6,}'|(?=[a-z]*\d)[A-Za-z0-9]{8,})", _secret),
+    "secret": (r"\bAKIA[A-Z0-9]{16}\b|\b(?i:password|passwd|token|secret|api_key)\s*[=:]\s*(?:\"[^\"\s]{6,}\"|'[^'\s]{6,}'|(?=[A-Za-z]*\d)[A-Za-z0-9]{8,})", _secret),
     "iban": (r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", _iban),
     "date": (r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/]|[.-]\d)", _date),
     "ssn": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _ssn),
@@ -191,7 +191,7 @@ FORMATS: dict[str, tuple[str, Callable[[Feistel, str, bool], str | None]]] = {
     "card": (r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])", _card),
 }
 PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, (p, _) in FORMATS.items()), re.ASCII)
-LIKELY = re.compile(r"[\d@]|(?:password|passwd|token|secret|api_key)\s*[=:]", re.ASCII)
+LIKELY = re.compile(r"[\d@]|(?i:password|passwd|token|secret|api_key)\s*[=:]", re.ASCII)
 
 
 class Pseudonymiser:
