@@ -21,10 +21,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near-duplicate links connect, keep that of the smallest doc_id."""
-    groups = jaccard.near_duplicates(docs, percent=75, size=5)
-    extra = groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+    """Of rows that near-duplicate links connect, keep one: that of the smallest doc_id, a null one only if there is no other."""
+    return jaccard.one_of_each(docs, percent=75, size=5)
 
 
 def drop_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,20 @@ def test_stages_keep_columns(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns
+
+
+def test_one_of_each_group_on_null_repeated_and_clashing_ids(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    other, third, fourth = long.replace("w", "x"), long.replace("w", "y"), long.replace("w", "z")
+    rows = [
+        (2, long, "copy"), (1, long, "a"), (1, long, "a"), (None, long, "n"), (7, long + " end", "near"),  # one of the two equal rows stays
+        (None, other, "b"), (None, other, "b"), (None, other + " end", "b"),  # one null row stays
+        (2, third, "c"),  # an id that is a copy above, on a text of its own
+        (9, fourth, "d"), (9, fourth + " end", "d"),  # near copies under one id
+        (3, "", "e"), (3, "", "e"), (None, None, "f"), (None, None, "f"),  # without words: no group
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = corpus_pipeline.keep_one_of_each_group(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted((r.source, r.doc_id if r.doc_id is not None else -1) for r in out.collect())
+    assert got == [("a", 1), ("b", -1), ("c", 2), ("d", 9), ("e", 3), ("e", 3), ("f", -1), ("f", -1)]

@@ -23,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.llm.common import discard, mix64, release, stash, text_chunks
 from tidewater.llm.components import components
@@ -35,6 +36,9 @@ LONG = 32
 #: Members of a long-list group that one block holds, and their shingles on average (a task holds two blocks).
 BLOCK, BLOCK_SHINGLES = 4096, 4_000_000
 
+#: A row's identity within one call.
+ROW = "_tidewater_row"
+
 
 def needed(nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
     """The least overlap with 100 * overlap >= percent * union."""
@@ -291,7 +295,33 @@ def near_duplicates(documents: DataFrame, percent: int = 75, size: int = 5) -> D
     lists yield spanning links. The driver holds two fixed bitmaps.
     """
     spark = documents.sparkSession
-    docs = documents.select("doc_id", "text")
+    named = set_classes(documents.select("doc_id", "text"), percent, size)
+    # Written apart, so that the join reads plain exchanges, whose hot partitions Spark splits.
+    first, _ = stash(named.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("first")), "first")
+    return named.join(first, "class", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id")
+    )
+
+
+def one_of_each(documents: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
+    """The rows of ``documents`` but one only of each component, as :func:`near_duplicates` links them.
+
+    The row with the smallest known doc_id stays, or one without if all are null;
+    of rows with an equal doc_id one stays. Rows are told apart as rows, not by
+    doc_id: it may be null, repeated, or stand on unrelated texts. Rows without
+    words belong to no component and all stay. Columns pass as they are.
+    """
+    rows, _ = stash(documents.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    named = set_classes(rows.select("doc_id", ROW, "text"), percent, size).where(F.col("class").isNotNull())
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", ROW)
+    first = named.groupBy("class").agg(F.min(order).alias("first")).select(F.col("first").getField(ROW).alias(ROW))
+    extra = named.select(ROW).join(first, ROW, "left_anti")
+    return rows.join(extra, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
+
+
+def set_classes(docs: DataFrame, percent: int, size: int) -> DataFrame:
+    """The columns of ``docs`` but text, n_shingles, and class: equal for the rows of one component, null without words."""
+    spark, own = docs.sparkSession, [c for c in docs.columns if c != "text"]
     hot = frequent_map(docs, size)
 
     lists = entries(docs, hot, percent, size)
@@ -325,15 +355,11 @@ def near_duplicates(documents: DataFrame, percent: int = 75, size: int = 5) -> D
     labels, path_c = stash(components(links), "components")
     discard(spark, path_p, path_g)
 
-    rows = table.select("doc_id", "n_shingles", "sid")
+    rows = table.select(*own, "n_shingles", "sid")
     named = rows.join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("class", F.coalesce("label", "sid"))
-    named, path_n = stash(named.select("doc_id", "n_shingles", "class"), "classes")
-    # Written apart, so that the join reads plain exchanges, whose hot partitions Spark splits.
-    first, _ = stash(named.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("first")), "first")
+    named, _ = stash(named.select(*own, "n_shingles", "class"), "classes")
     discard(spark, path_t, path_c)
-    return named.join(first, "class", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id")
-    )
+    return named
 
 
 def _bit(sid: np.ndarray) -> np.ndarray:
@@ -365,9 +391,9 @@ def _bitmap(sids: DataFrame) -> np.ndarray:
 
 
 def _described(docs: DataFrame, wanted: np.ndarray, size: int) -> DataFrame:
-    """doc_id, n_shingles, sid (null without words) and, where it may be wanted, the set itself."""
+    """The columns but text, n_shingles, sid (null without words) and, where it may be wanted, the set itself."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
-    kind = dict(docs.dtypes)["doc_id"]
+    own = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = shared.value, _Seen()
@@ -378,8 +404,12 @@ def _described(docs: DataFrame, wanted: np.ndarray, size: int) -> DataFrame:
                 hit = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
                 items = [s.tobytes() if i is not None and h and seen.new(i) else None for s, i, h in zip(sets, sid, hit, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sid, pa.int64()), pa.array(items, pa.binary())],
-                    ["doc_id", "n_shingles", "sid", "items"],
+                    [
+                        *(part.column(part.schema.get_field_index(c)) for c in own),
+                        pa.array([len(s) for s in sets], pa.int64()), pa.array(sid, pa.int64()), pa.array(items, pa.binary()),
+                    ],
+                    [*own, "n_shingles", "sid", "items"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, sid long, items binary")
+    schema = T.StructType(docs.select(*own).schema.fields)
+    return docs.mapInArrow(run, schema.add("n_shingles", "long").add("sid", "long").add("items", "binary"))
