@@ -3,9 +3,10 @@
 Two tags, clean and toxic. Tokens of training texts are labelled: toxic where the
 text is labelled toxic and the word is far likelier in toxic texts than in others,
 else clean. A word's feature is the word itself or one of its beginnings (inflected and
-compound forms share these), whichever tells most. The field has a weight for each
-learnt feature and tag, tag biases and tag transitions, fitted by gradient ascent on
-the conditional likelihood. Scoring runs
+compound forms share these), whichever tells most. The field's weights of learnt
+features are fitted by gradient ascent on the conditional likelihood. The rest is not
+trained: the bias is a constant, and the tag transitions are log shares of counts in
+the labelled tokens; both stay fixed. Scoring runs
 forward-backward over the whole text. Words without weights all share one factor,
 so a run of k of them is one matrix power; the recursions visit only words with
 weights and stay exact. Marginals give the offending offsets, and a logistic link
