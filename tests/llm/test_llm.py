@@ -61,6 +61,18 @@ def test_token_counts_equal_the_library(odd, small, empty):
     assert token_counts.token_counts(empty, MODEL).count() == 0
 
 
+def test_token_counts_of_long_words_equal_the_library():
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    merger = token_counts.RankMerger(token_counts.Vocabulary(open(MODEL, "rb").read()))
+    rng, letters = random.Random(8), "abcdefghijklmnopqrstuvwxyz"
+    pieces = sorted(p for p in merger.v.ids if "▁" not in p)
+    words = ["".join(rng.choice(letters) for _ in range(100_000)), "impossible" * 4000, "a" * 50_000, "日本語テキスト" * 3000, "==" * 777 + "x"]
+    for _ in range(60):
+        words.append("".join(rng.choice(pieces) for _ in range(rng.choice([20, 60, 300]))))
+        words.append("".join(rng.choice("abcxyz=-") for _ in range(rng.randrange(1, 8))) * rng.choice([5, 40, 200]))
+    assert merger.surviving(["▁" + w for w in words]) == [len(library.encode(w)) for w in words]
+
+
 def test_transducer_equals_the_library(odd, small, empty):
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     for docs in (odd, small):
@@ -177,14 +189,19 @@ def test_decontamination_equals_brute_force(spark):
             piece[rng.randrange(len(piece))] = "changed"
         docs.append((i, " ".join(filler[:20] + [w.upper() for w in piece] + filler[20:])))
     docs += [(100, None), (101, ""), (102, items[2][1]), (102, items[2][1]), (None, items[3][1])]
+    cut = items[3][1].split()
+    docs += [(103, " ".join(cut[5:14])), (104, " ".join(["other", *cut[6:16]])), (105, " ".join(cut[3:10])), (106, "a " + items[4][1] + " b"), (107, " ".join([*cut[:8], "z"]))]
     df, bench = spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, items int"), spark.createDataFrame(items, "item_id long, text string")
 
     def overlaps(text, item):
         d, b = (text or "").lower().split(), item.lower().split()
         if len(b) < 8:
+            return any(d[i : i + len(b)] == b for i in range(len(d) - len(b) + 1))
+        w = min(16, len(b), len(d))
+        if w < 8:
             return False
-        w = min(16, len(b))
-        return any(sum(x != y for x, y in zip(d[i : i + w], b[j : j + w], strict=True)) <= w // 8 for i in range(len(d) - w + 1) for j in range(len(b) - w + 1))
+        near = any(sum(x != y for x, y in zip(d[i : i + w], b[j : j + w], strict=True)) <= w // 8 for i in range(len(d) - w + 1) for j in range(len(b) - w + 1))
+        return near or any(d[i : i + 8] == b[j : j + 8] for i in range(len(d) - 7) for j in range(len(b) - 7))
 
     want = Counter((i, tuple(k for k, t in items if k is not None and t and overlaps(x, t))) for i, x in docs)
     for part_words in (2_000_000, 20):
@@ -196,6 +213,22 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.contamination(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_reads_words_of_any_script():
+    item = "wie “schön” — es ist, den Fluß im Mai’s Licht zu sehen"
+    bench = decontaminate.Benchmark([(1, item), (2, "今日は天気がいいので散歩に行きます"), (3, "Шесть слов и все они здесь"), (4, "two words")])
+    find = lambda t: [i for i, *_ in bench.overlaps(*decontaminate.fold_words([t]))[0]]
+    assert find("x y WIE schön es ist den Fluß im Mai s Licht zu sehen z") == [1]
+    assert find("さて、今日は天気がよいので散歩に行きます。") == [2]
+    assert find("«Шесть слов — и все они здесь!»") == [3]
+    assert find("TWO, words") == [4] and find("two other words") == []
+    assert decontaminate.fold_words(["", "ab, c", "日本 x"])[1].tolist() == [0, 0, 2, 5]
+
+
+def test_benchmark_parts_follow_words_of_any_script(spark):
+    bench = spark.createDataFrame([(i, " ".join(f"слово{i}{j}" for j in range(100))) for i in range(30)], "item_id long, text string")
+    assert len(decontaminate._parts(bench, 500)) == 6
+
+
 def test_chat_round_trip_and_mask(spark):
     rng = random.Random(2)
     bits = ["<s>", "</s>", "[INST]", "[/INST]", "<|end|>\n", "\\", "[\\INST]", "<\\\\|", "<<SYS>>", "text ", "é😀", "\n"]
@@ -205,6 +238,7 @@ def test_chat_round_trip_and_mask(spark):
             role = "system" if turn == 0 and conv % 3 == 0 else rng.choice(["user", "assistant"])
             rows.append((conv, turn, role, rng.choice([None, "", "".join(rng.choice(bits) for _ in range(rng.randrange(30)))])))
     rows += [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]"), (None, 0, "user", "hi"), (None, 1, None, "role?")]
+    rows += [(2**60 + k, 0, "assistant", f"big {k}") for k in (1, 3)]
     df = spark.createDataFrame([(*r, 5) for r in rows], "conv_id long, turn long, role string, text string, window int")
     windows = chat.chat_windows(df, MODEL, budget=120, history=40)
     assert windows.where("window > 0").count() and windows.where("n_repeated > 1").count()

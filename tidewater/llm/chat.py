@@ -13,11 +13,15 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from hashlib import sha256
+from itertools import groupby
+from operator import itemgetter
 from pathlib import Path
 from urllib.parse import quote, unquote
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from tidewater.llm.token_counts import counter
 
@@ -26,10 +30,15 @@ _CONTROL = r"(\||/?s>|/?INST\]|</?SYS>>)"
 _ESCAPE = re.compile(r"([<\[])(\\*)" + _CONTROL)
 _UNESCAPE = re.compile(r"([<\[])\\(\\*)" + _CONTROL)
 _TURN = re.compile(r"<\|([^|]*)\|>\n(.*?)<\|end\|>\n", re.S)
-SCHEMA = (
-    "conv_id long, window int, text string, loss array<struct<start: long, end: long>>, "
-    "n_tokens long, n_turns int, n_repeated int, over_budget boolean"
-)
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+WINDOWS = pa.schema([
+    ("conv_id", pa.int64()), ("window", pa.int32()), ("text", pa.string()), ("loss", _SPAN), ("n_tokens", pa.int64()),
+    ("n_turns", pa.int32()), ("n_repeated", pa.int32()), ("over_budget", pa.bool_()),
+])
+DIGESTS = pa.schema([
+    ("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()),
+    ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()),
+])
 
 
 def escape(text: str) -> str:
@@ -108,25 +117,17 @@ class Windows:
         return row
 
 
-def _grouped(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[object, bool, pd.DataFrame]]:
-    """(conv_id, whether it begins here, rows), across frames sorted by conv_id."""
-    last = object()
-    for frame in frames:
-        key = frame["conv_id"].astype("Int64")
-        change = (key.ne(key.shift()) & ~(key.isna() & key.shift().isna())).fillna(True)
-        if len(change):
-            change.iloc[0] = True
-        for _, rows in frame.groupby(change.cumsum(), sort=False):
-            conv = rows["conv_id"].iloc[0]
-            conv = None if pd.isna(conv) else int(conv)
-            yield conv, conv != last, rows
-            last = conv
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bool, list[dict]]]:
+    """(conv_id, whether it begins here, rows), across batches sorted by conv_id.
 
-
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=[c.split()[0].rstrip(":") for c in SCHEMA.replace("start: long, end: long", "").split(", ")])
-    out["conv_id"] = out["conv_id"].astype("Int64")
-    return out
+    Ids stay whole numbers beside nulls, as Arrow has them.
+    """
+    last: object = _grouped  # equal to no id
+    for batch in batches:
+        for a in range(0, batch.num_rows, 1000):
+            for conv, rows in groupby(batch.slice(a, 1000).to_pylist(), key=itemgetter("conv_id")):
+                yield conv, conv != last, list(rows)
+                last = conv
 
 
 def chat_windows(conversations: DataFrame, model_path: str, budget: int = 2048, history: int = 256) -> DataFrame:
@@ -146,26 +147,28 @@ def chat_windows(conversations: DataFrame, model_path: str, budget: int = 2048,
     """
     model = Path(model_path).read_bytes()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, state, out = counter(model), None, []
-        for conv, begins, rows in _grouped(frames):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, state, out, held = counter(model), None, [], 0
+        for conv, begins, rows in _grouped(batches):
             if begins and state is not None:
                 out.append(state.finish())
             if begins:
                 state = Windows(conv, budget, history)
-            roles = [r if isinstance(r, str) else "" for r in rows["role"]]
-            turns = [format_turn(r, t if isinstance(t, str) else "") for r, t in zip(roles, rows["text"], strict=True)]
+            roles = [r["role"] or "" for r in rows]
+            turns = [format_turn(role, r["text"] or "") for role, r in zip(roles, rows, strict=True)]
             for role, turn, tokens in zip(roles, turns, map(sum, cache.of([t[0] for t in turns])), strict=True):
                 out.append(state.add(role, turn, tokens))
-            if len(out) > 500:
-                yield _frame([w for w in out if w])
-                out = []
+                held += len(turn[0])
+            if len(out) > 500 or held > 4_000_000:
+                yield pa.RecordBatch.from_pylist([w for w in out if w], WINDOWS)
+                out, held = [], 0
         if state is not None:
             out.append(state.finish())
-        yield _frame([w for w in out if w])
+        yield pa.RecordBatch.from_pylist([w for w in out if w], WINDOWS)
 
     order = ["conv_id", "turn", "role", "text"]
-    return conversations.select(*order).repartition("conv_id").sortWithinPartitions(*order).mapInPandas(run, SCHEMA)
+    rows = conversations.select(F.col("conv_id").cast("long"), *order[1:]).repartition("conv_id")
+    return rows.sortWithinPartitions(*order).mapInArrow(run, from_arrow_schema(WINDOWS))
 
 
 def window_digests(windows: DataFrame) -> DataFrame:
@@ -175,40 +178,33 @@ def window_digests(windows: DataFrame) -> DataFrame:
     loss_chars and loss_sha256 (of the unescaped text under the mask) and
     formatted_chars; turns that a window repeats count once.
     """
-    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    names = [c.split()[0] for c in schema.split(", ")]
     new: Callable[[], list] = lambda: [0, sha256(), 0, sha256(), 0]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, d, out, open_ = None, new(), [], False
-        close = lambda: out.append((conv, d[0], d[1].hexdigest(), d[2], d[3].hexdigest(), d[4]))
-        for key, begins, rows in _grouped(frames):
+        result = lambda: (conv, d[0], d[1].hexdigest(), d[2], d[3].hexdigest(), d[4])
+        flush = lambda: pa.RecordBatch.from_pylist([dict(zip(DIGESTS.names, r, strict=True)) for r in out], DIGESTS)
+        for key, begins, rows in _grouped(batches):
             if begins:
                 if open_:
-                    close()
+                    out.append(result())
                 conv, d, open_ = key, new(), True
-            for first, text, loss, repeated in zip(rows["window"], rows["text"], rows["loss"], rows["n_repeated"], strict=True):
-                turns = parse_turns(text)
-                del first
-                for role, said in turns[repeated:]:
+            for r in rows:
+                for role, said in parse_turns(r["text"])[r["n_repeated"] :]:
                     d[0] += 1
                     d[1].update(f"{role}\n{said}\n".encode())
-                for span in loss:
-                    said = unescape(text[span["start"] : span["end"]])
+                for span in r["loss"]:
+                    said = unescape(r["text"][span["start"] : span["end"]])
                     d[2] += len(said)
                     d[3].update(said.encode())
-                d[4] += len(text)
+                d[4] += len(r["text"])
             if len(out) > 5000:
-                yield _digests(out)
+                yield flush()
                 out.clear()
         if open_:
-            close()
-        yield _digests(out)
-
-    def _digests(rows: list[tuple]) -> pd.DataFrame:
-        f = pd.DataFrame(rows, columns=names)
-        f["conv_id"] = f["conv_id"].astype("Int64")
-        return f
+            out.append(result())
+        yield flush()
 
     columns = ["conv_id", "window", "text", "loss", "n_repeated"]
-    return windows.select(*columns).repartition("conv_id").sortWithinPartitions("conv_id", "window").mapInPandas(run, schema)
+    rows = windows.select(*columns).repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    return rows.mapInArrow(run, from_arrow_schema(DIGESTS))

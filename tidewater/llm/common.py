@@ -46,11 +46,13 @@ def release(keep: Callable | None = None) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only a session without that setting (as in tests) gets a temporary folder.
+    Only a local session without that setting (as in tests) gets a temporary folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not path:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         path = spark.sparkContext.getCheckpointDir()
@@ -143,14 +145,28 @@ def appended(df: DataFrame, fields: list[tuple[str, pa.DataType, T.DataType]], m
     unread. ``df`` needs a column text.
     """
     new = [n for n, _, _ in fields]
-    source = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in new])
-    schema = T.StructType([*source.schema, *(T.StructField(n, t) for n, _, t in fields)])
+    kept = [f for f in df.schema if f.name not in new]
+    # Columns travel by position: names may hold dots or differ in case only.
+    source = df.select(*[F.col(quoted(f.name)).alias("text" if f.name == "text" else f"c{i}") for i, f in enumerate(kept)])
+    schema = T.StructType([*source.schema, *(T.StructField(f"n{i}", t) for i, (_, _, t) in enumerate(fields))])
+    names = [f.name for f in kept] + new
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
             for part in text_chunks(batch):
                 made = [pa.array(v, t) for v, (_, t, _) in zip(make(part), fields, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, *new])
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*names)
+
+
+def quoted(name: str) -> str:
+    """A column's name for F.col, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(df: DataFrame, tag: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (tag, *(f"{tag}_{i}" for i in range(len(taken) + 1))) if n not in taken)

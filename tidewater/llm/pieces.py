@@ -84,12 +84,13 @@ class WordCache:
         return found
 
 
-def merge_table(v: Vocabulary) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray, bool]:
+def merge_table(v: Vocabulary) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Symbols and the ways to merge two of them.
 
     Returns symbol numbers by string, and, sorted by key (left * n + right), the
-    keys, the merged symbols and their ranks (0 first). The flag says that every
-    merge ranks behind the merges that made its halves.
+    keys, the merged symbols, their ranks (0 first) and whether each merge is one
+    of a kind after which a lower rank can turn up next to it: then occurrences
+    near each other must go one after the other.
     """
     symbols = dict.fromkeys(v.ids)
     for s in v.ids:
@@ -97,12 +98,16 @@ def merge_table(v: Vocabulary) -> tuple[dict[str, int], np.ndarray, np.ndarray,
     number = {s: i for i, s in enumerate(symbols)}
     order = {score: r for r, score in enumerate(sorted({v.scores[i] for i in v.ids.values()}, reverse=True))}
     rank = {s: order[v.scores[i]] for s, i in v.ids.items()}
-    n, rows, ordered = len(number), [], True
+    n, rows, wary = len(number), [], set()
     for s in v.ids:
         for k in range(1, len(s)):
             a, b = s[:k], s[k:]
             if a in number and b in number:
                 rows.append((number[a] * n + number[b], number[s], rank[s]))
-                ordered &= all(len(x) == 1 or rank[x] < rank[s] for x in (a, b))
+                wary.update(number[x] for x in (a, b) if len(x) > 1 and rank[x] >= rank[s])
     table = np.array(sorted(rows), dtype=np.int64).reshape(-1, 3)
-    return number, table[:, 0], table[:, 1], table[:, 2], ordered
+    # Pieces of equal rank, too, must go from left to right.
+    first = np.unique(np.unique(table[:, 1:], axis=0)[:, 1], return_counts=True)
+    shared = first[0][first[1] > 1]
+    careful = np.isin(table[:, 1], np.fromiter(wary, np.int64, len(wary))) | np.isin(table[:, 2], shared)
+    return number, table[:, 0], table[:, 1], table[:, 2], careful
