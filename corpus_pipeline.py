@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import decontaminate, jaccard, pii, quality, transducer
-from tidewater.llm.common import stash
+from tidewater.llm.common import fresh, quoted, stash
 from tidewater.llm.queries import PIECES, PII_KEY
 
 #: Documents that score lower are rejected; well below what clean ones score.
@@ -16,8 +16,9 @@ LEAST_QUALITY = 0.5
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents that the classifier takes for low quality."""
-    network = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.scored(docs, network, "_quality").where(F.col("_quality") >= LEAST_QUALITY).drop("_quality")
+    network, column = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), fresh(docs, "quality_score")
+    kept = quality.scored(docs, network, column).where(F.col(column) >= LEAST_QUALITY)
+    return kept.select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +33,8 @@ def drop_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def hide_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace private data by pseudonyms; n_chars follows the text."""
-    done = pii.pseudonymise(docs, PII_KEY).drop("pii")
+    column = fresh(docs, "pii")
+    done = pii.pseudonymise(docs, PII_KEY, column=column).select(*[F.col(quoted(c)) for c in docs.columns])
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import discard, mix64, release, stash, text_chunks
+from tidewater.llm.common import discard, fresh, mix64, quoted, release, stash, text_chunks
 from tidewater.llm.components import components
 from tidewater.llm.shingles import set_id, shingle_sets
 
@@ -36,9 +36,6 @@ LONG = 32
 #: Members of a long-list group that one block holds, and their shingles on average (a task holds two blocks).
 BLOCK, BLOCK_SHINGLES = 4096, 4_000_000
 
-#: A row's identity within one call.
-ROW = "_tidewater_row"
-
 
 def needed(nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
     """The least overlap with 100 * overlap >= percent * union."""
@@ -311,12 +308,13 @@ def one_of_each(documents: DataFrame, percent: int = 75, size: int = 5) -> DataF
     doc_id: it may be null, repeated, or stand on unrelated texts. Rows without
     words belong to no component and all stay. Columns pass as they are.
     """
-    rows, _ = stash(documents.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    named = set_classes(rows.select("doc_id", ROW, "text"), percent, size).where(F.col("class").isNotNull())
-    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", ROW)
-    first = named.groupBy("class").agg(F.min(order).alias("first")).select(F.col("first").getField(ROW).alias(ROW))
-    extra = named.select(ROW).join(first, ROW, "left_anti")
-    return rows.join(extra, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
+    row = fresh(documents, "row")
+    rows, _ = stash(documents.withColumn(row, F.monotonically_increasing_id()), "rows")
+    named = set_classes(rows.select("doc_id", row, "text"), percent, size).where(F.col("class").isNotNull())
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", row)
+    first = named.groupBy("class").agg(F.min(order).alias("first")).select(F.col("first").getField(row).alias(row))
+    extra = named.select(row).join(first, row, "left_anti")
+    return rows.join(extra, row, "left_anti").select(*[F.col(quoted(c)) for c in documents.columns])
 
 
 def set_classes(docs: DataFrame, percent: int, size: int) -> DataFrame:

@@ -6,8 +6,10 @@ component is 0), so the highest products are the nearest vectors and the triangl
 inequality holds. Each distinct vector is keyed by its nearest pivot and by the
 annulus of its distance from it. A first round searches one block of each query's
 home annulus and gives a threshold; a second visits every other block whose annulus
-can hold something as near. Within a block, annuli are expanded outwards while the
-bound |d(q, p) - d(x, p)| allows. Scores are exact whole numbers throughout.
+can hold something as near. Annuli know the range of their distances from every
+pivot, not only their own, and all of these bound. Within a block, annuli are cut
+finer in the same way and expanded outwards while a bound allows. Scores are exact
+whole numbers throughout.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import discard, stash
 
-#: Rows from which pivots are chosen, pivots at most, annuli of a pivot, rows of a block.
-SAMPLE, PIVOTS, ANNULI, BLOCK, STEP = 2048, 64, 4, 8192, 256
+#: Rows from which pivots are chosen, pivots at most, annuli of a pivot, rows of a block and of a step in it, queries of a task.
+SAMPLE, PIVOTS, ANNULI, BLOCK, STEP, QUERIES = 2048, 256, 4, 8192, 64, 8192
 SLACK = 1e-6
 
 
@@ -53,39 +55,57 @@ def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
     return sample[chosen]
 
 
-def _search(q: pd.DataFrame, x: pd.DataFrame, k: int, m: float) -> list[tuple]:
-    """The k + 1 best ids of one block for each query: (qid, score, ids)."""
+def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of lifted vectors from all pivots."""
+    return np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (pivots**2).sum(1) - 2 * x @ pivots.T))
+
+
+def bounds(d: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least distance that each row of ``d`` (distances from pivots) allows from each box (``lo`` to ``hi`` by pivot)."""
+    out = np.zeros((len(d), len(lo)))
+    for j in range(len(lo)):
+        out[:, j] = np.maximum(0, np.maximum(lo[j] - d, d - hi[j])).max(1)
+    return out
+
+
+def _search(q: pd.DataFrame, x: pd.DataFrame, most: int, m: float, pivots: np.ndarray) -> tuple[list[tuple], int]:
+    """The best ids of one block for each query, as (qid, score, ids), and how many products were taken."""
     vectors, dist = _matrix(x["v"]), x["dist"].to_numpy(float)
     order = np.lexsort((x["uid"].to_numpy(), dist))
-    vectors, dist = vectors[order], dist[order]
+    vectors = vectors[order]
     ids, uid = x["ids"].to_numpy()[order], x["uid"].to_numpy()[order]
-    queries, to_pivot, need = _matrix(q["v"]), q["to_pivot"].to_numpy(float), q["need"].to_numpy(float)
-    norm, most = (queries.astype(float) ** 2).sum(1), k + 1
+    queries, need = _matrix(q["v"]), q["need"].to_numpy(float)
+    norm = (queries.astype(float) ** 2).sum(1)
+    lifted = np.c_[vectors.astype(float), np.sqrt(np.maximum(0, m - (vectors.astype(float) ** 2).sum(1)))]
+    far = distances(lifted, pivots)
+    starts = np.arange(0, len(vectors), STEP)
+    gap = bounds(
+        distances(np.c_[queries.astype(float), np.zeros(len(queries))], pivots), np.minimum.reduceat(far, starts), np.maximum.reduceat(far, starts)
+    )
     best_s = np.full((len(queries), most), -np.iinfo(np.int64).max)
     best_i = np.full((len(queries), most), -1)
-    lo = np.minimum(np.arange(0, len(dist), STEP), len(dist))
-    hi = np.minimum(lo + STEP, len(dist))
-    # A lower bound of each query's distance from each annulus.
-    gap = np.maximum(0, np.maximum(dist[lo] - to_pivot[:, None], to_pivot[:, None] - dist[hi - 1]))
-    limit = np.sqrt(np.maximum(0, norm + m - 2 * need))
+    limit, taken = np.sqrt(np.maximum(0, norm + m - 2 * need)), 0
     for c in np.argsort(gap.min(0), kind="stable"):
         act = np.flatnonzero(gap[:, c] <= limit * (1 + SLACK) + SLACK)
         if not act.size:
             continue
-        s = np.concatenate([best_s[act], _exact(queries[act], vectors[lo[c] : hi[c]])], 1)
-        i = np.concatenate([best_i[act], np.broadcast_to(np.arange(lo[c], hi[c]), (len(act), hi[c] - lo[c]))], 1)
+        lo, hi = int(starts[c]), min(int(starts[c]) + STEP, len(vectors))
+        taken += len(act) * (hi - lo)
+        s = np.concatenate([best_s[act], _exact(queries[act], vectors[lo:hi])], 1)
+        i = np.concatenate([best_i[act], np.broadcast_to(np.arange(lo, hi), (len(act), hi - lo))], 1)
         u = np.where(i >= 0, uid[i], np.iinfo(np.int64).max)
         top = np.lexsort((u, -s), axis=1)[:, :most]
         best_s[act], best_i[act] = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
         last = best_s[act, -1].astype(float)
         with np.errstate(invalid="ignore"):
             limit[act] = np.where(best_i[act, -1] >= 0, np.minimum(limit[act], np.sqrt(np.maximum(0, norm[act] + m - 2 * last))), limit[act])
-    return [
+    rows = [
         (qid, int(s), ids[i])
         for qid, ss, ii in zip(q["qid"], best_s, best_i, strict=True)
         for s, i in zip(ss, ii, strict=True)
         if i >= 0
     ]
+    return rows, taken
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -93,17 +113,19 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
 
     Queries are the rows whose id is divisible by ``every``; candidates are all
     rows but those of the query's own id. Ties go to the smaller id; with fewer
-    candidates there are fewer rows. Rows take no part whose id or vector is null,
-    whose vector holds a null or non-finite component, or whose length is not the
-    table's smallest most frequent one. Repeated rows count once; one id with
-    several vectors counts as several candidates (and queries). An empty table
+    candidates there are fewer rows. Rows take no part whose id or vector is null
+    or whose vector holds a null or non-finite component. Of vectors of different
+    lengths, the shorter ones' missing components count as zero. Repeated rows
+    count once; one id with several vectors counts as several candidates (and
+    queries). An empty table
     gives an empty result. Other columns are left alone. Products are exact while
     they fit 63 bits.
 
     Equal vectors are one vector with its k + 1 smallest ids, so a third of all
     rows being equal costs no more than one. Pivots come from at most SAMPLE rows;
-    everything is indexed, and block sizes follow counts, so no task holds a cell
-    whole. The driver sees pivots and one row for each (pivot, annulus).
+    everything is indexed, and blocks and query chunks follow counts, so no task
+    holds a cell or its queries whole. The driver sees pivots and one row for each
+    (pivot, annulus). How much the bounds save depends on the data (see the README).
     """
     spark = vectors.sparkSession
     base = (
@@ -121,38 +143,58 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
         .withColumn("norm", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
     )
     unique, path_u = stash(unique, "topk-vectors")
-    stats = unique.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max("norm").alias("m")).collect()
-    if not stats:
+    stats = unique.agg(F.max(F.size("v")).alias("dim"), F.count("*").alias("n"), F.max("norm").alias("m")).first()
+    if not stats.n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dim, n, m = min(((r.dim, r.n, r.m) for r in stats), key=lambda r: (-r[1], r[0]))
-    unique = unique.where(F.size("v") == dim)
+    dim, n, m = stats
+    padded = F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(dim) - F.size("v")))
+    unique = unique.withColumn("v", padded)
     rows = unique.orderBy(F.xxhash64("uid"), "uid").limit(SAMPLE).select("v", "norm").collect()
     lift = lambda v, norm: np.c_[v.astype(float), np.sqrt(np.maximum(0, m - norm))]
     sample = lift(np.array([r.v for r in rows], np.int64).reshape(len(rows), dim), np.array([r.norm for r in rows]))
     pivots = choose_pivots(sample, max(1, min(PIVOTS, int(n**0.5 / 8))))
     width = max(1e-9, max(np.sqrt(((sample[:, None] - pivots[None]) ** 2).sum(2)).min(1).max() / ANNULI, 1e-9)) if dim else 1.0
 
-    def distances(x: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (pivots**2).sum(1) - 2 * x @ pivots.T))
-
     def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                d = distances(lift(_matrix(f["v"]), f["norm"].to_numpy(float)))
+                d = distances(lift(_matrix(f["v"]), f["norm"].to_numpy(float)), pivots)
                 f["pivot"] = d.argmin(1).astype(np.int32)
                 f["dist"] = d.min(1)
                 f["annulus"] = np.minimum(f["dist"] // width, ANNULI - 1).astype(np.int32)
                 yield f[["v", "ids", "uid", "pivot", "annulus", "dist"]]
 
+    def boxed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[int, int], list] = {}
+        for f in frames:
+            x = _matrix(f["v"]) if len(f) else np.zeros((0, dim))
+            far = distances(lift(x, (x.astype(float) ** 2).sum(1)), pivots)
+            for cell, at in f.groupby(["pivot", "annulus"]).indices.items():
+                n, lo, hi = held.get(cell, (0, np.inf, -np.inf))
+                held[cell] = [n + len(at), np.minimum(lo, far[at].min(0)), np.maximum(hi, far[at].max(0))]
+        yield pd.DataFrame([(*c, n, lo, hi) for c, (n, lo, hi) in held.items()], columns=["pivot", "annulus", "n", "lo", "hi"])
+
+    def joined(f: pd.DataFrame) -> pd.DataFrame:
+        one = f.iloc[:1].copy()
+        one["n"], one["lo"], one["hi"] = [f["n"].sum()], [np.min(np.stack(f["lo"]), 0)], [np.max(np.stack(f["hi"]), 0)]
+        return one
+
     schema = "v array<long>, ids array<long>, uid long, pivot int, annulus int, dist double"
     index, path_i = stash(unique.mapInPandas(keyed, schema), "topk-index")
-    cells = index.groupBy("pivot", "annulus").agg(F.count("*").alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi")).collect()
-    blocks = {(c.pivot, c.annulus): (-(-c.n // BLOCK), c.lo, c.hi) for c in cells}
-    split = spark.createDataFrame([(p, a, b[0]) for (p, a), b in blocks.items()], "pivot int, annulus int, parts int")
+    box = "pivot int, annulus int, n long, lo array<double>, hi array<double>"
+    cells = index.select("v", "pivot", "annulus").mapInPandas(boxed, box).groupBy("pivot", "annulus").applyInPandas(joined, box).collect()
+    names = [(c.pivot, c.annulus) for c in cells]
+    lows, highs = (np.array([c[k] for c in cells]).reshape(len(cells), len(pivots)) for k in ("lo", "hi"))
+    pieces = [-(-c.n // BLOCK) for c in cells]
+    split = spark.createDataFrame([(p, a, b) for (p, a), b in zip(names, pieces, strict=True)], "pivot int, annulus int, parts int")
     index = index.join(F.broadcast(split), ["pivot", "annulus"]).withColumn("part", F.expr("cast(pmod(xxhash64(uid), parts) as int)"))
 
-    asked = base.where((F.col("id") % every == 0) & (F.size("v") == dim))
-    queries, path_q = stash(asked.groupBy("v").agg(F.min("id").alias("qid")), "topk-queries")
+    asked = base.where(F.col("id") % every == 0).withColumn("v", padded)
+    queries, path_q = stash(asked.select("v").distinct().withColumn("qid", F.monotonically_increasing_id()), "topk-queries")
+    # Of a block's best, this many leave k behind when the asking id's own vectors go.
+    most = k + (asked.groupBy("id").count().agg(F.max("count")).first()[0] or 0)
+    chunks = max(1, -(-queries.count() // QUERIES))
+    index = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))) if chunks > 1 else index.withColumn("chunk", F.lit(0))
 
     def visit(frames: Iterator[pd.DataFrame], home: bool) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -160,42 +202,41 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
                 continue
             x = _matrix(f["v"])
             # A query's own added component is 0; home is the cell nearest to it.
-            d = distances(np.c_[x.astype(float), np.zeros(len(x))])
+            table = bounds(distances(np.c_[x.astype(float), np.zeros(len(x))], pivots), lows, highs)
             limit = np.sqrt(np.maximum(0, (x.astype(float) ** 2).sum(1) + m - 2 * f["need"].to_numpy(float)))
-            gaps = {c: np.maximum(0, np.maximum(lo - d[:, c[0]], d[:, c[0]] - hi)) for c, (_, lo, hi) in blocks.items()}
-            names = list(gaps)
-            table = np.stack([gaps[c] for c in names], 1)
             near = table.argmin(1)
             for j, c in enumerate(names):
-                for part in range(blocks[c][0]):
+                for part in range(pieces[j]):
                     first = (near == j) & (part == 0)
                     sel = np.flatnonzero(first if home else ~first & (table[:, j] <= limit * (1 + SLACK) + SLACK))
                     if sel.size:
-                        g = f.iloc[sel][["qid", "v", "need"]].copy()
-                        g["to_pivot"], g["pivot"], g["annulus"], g["part"] = d[sel, c[0]], c[0], c[1], part
+                        g = f.iloc[sel][["qid", "v", "need", "chunk"]].copy()
+                        g["pivot"], g["annulus"], g["part"] = c[0], c[1], part
                         yield g
 
     def searched(plan: DataFrame) -> DataFrame:
-        key = ["pivot", "annulus", "part"]
+        key = ["pivot", "annulus", "part", "chunk"]
 
         def run(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-            out = _search(q, x, k, m) if len(q) and len(x) else []
+            out = _search(q, x, most, m, pivots)[0] if len(q) and len(x) else []
             return pd.DataFrame(out, columns=["qid", "score", "ids"])
 
         return plan.groupBy(*key).cogroup(index.groupBy(*key)).applyInPandas(run, "qid long, score long, ids array<long>")
 
-    visits = "qid long, v array<long>, need double, to_pivot double, pivot int, annulus int, part int"
+    visits = "qid long, v array<long>, need double, chunk int, pivot int, annulus int, part int"
+    queries = queries.withColumn("chunk", F.pmod(F.xxhash64("qid"), F.lit(chunks)).cast("int"))
     start = queries.withColumn("need", F.lit(float("-inf"))).repartition(spark.sparkContext.defaultParallelism, "qid")
     first, path_1 = stash(searched(start.mapInPandas(lambda fs: visit(fs, True), visits)), "topk-home")
 
     def best(found: DataFrame) -> DataFrame:
         each = found.select("qid", "score", F.explode("ids").alias("vec_id"))
         w = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-        return each.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
+        return each.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
 
-    floor = best(first).where(F.col("r") == k + 1).select("qid", F.col("score").cast("double").alias("known"))
-    later = queries.join(floor, "qid", "left").select("qid", "v", F.coalesce("known", F.lit(float("-inf"))).alias("need"))
+    floor = best(first).where(F.col("r") == most).select("qid", F.col("score").cast("double").alias("known"))
+    later = queries.join(floor, "qid", "left").select("qid", "v", "chunk", F.coalesce("known", F.lit(float("-inf"))).alias("need"))
     second = searched(later.mapInPandas(lambda fs: visit(fs, False), visits))
+    second, path_2 = stash(second, "topk-rest")
     found, path_f = stash(best(first.unionByName(second)).select("qid", "score", "vec_id"), "topk-found")
 
     own = asked.join(queries.select("v", "qid"), "v").select(F.col("id").alias("query_id"), "qid")
@@ -207,5 +248,5 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
         .where(F.col("rank") <= k)
         .select(F.col("query_id").cast("long"), F.col("rank").cast("int"), F.col("vec_id").cast("long"), "score")
     )
-    discard(spark, path_u, path_i, path_1)
+    discard(spark, path_u, path_i, path_1, path_2)
     return out
