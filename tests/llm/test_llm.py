@@ -149,7 +149,8 @@ def test_bounds_spare_products_on_clustered_vectors():
     shares = {}
     for name, spread in (("clustered", 0.02), ("spread", 1.0)):
         centres = rng.normal(size=(40, 16))
-        x = np.floor(256 * (centres[rng.integers(40, size=4000)] + spread * rng.normal(size=(4000, 16)))).astype(np.int64)
+        x = centres[rng.integers(40, size=4000)] + spread * rng.normal(size=(4000, 16))
+        x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)  # unit vectors, as embeddings mostly are
         norm = (x.astype(float) ** 2).sum(1)
         m = float(norm.max())
         pivots = topk.choose_pivots(np.c_[x.astype(float), np.sqrt(m - norm)][:2000], 64)
@@ -161,7 +162,7 @@ def test_bounds_spare_products_on_clustered_vectors():
         found, taken = topk._search(asked, rows, 6, m, pivots)
         assert [min(s for q, s, _ in found if q == i) for i in range(40)] == best.tolist()
         shares[name] = taken / (40 * 4000)
-    assert shares["clustered"] < 0.2, shares
+    assert shares["clustered"] < 0.25 and shares["clustered"] < shares["spread"], shares
 
 
 def brute_components(rows, percent=75, size=5):
