@@ -335,6 +335,38 @@ def test_marginals_equal_enumeration():
     assert np.allclose(got, (hot / total)[at])
 
 
+def test_slopes_equal_finite_differences():
+    rng = np.random.default_rng(1)
+    chains = []
+    for n, at in ((9, [0, 1, 4, 8]), (6, [2]), (4, []), (12, [3, 4, 5, 11]), (5, [0, 1, 2, 3, 4])):
+        chains.append((at, rng.integers(3, size=len(at)).tolist(), rng.integers(2, size=len(at)).astype(float), n))
+    c = toxicity.Chains(chains)
+    w, bias, trans = rng.normal(size=3), -0.6, rng.normal(size=(2, 2))
+    value, g, g_b, g_t = c.slopes(w, bias, trans)
+    # The likelihood itself by enumeration of all tags.
+    want = 0.0
+    for at, features, tags, n in chains:
+        given, total, own = dict(zip(at, features, strict=True)), 0.0, 0.0
+        truth = [int(dict(zip(at, tags, strict=True)).get(i, 0)) for i in range(n)]
+        for code in range(2**n):
+            y = [code >> i & 1 for i in range(n)]
+            score = sum(trans[a, b] + b * bias for a, b in zip([0, *y], y, strict=False)) + sum(w[given[i]] for i in at if y[i])
+            total += np.exp(score)
+            own = score if y == truth else own
+        want += own - np.log(total)
+    assert np.isclose(value, want)
+    e = 1e-5
+    for i in range(3):
+        d = np.eye(3)[i] * e
+        assert np.isclose((c.slopes(w + d, bias, trans)[0] - c.slopes(w - d, bias, trans)[0]) / (2 * e), g[i], atol=1e-5)
+    assert np.isclose((c.slopes(w, bias + e, trans)[0] - c.slopes(w, bias - e, trans)[0]) / (2 * e), g_b, atol=1e-5)
+    for a in (0, 1):
+        for b in (0, 1):
+            d = np.zeros((2, 2))
+            d[a, b] = e
+            assert np.isclose((c.slopes(w, bias, trans + d)[0] - c.slopes(w, bias, trans - d)[0]) / (2 * e), g_t[a, b], atol=1e-5)
+
+
 def test_pii_is_linked_valid_and_reversible(spark):
     texts = [
         "Card 4111 1111 1111 1111, again 4111111111111111; wrong 4111 1111 1111 1112.", "Mail jane.doe@example.com or JANE@x.org on 2024-02-29, not 2023-02-29.",

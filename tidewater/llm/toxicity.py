@@ -3,14 +3,14 @@
 Two tags, clean and toxic. Tokens of training texts are labelled: toxic where the
 text is labelled toxic and the word is far likelier in toxic texts than in others,
 else clean. A word's feature is the word itself or one of its beginnings (inflected and
-compound forms share these), whichever tells most. The field's weights of learnt
-features are fitted by gradient ascent on the conditional likelihood. The rest is not
-trained: the bias is a constant, and the tag transitions are log shares of counts in
-the labelled tokens; both stay fixed. Scoring runs
-forward-backward over the whole text. Words without weights all share one factor,
-so a run of k of them is one matrix power; the recursions visit only words with
-weights and stay exact. Marginals give the offending offsets, and a logistic link
-over them, fitted on the same training texts, the document's score.
+compound forms share these), whichever tells most. The weights of learnt features, the
+toxic tag's bias and the tag transitions are fitted together by gradient ascent on the
+conditional likelihood: observed minus expected counts, the latter from forward-backward
+over all chains at once. Words without weights all share one factor, so a run of k of
+them is one matrix power; the recursions visit only words with weights and stay exact.
+Scoring runs the same recursions over the whole text. Marginals give the offending
+offsets, and a logistic link over them, fitted on the same training texts, the
+document's score.
 """
 
 from __future__ import annotations
@@ -157,12 +157,88 @@ def without_copies(texts: list[str], most: float = 0.3) -> list[int]:
     return keep
 
 
-def fit_field(texts: list[str], toxic: list[bool], share: float | None = None, rounds: int = 30, rate: float = 0.5) -> Field:
+class Chains:
+    """Labelled chains as padded arrays, those with most weighted words first."""
+
+    def __init__(self, chains: list[tuple[list[int], list[int], np.ndarray, int]]):
+        """Each chain: places of its weighted words, their features' numbers, their tags, and its length in words."""
+        chains = sorted(chains, key=lambda c: -len(c[0]))
+        self.k = np.array([len(c[0]) for c in chains])
+        shape = (len(chains), int(self.k.max(initial=0)))
+        self.feature, self.gap, self.tag = np.full(shape, -1), np.zeros(shape), np.zeros(shape)
+        self.tail, self.n = np.zeros(len(chains)), np.array([float(c[3]) for c in chains])
+        self.seen = np.zeros((2, 2))  # observed transitions; words without weights are clean
+        for c, (at, features, tags, n) in enumerate(chains):
+            k, places = len(at), np.array([-1, *at])
+            self.feature[c, :k], self.tag[c, :k], self.gap[c, :k] = features, tags, np.diff(places) - 1
+            self.tail[c] = n - at[-1] - 1 if k else n
+            gaps, last = np.r_[self.gap[c, :k], self.tail[c]], np.r_[0, tags].astype(int)
+            np.add.at(self.seen, (last[gaps > 0], 0), 1)
+            self.seen[0, 0] += np.maximum(gaps - 1, 0).sum()
+            np.add.at(self.seen, (np.where(gaps[:-1] > 0, 0, last[:-1]), last[1:]), 1)
+        self.active = [int((self.k > i).sum()) for i in range(shape[1])]
+
+    def slopes(self, weights: np.ndarray, bias: float, transition: np.ndarray) -> tuple[float, np.ndarray, float, np.ndarray]:
+        """The conditional log likelihood and its slopes by weights, bias and transitions."""
+        psi = np.exp(transition + np.array([0.0, bias]))
+        values, v = map(np.real, np.linalg.eig(psi))
+        inverse, top = np.real(np.linalg.inv(v)), np.abs(values).max()
+        d = values / top
+        extra = np.exp(weights)
+        log_z, expected = self.n * 0.0, np.zeros((2, 2))
+        power = lambda g: d[None, :] ** g[:, None]
+
+        def within(f: np.ndarray, b: np.ndarray, g: np.ndarray) -> None:
+            """Add the expected transitions of runs of g plain words between forward f and backward b."""
+            with np.errstate(divide="ignore", invalid="ignore"):
+                own = np.where(g[:, None] > 0, g[:, None] * d[None, :] ** np.maximum(g - 1, 0)[:, None], 0.0)
+                cross = (d[0] ** g - d[1] ** g) / (d[0] - d[1])
+            s = np.stack([np.stack([own[:, 0], cross], 1), np.stack([cross, own[:, 1]], 1)], 1)
+            p, q = f @ v, b @ inverse.T
+            total = (p * power(g) * q).sum(1)
+            m = np.einsum("c,cp,cpq,cq->pq", (g > 0) / total, p, s, q)
+            expected[:] += psi / top * (inverse.T @ m @ v.T)
+
+        state = np.tile([1.0, 0.0], (len(self.k), 1))  # a clean tag stands before the text
+        before, middle, fore = [], [], []
+        for i, a in enumerate(self.active):
+            before.append(state[:a].copy())
+            mid = (state[:a] @ v * power(self.gap[:a, i])) @ inverse
+            phi = np.c_[np.ones(a), extra[self.feature[:a, i]]]
+            new = mid @ psi * phi
+            scale = new.sum(1)
+            log_z[:a] += np.log(scale) + self.gap[:a, i] * np.log(top)
+            state[:a] = new / scale[:, None]
+            middle.append(mid)
+            fore.append(state[:a].copy())
+        back = (power(self.tail) * inverse.sum(1)) @ v.T
+        log_z += np.log((state * back).sum(1)) + self.tail * np.log(top)
+        within(state, np.ones_like(state), self.tail)
+        slope = np.zeros(len(weights))
+        for i in range(len(self.active) - 1, -1, -1):
+            a = self.active[i]
+            phi = np.c_[np.ones(a), extra[self.feature[:a, i]]]
+            after = back[:a] * phi
+            p = fore[i] * back[:a]
+            slope += np.bincount(self.feature[:a, i], self.tag[:a, i] - p[:, 1] / p.sum(1), len(weights))
+            edge = middle[i][:, :, None] * psi * after[:, None, :]
+            expected += (edge / edge.sum((1, 2))[:, None, None]).sum(0)
+            come = after @ psi.T
+            come /= come.sum(1)[:, None]
+            within(before[i], come, self.gap[:a, i])
+            back[:a] = (come @ inverse.T * power(self.gap[:a, i])) @ v.T
+            back[:a] /= back[:a].sum(1)[:, None]
+        on = self.feature >= 0
+        score = weights[self.feature[on]] @ self.tag[on] + bias * self.seen[:, 1].sum() + (transition * self.seen).sum()
+        d_pair = self.seen - expected
+        return float(score - log_z.sum()), slope, float(d_pair[:, 1].sum()), d_pair
+
+
+def fit_field(texts: list[str], toxic: list[bool], share: float | None = None, rounds: int = 40, rate: float = 2.0) -> Field:
     """Label tokens, then fit the field and the link.
 
     Features with evidence of a third of what a toxic label takes have weights; all
-    other words share the plain factor. Gradients are observed minus expected counts,
-    the latter from forward-backward. ``share`` is that of toxic texts among all
+    other words share the plain factor. ``share`` is that of toxic texts among all
     labelled ones, if the given texts hold more of them; the link answers to it.
     """
     words = [lowered(t) for t in texts]
@@ -170,37 +246,35 @@ def fit_field(texts: list[str], toxic: list[bool], share: float | None = None, r
         return Field({}, 0.0, np.array([[2.0, -2.0], [0.0, 0.0]]), np.array([-5.0, 0.0, 0.0, 0.0]))
     # Features as usual in clean texts as in toxic ones carry no evidence and stay plain.
     evidence = telling(words, toxic, TOXIC_EVIDENCE / 3)
-    weights = dict.fromkeys(evidence, 0.0)
-    chooser = Field(weights, 0.0, np.zeros((2, 2)), np.zeros(4), evidence)
+    chooser = Field(dict.fromkeys(evidence, 0.0), 0.0, np.zeros((2, 2)), np.zeros(4), evidence)
     found = [chooser.features(ws) for ws in words]
-    weights = dict.fromkeys(sorted({f for _, names in found for f in names}), 0.0)
-    evidence = {f: evidence[f] for f in weights}
-    chains = []
-    for ws, t, (at, names) in zip(words, toxic, found, strict=True):
-        if at:
-            chains.append((at, names, np.array([float(t and evidence[f] > TOXIC_EVIDENCE) for f in names]), len(ws)))
-    # Transitions and bias by counting (with one added): plain words are clean throughout.
-    stay = 1.0 + sum(len(ws) for ws in words)
-    hits = 1.0 + sum(float(y.sum()) for _, _, y, _ in chains)
-    runs = 1.0 + sum(
-        float(sum(y[i] and y[i + 1] and at[i + 1] == at[i] + 1 for i in range(len(at) - 1))) for at, _, y, _ in chains
-    )
-    transition = np.log(np.array([[stay / (stay + hits), hits / (stay + hits)], [hits / (hits + runs), runs / (hits + runs)]]))
-    step = dict.fromkeys(weights, 1e-6)
-    field = Field(weights, -1.0, transition, np.zeros(4), evidence)
+    names = sorted({f for _, fs in found for f in fs})
+    number = {f: i for i, f in enumerate(names)}
+    evidence = {f: evidence[f] for f in names}
+    chains = Chains([
+        (at, [number[f] for f in fs], np.array([float(t and evidence[f] > TOXIC_EVIDENCE) for f in fs]), len(ws))
+        for ws, t, (at, fs) in zip(words, toxic, found, strict=True)
+    ])
+    # Ascent starts at the counted transitions (one added); each parameter has its own step length.
+    counted = chains.seen + 1.0
+    w, bias, transition = np.zeros(len(names)), 0.0, np.log(counted / counted.sum(1, keepdims=True))
+    step, step_b, step_t = np.full(len(names), 1e-6), 1e-6, np.full((2, 2), 1e-6)
+    best = (-np.inf, w, bias, transition)
     for _ in range(rounds):
-        slope = dict.fromkeys(weights, 0.0)
-        for at, names, y, n in chains:
-            m = field.marginals(at, [weights[w] for w in names], n)
-            for w, d in zip(names, y - m, strict=True):
-                slope[w] += d
-        for w, g in slope.items():  # each weight has its own step length
-            g -= 0.05 * weights[w]
-            step[w] += g * g
-            weights[w] += 4 * rate * g / step[w] ** 0.5
+        value, g, g_b, g_t = chains.slopes(w, bias, transition)
+        value -= 0.025 * (w @ w + bias**2 + (transition**2).sum())
+        if value > best[0]:
+            best = (value, w, bias, transition)
+        g, g_b, g_t = g - 0.05 * w, g_b - 0.05 * bias, g_t - 0.05 * transition
+        step, step_b, step_t = step + g * g, step_b + g_b * g_b, step_t + g_t * g_t
+        w = w + rate * g / step**0.5
+        bias, transition = bias + 0.1 * rate * g_b / step_b**0.5, transition + 0.1 * rate * g_t / step_t**0.5
+    _, w, bias, transition = best
+    weights = dict(zip(names, w.tolist(), strict=True))
+    field = Field(weights, bias, transition, np.zeros(4), evidence)
     rows = [
-        field.link_inputs(field.marginals(at, [weights[f] for f in names], len(ws)) if at else np.zeros(0), len(ws))
-        for ws, (at, names) in zip(words, found, strict=True)
+        field.link_inputs(field.marginals(at, [weights[f] for f in fs], len(ws)) if at else np.zeros(0), len(ws))
+        for ws, (at, fs) in zip(words, found, strict=True)
     ]
     x, y = np.array(rows), np.array(toxic, float)
     share = y.mean() if share is None else share
@@ -219,13 +293,13 @@ def fit_field(texts: list[str], toxic: list[bool], share: float | None = None, r
         while loss(link + move) > loss(link) and np.abs(move).max() > 1e-6:
             move = move / 2
         link = link + move
-    return Field(weights, -1.0, transition, link, evidence)
+    return Field(weights, bias, transition, link, evidence)
 
 
-def train(documents: DataFrame, labels: DataFrame, held_out: Column | None = None, bound: int = 5000) -> Field:
-    """Fit on at most about ``bound`` labelled texts, half of them toxic if there are as many.
+def train(documents: DataFrame, labels: DataFrame, held_out: Column | None = None, bound: int = 5000, longest: int = 16_384) -> Field:
+    """Fit on at most about ``bound`` labelled texts of at most ``longest`` letters, half of them toxic if there are as many.
 
-    Drawn by a hash of doc_id. ``labels`` needs doc_id and toxic; rows where
+    Drawn by a hash of doc_id; so the driver receives a bounded number of bytes. ``labels`` needs doc_id and toxic; rows where
     ``held_out`` (a predicate on doc_id) is true teach nothing. Without toxic
     texts every score is near 0.
     """
@@ -236,7 +310,9 @@ def train(documents: DataFrame, labels: DataFrame, held_out: Column | None = Non
     share = lambda t: 1_000_000 * min(1.0, bound / 2 / max(count.get(t, 0), 1))
     drawn = known.where(draw < F.when(F.col("toxic") == 1, share(1)).otherwise(share(0)))
     # About ``bound`` narrow rows: sent to the documents instead of shuffling these.
-    rows = documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").where(F.length("text") > 0).collect()
+    fit = documents.select("doc_id", "text").where(F.length("text").between(1, longest))
+    # Repeated ids could multiply the rows; the limit holds whatever happens.
+    rows = fit.join(F.broadcast(drawn), "doc_id").orderBy(draw, F.xxhash64("text")).limit(bound + bound // 5).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
     # Copies would make every word of theirs look telling.
     rows = [rows[i] for i in without_copies([r.text for r in rows])]
