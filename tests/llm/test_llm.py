@@ -188,8 +188,10 @@ def brute_components(rows, percent=75, size=5):
 
 @pytest.mark.parametrize("long", [2, 32])
 def test_jaccard_equals_all_pairs(spark, monkeypatch, long):
-    monkeypatch.setattr(jaccard, "LONG", long)
-    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    for name, value in (("LONG", long), ("BLOCK", 16), ("REST", 3), ("STAR", 4), ("SALTS", 3), ("HOT_BITS", 10 if long == 2 else 26)):
+        monkeypatch.setattr(jaccard, name, value)
+    rest, searched = jaccard._rest_links, []
+    monkeypatch.setattr(jaccard, "_rest_links", lambda *a: searched.append(rest(*a)) or searched[-1])
     rng, rows = random.Random(long), []
     common = " ".join(f"c{i}" for i in range(60))
     for g in range(25):
@@ -203,9 +205,20 @@ def test_jaccard_equals_all_pairs(spark, monkeypatch, long):
     rows += [(len(rows), None), (len(rows) + 1, ""), (len(rows) + 2, " \t"), (len(rows) + 3, "one"), (len(rows) + 4, "ONE"), (len(rows) + 5, rows[0][1])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, sid int")
     assert {tuple(r) for r in jaccard.near_duplicates(df).collect()} == brute_components(rows)
+    assert long > 2 or (searched[0] is not None and searched[0].count() >= 0)  # blocks of unlinked members were searched
     assert jaccard.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_t_occurrence_equals_counting():
+    rng = random.Random(9)
+    for _ in range(300):
+        names = [bytes([k]) for k in range(30)]
+        lists = [sorted(rng.sample(names, rng.choice([1, 2, 5, 20, 28]))) for _ in range(rng.randrange(1, 12))]
+        least = {y: rng.choice([1, 2, 4, 7]) for y in names}
+        count = Counter(y for one in lists for y in one)
+        assert jaccard.t_occurrence(lists, least) == [y for y in names if count[y] >= least[y]]
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (3, 3)], "a long, b long")
     got = dict(tuple(r) for r in components(links).collect())

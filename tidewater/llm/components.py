@@ -11,8 +11,8 @@ from tidewater.llm.common import discard, stash
 def components(links: DataFrame) -> DataFrame:
     """The smallest vertex that each linked vertex can reach: v, label.
 
-    ``links`` has columns a and b (64-bit, not null; order, repeats and loops do
-    not matter). Every round takes the smallest label among a vertex's neighbours
+    ``links`` has columns a and b (of one type that has an order, not null; order,
+    repeats and loops do not matter). Every round takes the smallest label among a vertex's neighbours
     and then that label's own label, so paths shrink as by halving; rounds end when
     no label changes. Each round is written to the shared folder, and the driver
     sees only a count.

@@ -6,22 +6,27 @@ in any global order. The order here puts shingles that many documents hold (a fi
 bitmap of them, from a count over all documents) behind the rest, so those first
 ones are mostly rare and their inverted lists short.
 
-Short lists are merged: pairs of entries are counted, and a pair stays only if it
-occurs in T lists, T being what its overlap must have within the first shingles.
-Long lists hold groups of near copies; each such group is searched as a whole with
-DivideSkip: a member's short lists are merged, the long ones only probed by binary
-search for members that have enough occurrences, and members that are connected
-already are skipped. Every pair that is left is verified on whole sets.
+Short lists travel to the sets that they name, and each set's lists are searched as
+DivideSkip does it: most of them are merged through a heap, the longest only probed by
+binary search, and a partner stays if it occurs in T lists, T being what the overlap
+must have within the first shingles. Long lists hold groups of near copies. A group's
+members are first verified against one of them, its pivot; only members that no link
+connects with the pivot by then are searched for in the whole group, in blocks, again
+with DivideSkip and leaving out what is connected already. Every pair that is left is
+verified on whole sets.
 """
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,12 +34,14 @@ from tidewater.llm.common import discard, fresh, mix64, quoted, release, stash,
 from tidewater.llm.components import components
 from tidewater.llm.shingles import set_id, shingle_sets
 
-#: log2 of the bits of the map of frequent shingles, and of that of wanted sets (both fixed: 8 MB and 4 MB).
-HOT_BITS, WANTED_BITS = 26, 25
-#: Lists with more entries are long; a shingle in more documents is frequent.
+#: log2 of the bits of the map of frequent shingles (8 MB), and of those of the map of wanted sets at most (32 MB).
+HOT_BITS, WANTED_BITS = 26, 28
+#: Lists with more entries are long; a shingle in more documents is frequent (in yet more, if too many are).
 LONG = 32
-#: Members of a long-list group that one block holds, and their shingles on average (a task holds two blocks).
-BLOCK, BLOCK_SHINGLES = 4096, 4_000_000
+#: Parts of a frequent shingle's list.
+SALTS = 64
+#: Members of a group that are verified against one copy of its pivot, that one block holds, and of the unlinked ones a block's other side.
+STAR, BLOCK, REST = 256, 4096, 1024
 
 
 def needed(nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
@@ -71,7 +78,7 @@ class _Seen:
     def __init__(self, limit: int = 200_000):
         self.ids, self.limit = set(), limit
 
-    def new(self, i: int) -> bool:
+    def new(self, i: bytes) -> bool:
         if i in self.ids:
             return False
         if len(self.ids) < self.limit:
@@ -83,10 +90,13 @@ def frequent_map(docs: DataFrame, size: int) -> np.ndarray:
     """A bitmap, by the top bits of a shingle, of shingles in more than LONG documents.
 
     Tasks send sorted 32-bit prefixes of their shingles, packed by range; each
-    range is counted in one task and comes back as its piece of the bitmap.
+    range is counted in one task and comes back as its piece of the bitmap. Where
+    so many are frequent that the map would fill up, only the most frequent are
+    marked: LONG is doubled until an eighth of the map is enough.
     """
     parts = max(8, 1 << (docs.rdd.getNumPartitions() - 1).bit_length())
-    parts = min(parts, 1 << 16)
+    bits_log, long = HOT_BITS, LONG
+    parts = min(parts, 1 << 16, (1 << bits_log) // 8)
 
     def pack(values: list[np.ndarray]) -> pa.RecordBatch:
         v, n = np.unique(np.concatenate(values), return_counts=True)
@@ -127,23 +137,39 @@ def frequent_map(docs: DataFrame, size: int) -> np.ndarray:
         order = np.argsort(v, kind="stable")
         v, n = v[order], n[order]
         start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, int)
-        hot = v[start][np.add.reduceat(n, start) > LONG] if len(start) else v
-        bits = np.zeros((1 << HOT_BITS) // parts, np.uint8)
-        bits[(hot >> np.uint32(32 - HOT_BITS)).astype(np.int64) % len(bits)] = 1
-        return pd.DataFrame({"part": rows["part"].iloc[:1], "bits": [np.packbits(bits).tobytes()]})
+        total = np.add.reduceat(n, start) if len(start) else n
+        hot, n = v[start][total > long], total[total > long]
+        level = np.bincount(np.log2(n // long).astype(int), minlength=1)
+        return pd.DataFrame({"part": rows["part"].iloc[:1], "hot": [hot.tobytes()], "n": [np.minimum(n, 2**32 - 1).astype(np.uint32).tobytes()], "levels": [level]})
 
     packed = docs.select("text").mapInArrow(count, "part int, steps binary, more binary")
-    pieces = packed.groupBy("part").applyInPandas(merge, "part int, bits binary").collect()
-    out = np.zeros((1 << HOT_BITS) // 8, np.uint8)
-    width = len(out) // parts
+    counted = packed.groupBy("part").applyInPandas(merge, "part int, hot binary, n binary, levels array<long>")
+    counted, path = stash(counted, "frequent")
+    levels = counted.select(F.posexplode("levels").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect()
+    above = 0
+    while sum(r.n for r in levels if r.level >= above) > 1 << (bits_log - 3):
+        above += 1
+    width = (1 << bits_log) // parts
+
+    def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for part, hot, n in zip(f["part"], f["hot"], f["n"], strict=True):
+                often = np.frombuffer(n, np.uint32) > (long << above)
+                bits = np.zeros(width, np.uint8)
+                bits[(np.frombuffer(hot, np.uint32)[often] >> np.uint32(32 - bits_log)).astype(np.int64) % width] = 1
+                yield pd.DataFrame({"part": [part], "bits": [np.packbits(bits).tobytes()]})
+
+    pieces = counted.select("part", "hot", "n").mapInPandas(mark, "part int, bits binary").collect()
+    discard(docs.sparkSession, path)
+    out = np.zeros((1 << bits_log) // 8, np.uint8)
     for r in pieces:
-        out[r.part * width : (r.part + 1) * width] = np.frombuffer(r.bits, np.uint8)
+        out[r.part * width // 8 : (r.part + 1) * width // 8] = np.frombuffer(r.bits, np.uint8)
     return out
 
 
 def first_shingles(s: np.ndarray, hot: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The shingles of a set that come first in the global order, and how many of them are frequent."""
-    at = s >> np.uint64(64 - HOT_BITS)
+    """The shingles of a set that come first in the global order, and how many of them, at the end, are frequent."""
+    at = s >> np.uint64(64 - (int(len(hot) * 8).bit_length() - 1))
     often = (hot[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1
     k = int(kept(len(s), percent))
     rare = int(len(s) - often.sum())
@@ -153,40 +179,108 @@ def first_shingles(s: np.ndarray, hot: np.ndarray, percent: int) -> tuple[np.nda
 
 
 def entries(docs: DataFrame, hot: np.ndarray, percent: int, size: int) -> DataFrame:
-    """The inverted lists' entries: shingle, sid (the set's identity), n (its size), heat (frequent ones among its first)."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    """The inverted lists' entries: shingle, salt, sid (the set's identity), weight.
+
+    A frequent shingle's list comes in SALTS parts (salt 1 and up; others have
+    salt 0). ``weight`` is the set's size and, above 32 bits, how many of its
+    first shingles are frequent.
+    """
+    shared, salts = docs.sparkSession.sparkContext.broadcast(hot), SALTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, bits = _Seen(), shared.value
         for batch in batches:
             for _, sets in _sets(batch, size):
-                token, sid, n, heat = [], [], [], []
+                token, salt, sid, k, weight = [], [], [], [], []
                 for s in sets:
                     if len(s) and seen.new(i := set_id(s)):
                         first, h = first_shingles(s, bits, percent)
                         token.append(first)
-                        sid.append((i, len(first)))
-                        n.append(len(s))
-                        heat.append(h)
+                        salt.append(np.r_[np.zeros(len(first) - h, np.int32), np.full(h, 1 + i[0] % salts, np.int32)])
+                        sid.append(i)
+                        k.append(len(first))
+                        weight.append((h << 32) + len(s))
                 if token:
-                    k = [x[1] for x in sid]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.concatenate(token).view(np.int64)),
-                            pa.array(np.repeat(np.array([x[0] for x in sid], np.int64), k)),
-                            pa.array(np.repeat(np.array(n, np.int32), k)),
-                            pa.array(np.repeat(np.array(heat, np.int32), k)),
+                            pa.array(np.concatenate(salt)),
+                            pa.array(sid, pa.binary()).take(pa.array(np.repeat(np.arange(len(sid)), k))),
+                            pa.array(np.repeat(np.array(weight, np.int64), k)),
                         ],
-                        ["shingle", "sid", "n", "heat"],
+                        ["shingle", "salt", "sid", "weight"],
                     )
 
-    return docs.select("text").mapInArrow(run, "shingle long, sid long, n int, heat int")
+    return docs.select("text").mapInArrow(run, "shingle long, salt int, sid binary, weight long")
+
+
+def least_occurrences(nx: int, ny: int, percent: int) -> int:
+    """How many lists of first shingles two sets of these sizes share at least, if they are similar."""
+    return -(-percent * (nx + ny) // (100 + percent)) - (-(-percent * max(nx, ny) // 100) - 1)
+
+
+def t_occurrence(lists: list[list[bytes]], least: dict[bytes, int]) -> list[bytes]:
+    """The members that occur in as many of the sorted lists as ``least`` asks of them.
+
+    The longest lists, fewer than any member needs, are not merged but probed.
+    """
+    lists = sorted(lists, key=len)
+    t = min(least.values())
+    skip = min(t - 1, len(lists) - 1, int(t / (0.01 * np.log2(2 + len(lists[-1])) + 1)))
+    short, long_ = lists[: len(lists) - skip], lists[len(lists) - skip :]
+    out = []
+    for y, run in groupby(heapq.merge(*short)):
+        n, need = sum(1 for _ in run), least[y]
+        for k, probed in enumerate(long_):
+            if n + len(long_) - k < need:
+                break
+            i = bisect_left(probed, y)
+            n += i < len(probed) and probed[i] == y
+        if n >= need:
+            out.append(y)
+    return out
+
+
+def short_list_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets that share enough short lists; ``lists`` has shingle, m (sorted sid and n of its sets)."""
+    later = F.expr(
+        "transform(sequence(0, size(m) - 2), i -> struct(m[i].sid as x, m[i].n as nx, filter(slice(m, i + 2, size(m)), "
+        f"y -> 100L * least(y.n, m[i].n) >= {percent}L * greatest(y.n, m[i].n)) as ys))"
+    )
+    sent = lists.select(F.explode(later).alias("p")).select("p.x", "p.nx", F.col("p.ys.sid").alias("ys"), F.col("p.ys.n").alias("ny"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, size, held, least = None, 0, [], {}
+
+        def found() -> list[tuple[bytes, bytes]]:
+            return [(last, y) for y in t_occurrence(held, least)] if held else []
+
+        for batch in batches:
+            out = []
+            for x, nx, ys, ny in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if x != last:
+                    out += found()
+                    last, size, held, least = x, nx, [], {}
+                held.append(ys)
+                for y, n in zip(ys, ny, strict=True):
+                    if y not in least:
+                        least[y] = least_occurrences(size, n, percent)
+            yield _links(out)
+        yield _links(found())
+
+    ordered = sent.where(F.size("ys") > 0).repartition("x").sortWithinPartitions("x")
+    return ordered.mapInArrow(run, "a binary, b binary")
+
+
+def _links(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)], ["a", "b"])
 
 
-def divide_skip(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def divide_skip(sets: list[np.ndarray], side: np.ndarray, percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect the members of a group: a spanning set of them, not all.
 
-    With two sides (0 and 1), only pairs between them are looked at.
+    With two sides (0 and 1), only pairs between them are looked at. ``known``
+    numbers what is connected already.
     """
     sizes = np.array([len(s) for s in sets])
     member = np.repeat(np.arange(len(sets)), sizes)
@@ -197,6 +291,9 @@ def divide_skip(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[
     length = ends - starts
     at, parent = np.cumsum(np.r_[0, sizes]), np.arange(len(sets))
     two, links = bool(side.any()), []
+    if known is not None:
+        _, first, place = np.unique(known, return_index=True, return_inverse=True)
+        parent = first[place]
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -204,7 +301,7 @@ def divide_skip(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[
             i = parent[i]
         return i
 
-    label = np.arange(len(sets))  # a root for each member, renewed after links
+    label = parent.copy()  # a root for each member, renewed after links
     for x in np.argsort(-sizes, kind="stable"):
         codes = code[at[x] : at[x + 1]]
         codes = codes[length[codes] > 1]
@@ -238,42 +335,75 @@ def divide_skip(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[
     return links
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets are similar."""
-    far = pairs.join(sets.select(F.col("sid").alias("b"), F.col("items").alias("y")), "b")
-    both = far.join(sets.select(F.col("sid").alias("a"), F.col("items").alias("x")), "a").select("a", "b", "x", "y")
+def _similar(both: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b whose whole sets x, y are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
-            ok = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(x, y, strict=True)]
-            rows = [(i, j) for i, j, k in zip(a, b, ok, strict=True) if k]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def _group_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links within the groups of long lists; those beyond a block's members or shingles go by pairs of blocks."""
-    size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    large, _ = stash(groups.groupBy("pivot").agg(size.alias("blocks")).where(F.col("blocks") > 1), "large")
-    held = groups.join(large, "pivot", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    mine = held.withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = mine.select("pivot", "sid", "mine", other).select(
-        "pivot", "sid", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine"
-    )
-    full = spread.join(sets.select("sid", "items"), "sid")
+            for k in range(0, batch.num_rows, 200):
+                rows = zip(*(c.to_pylist() for c in batch.slice(k, 200).columns), strict=True)
+                yield _links([(a, b) for a, b, x, y in rows if similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)])
+
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose whole sets are similar; no set is in more than a bounded number of pairs."""
+    far = pairs.join(sets.select(F.col("sid").alias("b"), F.col("items").alias("y")), "b")
+    return _similar(far.join(sets.select(F.col("sid").alias("a"), F.col("items").alias("x")), "a"), percent)
+
+
+def _with_pivots(groups: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``groups`` (pivot, sid, salt) joined with what ``table`` knows of pivots by ``key``; a copy for each salt, so no pivot is hot."""
+    copies = groups.select("pivot", "salt").distinct().join(table.withColumnRenamed(key, "pivot"), "pivot")
+    return groups.join(copies, ["pivot", "salt"])
+
+
+def _pivot_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the members of groups and their pivots."""
+    members = groups.where(F.col("sid") != F.col("pivot")).join(sets.select("sid", F.col("items").alias("y")), "sid")
+    both = _with_pivots(members, sets.select("sid", F.col("items").alias("x")), "sid")
+    return _similar(both.select(F.col("pivot").alias("a"), F.col("sid").alias("b"), "x", "y"), percent)
+
+
+def _rest_links(groups: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame | None:
+    """Links between members that nothing connects with their pivot yet and all others of their groups, or None if there are no such members.
+
+    Both sides are cut into blocks, and by size: similar sets are in the same
+    band of sizes or in neighbouring ones.
+    """
+    spark = groups.sparkSession
+    named = groups.join(labels.select(F.col("v").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    heads = groups.select(F.col("pivot").alias("sid")).distinct().join(labels.select(F.col("v").alias("sid"), "label"), "sid", "left")
+    heads = heads.select("sid", F.coalesce("label", "sid").alias("head"))
+    named, path = stash(_with_pivots(named, heads, "sid").withColumn("apart", F.col("label") != F.col("head")), "named")
+    sizes = named.groupBy("pivot").agg(F.count("*").alias("n"), F.count_if("apart").alias("rest")).where(F.col("rest") > 0)
+    sizes = sizes.select("pivot", F.ceil(F.col("n") / BLOCK).cast("int").alias("bn"), F.ceil(F.col("rest") / REST).cast("int").alias("br"))
+    sizes, path_s = stash(sizes, "rest")
+    if sizes.isEmpty():
+        discard(spark, path, path_s)
+        return None
+    band = F.floor(F.log("n") / float(np.log(100 / percent))).cast("int")
+    mine = _with_pivots(named, sizes, "pivot").withColumn("band", band).withColumn("h", F.xxhash64("sid"))
+    place: dict[str, Column] = {"i": F.pmod("h", "br").cast("int"), "j": F.pmod("h", "bn").cast("int")}
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    others = mine.select("pivot", "sid", "label", "band", place["j"].alias("j"), spread("br").alias("i"), F.lit(1).alias("side"))
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
+    rest = mine.where("apart").select("pivot", "sid", "label", near.alias("band"), place["i"].alias("i"), "bn")
+    rest = rest.select("pivot", "sid", "label", "band", spread("bn").alias("j"), "i", F.lit(0).alias("side"))
+    full = others.unionByName(rest).join(sets.select("sid", "items"), "sid")
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("sid").sort_values("sid")
-        items = [np.frombuffer(b, np.uint64) for b in rows["items"]]
-        side = (rows["mine"].to_numpy() != rows["i"].to_numpy()).astype(np.int8)
-        sid = rows["sid"].to_numpy()
-        links = divide_skip(items, side, percent) if len(items) > 1 else []
+        side = rows["side"].to_numpy()
+        if side.min() == side.max():
+            return pd.DataFrame([], columns=["a", "b"])
+        items, sid = [np.frombuffer(b, np.uint64) for b in rows["items"]], rows["sid"].to_numpy()
+        links = divide_skip(items, side, percent, pd.factorize(rows["label"])[0])
         return pd.DataFrame([(sid[a], sid[b]) for a, b in links], columns=["a", "b"])
 
-    return full.groupBy("pivot", "i", "j").applyInPandas(search, "a long, b long")
+    links, _ = stash(full.groupBy("pivot", "band", "i", "j").applyInPandas(search, "a binary, b binary"), "rest-links")
+    discard(spark, path, path_s)
+    return links
 
 
 def near_duplicates(documents: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
@@ -286,10 +416,10 @@ def near_duplicates(documents: DataFrame, percent: int = 75, size: int = 5) -> D
     its own component. A null doc_id takes part and reports its component's
     smallest known doc_id, or null. Repeated rows are returned again; an empty
     table gives none; other columns are left alone, whatever their names. Shingles
-    and sets are told apart by 64-bit fingerprints.
+    are told apart by 64-bit fingerprints, sets by 128-bit ones.
 
     No pair of a group of copies is listed: equal sets are one vertex, and long
-    lists yield spanning links. The driver holds two fixed bitmaps.
+    lists yield spanning links. The driver holds two bitmaps of bounded size.
     """
     spark = documents.sparkSession
     named = set_classes(documents.select("doc_id", "text"), percent, size)
@@ -322,36 +452,44 @@ def set_classes(docs: DataFrame, percent: int, size: int) -> DataFrame:
     spark, own = docs.sparkSession, [c for c in docs.columns if c != "text"]
     hot = frequent_map(docs, size)
 
-    lists = entries(docs, hot, percent, size)
-    lists = lists.repartition("shingle").dropDuplicates(["shingle", "sid"])
-    w = Window.partitionBy("shingle")
-    lists = lists.withColumn("entries", F.count("*").over(w)).where(F.col("entries") > 1)
-    pivot = F.max(F.struct("heat", "n", "sid")).over(w)
-    lists, path_l = stash(lists.withColumn("pivot", F.when(F.col("entries") > LONG, pivot.getField("sid"))), "lists")
-
-    # Short lists: at most LONG entries each, so their pairs are bounded by the entries.
-    short = lists.where(F.col("pivot").isNull()).groupBy("shingle").agg(F.sort_array(F.collect_list(F.struct("sid", "n"))).alias("m"))
-    pair = F.expr(
-        "flatten(transform(sequence(0, size(m) - 2), i -> transform(filter(slice(m, i + 2, size(m)), "
-        f"y -> 100L * least(y.n, m[i].n) >= {percent}L * greatest(y.n, m[i].n)), "
-        "y -> struct(m[i].sid as a, y.sid as b, m[i].n as na, y.n as nb))))"
-    )
-    counted = short.select(F.explode(pair).alias("p")).select("p.*").groupBy("a", "b", "na", "nb").count()
-    most = F.greatest("na", "nb")
-    overlap = F.expr(f"({percent}L * (na + nb) + {99 + percent}) div {100 + percent}")
-    occurrences = overlap - (F.expr(f"({percent}L * greatest(na, nb) + 99) div 100") - 1)
-    pairs = counted.where((F.col("count") >= occurrences) & (most > 0)).select("a", "b")
-    pairs, path_p = stash(pairs, "pairs")
-    groups, path_g = stash(lists.where(F.col("pivot").isNotNull()).select("pivot", "sid", "n").distinct(), "groups")
+    # A frequent shingle's list is spread over SALTS tasks, so none holds it whole.
+    lists = entries(docs, hot, percent, size).repartition("shingle", "salt").dropDuplicates(["shingle", "salt", "sid"])
+    part = Window.partitionBy("shingle", "salt")
+    top = F.max(F.struct("weight", "sid"))
+    lists = lists.withColumn("entries", F.count("*").over(part)).where((F.col("entries") > 1) | (F.col("salt") > 0))
+    pivot = F.when((F.col("salt") == 0) & (F.col("entries") > LONG), top.over(part).getField("sid"))
+    lists, path_l = stash(lists.withColumn("pivot", pivot), "lists")
+    plain = lists.where(F.col("salt") == 0).drop("salt")
+    salted = lists.where(F.col("salt") > 0).select("shingle", "salt", "sid", "weight")
+    parts = salted.groupBy("shingle", "salt").agg(F.count("*").alias("n"), top.alias("t"))
+    whole = parts.groupBy("shingle").agg(F.sum("n").alias("entries"), F.max("t").alias("top")).where(F.col("entries") > 1)
+    copies = parts.select("shingle", "salt").join(whole, "shingle")
+    salted = salted.join(copies, ["shingle", "salt"])
+    salted = salted.select("shingle", "sid", "weight", "entries", F.when(F.col("entries") > LONG, F.col("top.sid")).alias("pivot"))
+    lists, path_a = stash(plain.select(*salted.columns).union(salted), "all-lists")
     discard(spark, path_l)
 
-    # Whole sets are kept only where wanted; a fixed bitmap says which may be.
-    wanted = _bitmap(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(groups.select("sid")))
+    # Short lists: at most LONG entries each, so what is sent is bounded by the entries.
+    size_of = F.col("weight").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    member = F.struct("sid", size_of.alias("n"))
+    short = lists.where(F.col("pivot").isNull()).groupBy("shingle").agg(F.sort_array(F.collect_list(member)).alias("m"))
+    pairs, path_p = stash(short_list_pairs(short, percent), "pairs")
+    groups = lists.where(F.col("pivot").isNotNull()).groupBy("pivot", "sid").agg(F.max(size_of).alias("n"), F.max("entries").alias("entries"))
+    salt = F.pmod(F.xxhash64("sid"), F.ceil(F.col("entries") / STAR)).cast("int")
+    groups, path_g = stash(groups.select("pivot", "sid", "n", salt.alias("salt")), "groups")
+    discard(spark, path_a)
+
+    # Whole sets are kept only where wanted; a bitmap sized by their number says which may be.
+    wanted = _bitmap(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(groups.select("sid")), 2 * pairs.count() + groups.count())
     table, path_t = stash(_described(docs, wanted, size), "sets")
     sets = table.where(F.col("items").isNotNull()).groupBy("sid").agg(F.first("items").alias("items"))
-    links = _verify(pairs, sets, percent).union(_group_links(groups, sets, percent))
+    sets, path_u = stash(sets, "unique-sets")
+    links, path_k = stash(_verify(pairs, sets, percent).union(_pivot_links(groups, sets, percent)), "links")
     labels, path_c = stash(components(links), "components")
-    discard(spark, path_p, path_g)
+    more = _rest_links(groups, sets, labels, percent)
+    if more is not None:
+        labels, _ = stash(components(labels.select(F.col("v").alias("a"), F.col("label").alias("b")).union(more)), "components")
+    discard(spark, path_p, path_g, path_u, path_k)
 
     rows = table.select(*own, "n_shingles", "sid")
     named = rows.join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("class", F.coalesce("label", "sid"))
@@ -360,20 +498,27 @@ def set_classes(docs: DataFrame, percent: int, size: int) -> DataFrame:
     return named
 
 
-def _bit(sid: np.ndarray) -> np.ndarray:
-    return (mix64(sid.view(np.uint64)) >> np.uint64(64 - WANTED_BITS)).astype(np.int64)
+def _bit(sid: np.ndarray, bits: int) -> np.ndarray:
+    """Places in a map of 2 ** ``bits`` bits, from the first halves of identities."""
+    return (mix64(sid) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _halves(sids: list[bytes | None]) -> np.ndarray:
+    return np.frombuffer(b"".join((i or bytes(16))[:8] for i in sids), np.uint64)
 
 
-def _bitmap(sids: DataFrame) -> np.ndarray:
-    """A fixed-size map of hashed identities: no wanted one is missing, some others may be in it."""
+def _bitmap(sids: DataFrame, count: int) -> np.ndarray:
+    """A map of hashed identities, with 16 bits for each (and at most 2 ** WANTED_BITS): no wanted one is missing, some others may be in it."""
+    width = min(WANTED_BITS, max(16, int(16 * count).bit_length()))
+    size = (1 << width) // 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros((1 << WANTED_BITS) // 8, np.uint8)
+        bits = np.zeros(size, np.uint8)
         for batch in batches:
-            at = _bit(batch.column(0).to_numpy())
+            at = _bit(_halves(batch.column(0).to_pylist()), width)
             np.bitwise_or.at(bits, at >> 3, (1 << (7 - (at & 7))).astype(np.uint8))
         for k in range(256):
-            piece = bits[k * len(bits) // 256 : (k + 1) * len(bits) // 256]
+            piece = bits[k * size // 256 : (k + 1) * size // 256]
             if piece.any():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([piece.tobytes()])], ["k", "bits"])
 
@@ -382,15 +527,15 @@ def _bitmap(sids: DataFrame) -> np.ndarray:
         return pd.DataFrame({"k": rows["k"].iloc[:1], "bits": [out.tobytes()]})
 
     pieces = sids.mapInArrow(run, "k int, bits binary").groupBy("k").applyInPandas(merge, "k int, bits binary").collect()
-    out = np.zeros((1 << WANTED_BITS) // 8, np.uint8)
+    out = np.zeros(size, np.uint8)
     for r in pieces:
-        out[r.k * len(out) // 256 : (r.k + 1) * len(out) // 256] = np.frombuffer(r.bits, np.uint8)
+        out[r.k * size // 256 : (r.k + 1) * size // 256] = np.frombuffer(r.bits, np.uint8)
     return out
 
 
 def _described(docs: DataFrame, wanted: np.ndarray, size: int) -> DataFrame:
     """The columns but text, n_shingles, sid (null without words) and, where it may be wanted, the set itself."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    shared, width = docs.sparkSession.sparkContext.broadcast(wanted), int(len(wanted) * 8).bit_length() - 1
     own = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,16 +543,16 @@ def _described(docs: DataFrame, wanted: np.ndarray, size: int) -> DataFrame:
         for batch in batches:
             for part, sets in _sets(batch, size):
                 sid = [set_id(s) if len(s) else None for s in sets]
-                at = _bit(np.array([i or 0 for i in sid], np.int64))
+                at = _bit(_halves(sid), width)
                 hit = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
                 items = [s.tobytes() if i is not None and h and seen.new(i) else None for s, i, h in zip(sets, sid, hit, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(part.column(part.schema.get_field_index(c)) for c in own),
-                        pa.array([len(s) for s in sets], pa.int64()), pa.array(sid, pa.int64()), pa.array(items, pa.binary()),
+                        pa.array([len(s) for s in sets], pa.int64()), pa.array(sid, pa.binary()), pa.array(items, pa.binary()),
                     ],
                     [*own, "n_shingles", "sid", "items"],
                 )
 
     schema = T.StructType(docs.select(*own).schema.fields)
-    return docs.mapInArrow(run, schema.add("n_shingles", "long").add("sid", "long").add("items", "binary"))
+    return docs.mapInArrow(run, schema.add("n_shingles", "long").add("sid", "binary").add("items", "binary"))

@@ -35,6 +35,6 @@ def shingle_sets(texts: list[bytes], size: int = 5) -> Iterator[np.ndarray]:
             yield runs(words[a:b], list(range(b - a))) if b > a else NO_SET
 
 
-def set_id(shingles: np.ndarray) -> int:
-    """A 64-bit identity of a set."""
-    return int.from_bytes(blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_id(shingles: np.ndarray) -> bytes:
+    """A 128-bit identity of a set."""
+    return blake2b(shingles.tobytes(), digest_size=16).digest()
