@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.functions import logic
-from tidewater.operators import aggregates, asof, audits, clock, cohorts, features, overlap, progress, segments, stages
+from tidewater.operators import aggregates, asof, audits, clock, cohorts, features, overlap, progress, quantiles, segments, stages
 from tidewater.operators.stages import Hold, Stage
 from tidewater.sources import tables
 from tidewater.streaming import stages as stream
@@ -40,7 +40,7 @@ def test_empty_tables(spark):
     d = frame(spark, [], "k int, t long, id int, v double")
     assert clock.gap_aware(d, ["k"], "t", "id").count() == 0
     assert asof.asof_backward(d.select("k", "t", "id"), d.select("k", "t", "v"), ["k"], "t", ["v"]).count() == 0
-    assert segments.plateaus(d, ["k"], "t", "v", 1.0, 1).count() == 0
+    assert segments.plateaus(d.withColumn("gap", F.lit(False)), ["k"], ["t"], "t", "v", 1.0, 1, "gap").count() == 0
     assert aggregates.distribution(d, ["k"], "v").count() == 0
 
 
@@ -149,11 +149,31 @@ def test_phase_program(spark):
 
 
 def test_plateaus_are_greedy(spark):
-    d = frame(spark, [(1, t, v) for t, v in enumerate((0.0, 0.05, 0.1, 0.5, 0.5, None, 0.5, 0.5, 0.5))], "k int, t long, v double")
-    got = sorted((r.start, r.end, r.samples) for r in segments.plateaus(d, ["k"], "t", "v", 0.1, 2).collect())
+    d = frame(spark, [(1, t, v, False) for t, v in enumerate((0.0, 0.05, 0.1, 0.5, 0.5, None, 0.5, 0.5, 0.5))], "k int, t long, v double, gap boolean")
+    got = sorted((r.start, r.end, r.samples) for r in segments.plateaus(d, ["k"], ["t"], "t", "v", 0.1, 2, "gap").collect())
     assert got == [(0, 2, 3), (6, 8, 3)]
 
 
+def test_plateaus_and_growth_break_at_gaps_and_keep_large_keys(spark):
+    big = 2**60
+    rows = [(k, t, 1.0, t == 2) for k in (None, big + 1, big + 3) for t in range(6)]
+    d = frame(spark, rows, "k long, t long, v double, gap boolean")
+    got = {(r.k, r.start, r.end, r.samples) for r in segments.plateaus(d, ["k"], ["t"], "t", "v", 0.1, 0, "gap").collect()}
+    assert got == {(k, a, b, 3) for k in (None, big + 1, big + 3) for a, b in ((0, 2), (3, 5))}
+    assert segments.plateaus(d.where("t = 0"), ["k"], ["t"], "t", "v", 0.1, 0, "gap").count() == 0  # one sample is none
+    grows = d.withColumn("v", F.col("t").cast("double"))
+    assert {(r.start, r.end) for r in segments.growth_runs(grows, ["k"], ["t"], "t", "v", 0.5, "gap").collect()} == {(0, 2), (3, 5)}
+
+
+def test_quantiles_and_ranks_equal_the_definition(spark):
+    values = [1.0, 1.0, 1.0, 2.0, 5.0, 9.0, 9.5]
+    d = frame(spark, [("a", v) for v in values] + [("b", 3.0), ("b", None), ("c", None)], "k string, v double")
+    got = {r.k: (r.q1, r.m) for r in quantiles.quantiles(d, ["k"], "v", {"q1": 0.25, "m": 0.5}).collect()}
+    assert got == {"a": (1.0, 2.0), "b": (3.0, 3.0)}
+    r = quantiles.rank_interval(frame(spark, [("a", 1.0), ("a", 4.0), ("b", 9.0), ("z", 1.0)], "k string, v double"), d, ["k"], "v")
+    assert {(x.k, x.v, x.below, x.upto) for x in r.collect()} == {("a", 1.0, 0.0, 3 / 7), ("a", 4.0, 4 / 7, 4 / 7), ("b", 9.0, 1.0, 1.0), ("z", 1.0, None, None)}
+
+
 def test_progress_bins(spark):
     rows = [(1, i, t, p, g, s) for i, (t, p, g, s) in enumerate([(0, 0.0, False, 3.0), (1, 0.8, False, 4.0), (2, 1.0, False, 900.0)])]
     d = frame(spark, rows, "k int, id int, t long, p double, g boolean, s double")
@@ -177,7 +197,10 @@ def test_outcomes_without_interval(spark):
 def test_merge_keeps_the_base(spark):
     base, more = frame(spark, [(1, "a"), (2, "b")], "id int, x string"), frame(spark, [(2, "c"), (3, "d")], "id int, x string")
     union, changed = cohorts.merged_catalog(base, more, ["id"])
-    assert sorted(tuple(r) for r in union.collect()) == [(1, "a"), (2, "b"), (3, "d")] and changed.count() == 0
+    assert sorted(tuple(r) for r in union.collect()) == [(1, "a"), (2, "b"), (3, "d")]
+    assert [tuple(r) for r in changed.collect()] == [(2, "c")]
+    same = frame(spark, [(2, "b"), (3, "d")], "id int, x string")
+    assert cohorts.merged_catalog(base, same, ["id"])[1].count() == 0
 
 
 def test_jump_and_spike(spark):

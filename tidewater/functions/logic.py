@@ -58,17 +58,19 @@ def predicate(spec: dict) -> Column:
     """A declared predicate as a column: field, op, value, and perhaps reduce, length, center.
 
     ``op`` is one of OPERATORS, or one of them behind ``abs_``. With ``reduce`` the
-    field is an array, which needs ``length`` elements, all known. Outside the
-    domain the result is null.
+    field is an array, which needs ``length`` elements, all known and finite.
+    With ``physical`` (counts, speeds, loads, distances) negative numbers are
+    outside the domain. Outside the domain the result is null.
     """
     c, op = F.col(spec["field"]), spec["op"]
+    least = 0.0 if spec.get("physical") else None
     if "reduce" in spec:
-        ok = F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")))
+        ok = (F.size(c) > 0) & F.forall(c, lambda x: known(x, least).isNotNull())
         if "length" in spec:
             ok = ok & (F.size(c) == spec["length"])
         c = F.when(ok, REDUCERS[spec["reduce"]](c))
     elif op != "is":
-        c = known(c)
+        c = known(c, least)
     if "center" in spec:
         c = c - F.lit(spec["center"])
     if op.startswith("abs_"):

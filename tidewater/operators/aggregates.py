@@ -17,16 +17,20 @@ def weighted_quantiles(df: DataFrame, key: list[str], v: str, w: str, points: di
 
 
 def weighted_stats(df: DataFrame, key: list[str], v: str, w: str, ties: list[str]) -> DataFrame:
-    """Weighted mean, population std, p50 and p95 over rows of positive weight; peak over all known rows."""
+    """Weighted mean, population std, p50 and p95 over rows of positive weight; peak over all known rows.
+
+    Quantiles are marked by a running weight, so one sort of each key serves all.
+    """
     d = df.where(F.col(v).isNotNull())
+    d = d.withColumn("_c", F.sum(w).over(Window.partitionBy(*key).orderBy(v, *ties))).withColumn("_w", F.sum(w).over(Window.partitionBy(*key)))
     x, y = F.col(v), F.col(w).cast("double")
     mean = ratio(F.sum(x * y), F.sum(y))
     square = ratio(F.sum(x * x * y), F.sum(y))
-    base = d.groupBy(*key).agg(
+    mark = lambda q: F.min(F.when((F.col(w) > 0) & (F.col("_c") >= F.col("_w") * q), x))
+    return d.groupBy(*key).agg(
         F.count("*").alias("samples"), F.sum(w).cast("long").alias("weight"), mean.alias("mean"),
-        F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std"), F.max(v).alias("peak"),
+        F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std"), F.max(v).alias("peak"), mark(0.5).alias("p50"), mark(0.95).alias("p95"),
     )
-    return base.join(weighted_quantiles(d, key, v, w, {"p50": 0.5, "p95": 0.95}, ties), key, "left")
 
 
 def channel_stats(df: DataFrame, key: list[str], t: str, v: str, dur: str, on: float) -> DataFrame:
@@ -53,44 +57,27 @@ def distribution(df: DataFrame, key: list[str], v: str) -> DataFrame:
     return out.select(*[c for c in out.columns if c != "_p"], *[F.col("_p")[i].alias(n) for i, n in enumerate(("p25", "median", "p75"))])
 
 
-def median_mad(df: DataFrame, key: list[str], v: str) -> DataFrame:
-    """Median and median absolute deviation, in two passes."""
-    middle = df.groupBy(*key).agg(F.percentile(v, F.lit(0.5)).alias("median"))
-    off = df.join(middle, key)
-    return off.groupBy(*key, "median").agg(F.percentile(F.abs(F.col(v) - F.col("median")), F.lit(0.5)).alias("mad"))
-
-
 def percentile_scale(df: DataFrame, key: list[str], v: str, floor: float = 1.0) -> DataFrame:
     """The 99th percentile of absolute values, at least ``floor``."""
     return df.groupBy(*key).agg(F.greatest(F.lit(floor), F.percentile(F.abs(v), F.lit(0.99))).alias("scale"))
 
 
-def rank_interval(df: DataFrame, reference: DataFrame, key: list[str], v: str) -> DataFrame:
-    """Adds the shares of the key's reference values below, and at or below, each value.
-
-    Ranks come from one ordered window over both sides, not from a range join.
-    """
-    both = df.withColumn("_ref", F.lit(0)).unionByName(reference.select(*key, v).withColumn("_ref", F.lit(1)), allowMissingColumns=True)
-    total = F.sum("_ref").over(Window.partitionBy(*key))
-    upto = F.sum("_ref").over(Window.partitionBy(*key).orderBy(v).rangeBetween(Window.unboundedPreceding, 0))
-    same = F.sum("_ref").over(Window.partitionBy(*key, v))
-    d = both.withColumn("_t", total).withColumn("_u", upto).withColumn("_s", same).where(F.col("_ref") == 0)
-    t = F.col("_t").cast("double")
-    return d.select(*df.columns, ratio(F.col("_u") - F.col("_s"), t).alias("below"), ratio(F.col("_u"), t).alias("upto"))
-
-
 def agreement(df: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
-    """How two streams agree: pairs, correlation, root mean square and mean difference."""
+    """How two streams agree: pairs, correlation, root mean square, mean absolute and mean difference."""
     d = F.col(a) - F.col(b)
     return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*key).agg(
-        F.count("*").alias("pairs"), F.corr(a, b).alias("corr"), F.sqrt(F.avg(d * d)).alias("rms"), F.avg(d).alias("bias")
+        F.count("*").alias("pairs"), F.corr(a, b).alias("corr"), F.sqrt(F.avg(d * d)).alias("rms"), F.avg(F.abs(d)).alias("mae"), F.avg(d).alias("bias")
     )
 
 
-def load_shares(df: DataFrame, group: list[str], part: str, v: str) -> DataFrame:
-    """Each part's share of its group's total."""
-    sums = df.groupBy(*group, part).agg(F.sum(v).alias("load"))
-    return sums.withColumn("share", ratio(F.col("load"), F.sum("load").over(Window.partitionBy(*group))))
+def load_shares(df: DataFrame, group: list[str], part: str, v: str, w: str, parts: int, least: float) -> DataFrame:
+    """Each part's mean share of the total load, by weight: part, weight, share.
+
+    Only samples (``group``) count in which all ``parts`` are known and the total is above ``least``.
+    """
+    over = Window.partitionBy(*group)
+    d = df.withColumn("_n", F.count(v).over(over)).withColumn("_t", F.sum(v).over(over)).where((F.col("_n") == parts) & (F.col("_t") > least))
+    return d.groupBy(part).agg(F.sum(w).alias("weight"), ratio(F.sum(F.col(v) / F.col("_t") * F.col(w)), F.sum(w)).alias("share"))
 
 
 def extremes(df: DataFrame, group: list[str], by: str, item: str) -> DataFrame:

@@ -74,21 +74,27 @@ def first_seen(df: DataFrame, fingerprint: list[str], order: list[str], what: st
 
 
 def fingerprint(df: DataFrame, key: list[str], fields: list[Column]) -> DataFrame:
-    """A mergeable fingerprint of each key's rows, whatever their order: samples and sum of row digests' heads.
+    """A mergeable fingerprint of each key's rows, whatever their order: samples and the sum of row digests.
 
-    Row digests are SHA-256 of the fields joined by a bar; nothing is collected.
+    Row digests are SHA-256 of the fields, each with its length in front (a null
+    has none), so no two different rows spell alike. Two halves of 64 bits are
+    summed exactly; nothing is collected.
     """
-    row = F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in fields]), 256)
-    head = F.conv(F.substring(row, 1, 8), 16, 10).cast("long")
-    return df.groupBy(*key).agg(F.count("*").alias("samples"), F.sum(head).alias("fingerprint"))
+    spell = lambda c: F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-"))
+    row = F.sha2(F.concat(*[spell(c) for c in fields]), 256)
+    half = lambda i: F.sum(F.conv(F.substring(row, i, 16), 16, 10).cast("decimal(20, 0)")).cast("string")
+    return df.groupBy(*key).agg(F.count("*").alias("samples"), F.concat_ws(":", half(1), half(17)).alias("fingerprint"))
 
 
 def duplicate_groups(df: DataFrame, fingerprint: list[str], member: str, most: int = 10) -> DataFrame:
     """Fingerprints of several members: members, and the ``most`` smallest of them (a report, so bounded)."""
-    w = Window.partitionBy(*fingerprint).orderBy(member)
-    ranked = df.withColumn("_r", F.row_number().over(w))
-    out = ranked.groupBy(*fingerprint).agg(F.count("*").alias("members"), F.array_sort(F.collect_list(F.when(F.col("_r") <= most, F.col(member)))).alias("examples"))
-    return out.where(F.col("members") > 1)
+    part = F.pmod(F.xxhash64(member), F.lit(64))
+    first = lambda x: F.slice(F.array_sort(x), 1, most)
+    d = df.withColumn("_p", part)
+    # Parts of a hot fingerprint are ranked apart (Spark cuts ranks before the shuffle), then their first members together.
+    ranked = d.withColumn("_r", F.row_number().over(Window.partitionBy(*fingerprint, "_p").orderBy(member))).where(F.col("_r") <= most)
+    few = ranked.groupBy(*fingerprint).agg(first(F.collect_list(member)).alias("examples"))
+    return df.groupBy(*fingerprint).agg(F.count("*").alias("members")).where(F.col("members") > 1).join(few, fingerprint)
 
 
 def strict_prefix(df: DataFrame, key: list[str], t: str, tie: str, step: int, tolerance: int) -> DataFrame:

@@ -31,9 +31,12 @@ def cadence(df: DataFrame, key: list[str], t: str, tie: str) -> DataFrame:
 def gap_aware(df: DataFrame, key: list[str], t: str, tie: str, factor: float = 1.5, cap: bool = False) -> DataFrame:
     """Adds dur, gap and cadence: steps beyond ``factor`` cadences are gaps.
 
-    A gap's duration is wholly unknown, thus 0; with ``cap`` it is the limit.
+    A gap's duration is wholly unknown, thus 0; with ``cap`` it is the limit. All
+    are windows over one partitioning, so the rows are shuffled once.
     """
-    held = left_hold(df, key, t, tie).join(cadence(df, key, t, tie), key)
+    d = df.withColumn("_dt", F.col(t) - F.lag(t).over(in_order(key, t, tie)))
+    d = d.withColumn("cadence", F.percentile("_dt", F.lit(0.5)).over(Window.partitionBy(*key))).drop("_dt")
+    held = left_hold(d, key, t, tie)
     limit = F.col("cadence") * factor
     gap = F.coalesce(F.col("dur") > limit, F.lit(False))
     return held.withColumn("gap", gap).withColumn("dur", F.when(gap, limit if cap else 0).otherwise(F.col("dur")).cast("long"))

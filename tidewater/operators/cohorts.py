@@ -64,9 +64,14 @@ def classified(df: DataFrame, missing: dict[str, Column], invalid: dict[str, Col
 
 
 def deduplicated(df: DataFrame, fingerprint: list[str], order: list[str]) -> DataFrame:
-    """Adds kept (the first of each fingerprint) and kept_as, the first order value of the kept row."""
-    w = Window.partitionBy(*fingerprint).orderBy(*order)
-    return df.withColumn("kept", F.row_number().over(w) == 1).withColumn("kept_as", F.first(order[0]).over(w))
+    """Adds kept (the first of each fingerprint) and kept_as, the first order value of the kept row.
+
+    ``order`` tells rows apart. The first ones come from a partial aggregation, so
+    a hot fingerprint is combined before the shuffle and split in the join.
+    """
+    first = df.groupBy(*fingerprint).agg(F.min(F.struct(*order)).alias("_f"))
+    d = df.join(first, fingerprint)
+    return d.withColumn("kept", F.struct(*order) == F.col("_f")).withColumn("kept_as", F.col(f"_f.{order[0]}")).drop("_f")
 
 
 def without_leaks(df: DataFrame, held_out: DataFrame, on: list[str]) -> DataFrame:
@@ -75,10 +80,24 @@ def without_leaks(df: DataFrame, held_out: DataFrame, on: list[str]) -> DataFram
 
 
 def merged_catalog(base: DataFrame, added: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Base and new members in one table, and the base rows that the union would change (must be empty)."""
+    """Base and new members in one table, and the added rows that would change a base row of their key (must be empty).
+
+    The base rows stay as they are. A row is a change if some column differs, null
+    being a value; every added row that repeats a key is compared.
+    """
     new = added.join(base.select(*key), key, "left_anti")
-    changed = base.join(added, key).where(~F.lit(True)) if base.columns == key else base.select(*base.columns).exceptAll(base.unionByName(new).select(*base.columns))
-    return base.unionByName(new), changed
+    rest = [c for c in base.columns if c not in key]
+    theirs = added.select(*key, F.struct(*rest).alias("_new") if rest else F.lit(True).alias("_new"))
+    ours = base.select(*key, F.struct(*rest).alias("_old") if rest else F.lit(True).alias("_old"))
+    changed = ours.join(theirs, key).where(~F.col("_old").eqNullSafe(F.col("_new")))
+    return base.unionByName(new), changed.select(*key, *[F.col(f"_new.{c}").alias(c) for c in rest])
+
+
+def membership(base: DataFrame, added: DataFrame, key: list[str]) -> DataFrame:
+    """Every key of either side once, with in_base and in_added."""
+    a = base.select(*key).distinct().withColumn("in_base", F.lit(True))
+    b = added.select(*key).distinct().withColumn("in_added", F.lit(True))
+    return a.join(b, key, "full").na.fill(False, ["in_base", "in_added"])
 
 
 def differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -113,13 +132,23 @@ def consensus(df: DataFrame, key: list[str], value: str) -> DataFrame:
 def hash_split(df: DataFrame, group: list[str], key: str, share: float, seed: int) -> DataFrame:
     """Adds split: the first rows of each group by seeded hash are validation, at least one and never all.
 
-    Each group is ranked apart; without groups of bounded size use :func:`hash_split_threshold`.
+    Exact, and no group is ranked in one task: rows are counted by the first bits
+    of their hash, the running counts of these cells say which are taken whole,
+    and only the one cell of a group in which the limit falls is ranked.
     """
     h = seeded_hash(seed, F.col(key))
-    n = F.count("*").over(Window.partitionBy(*group))
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(h, key))
-    wanted = F.greatest(F.lit(1), F.least(n - 1, F.rint(n * share).cast("long")))
-    return df.withColumn("split", F.when(rank <= wanted, "validation").otherwise("train"))
+    d = df.withColumn("_h", h).withColumn("_cell", F.substring("_h", 1, 3))
+    cells = d.groupBy(*group, "_cell").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_cell")) - F.col("_n")
+    total = F.sum("_n").over(Window.partitionBy(*group))
+    wanted = F.greatest(F.lit(1), F.least(F.col("_t") - 1, F.rint(F.col("_t") * share).cast("long")))
+    cells = cells.withColumn("_before", before).withColumn("_t", total).withColumn("_left", wanted - F.col("_before")).drop("_t", "_before")
+    d = d.join(cells, [*group, "_cell"])
+    cut = (F.col("_left") > 0) & (F.col("_left") < F.col("_n"))
+    ranked = d.where(cut).withColumn("_r", F.row_number().over(Window.partitionBy(*group, "_cell").orderBy("_h", key)))
+    out = d.where(~cut).withColumn("_r", F.lit(0)).unionByName(ranked)
+    inside = F.when(F.col("_left") >= F.col("_n"), True).otherwise((F.col("_left") > 0) & (F.col("_r") <= F.col("_left")))
+    return out.withColumn("split", F.when(inside, "validation").otherwise("train")).drop("_h", "_cell", "_n", "_left", "_r")
 
 
 def hash_split_threshold(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
@@ -179,7 +208,7 @@ def same_rules(df: DataFrame, group: list[str], rule: str) -> DataFrame:
 
 
 def planned_against_reported(planned: DataFrame, reports: DataFrame, key: list[str], group: list[str], status: str, value: str) -> DataFrame:
-    """Experiment cells: planned, reported, evaluated, interrupted, success rate over evaluated ones, and the value's range."""
+    """Experiment cells: planned, reported, evaluated, interrupted, success rate over evaluated ones, and the value's range, sum and count."""
     d = planned.join(reports, key, "left")
     known = F.col(status).isNotNull()
     done = F.col(status).isin("success", "failure")
@@ -187,5 +216,5 @@ def planned_against_reported(planned: DataFrame, reports: DataFrame, key: list[s
         F.count("*").alias("planned"), F.count_if(known).alias("reported"), F.count_if(done).alias("evaluated"),
         F.count_if(known & ~done).alias("interrupted"),
         ratio(F.count_if(F.col(status) == "success").cast("double"), F.count_if(done)).alias("rate"),
-        F.min(value).alias("least"), F.avg(value).alias("mean"), F.max(value).alias("most"),
+        F.min(value).alias("least"), F.sum(value).alias("sum"), F.count(value).alias("values"), F.max(value).alias("most"),
     )

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.numbers import ratio
+from tidewater.operators.asof import asof_backward
 from tidewater.operators.clock import in_order
 
 
@@ -58,10 +59,10 @@ def effects(df: DataFrame, key: list[str], order: list[str], v: str, gap: str, t
     return out.withColumn("status", F.when(F.col("final").isNull(), "unknown").when(F.col("final") >= target, "pass").otherwise("fail"))
 
 
-def contact_effect(df: DataFrame, key: list[str], order: list[str], contact: str, progress: str, dur: str, least: float) -> DataFrame:
-    """Contact time with, without and with unknown progress to the next row."""
+def contact_effect(df: DataFrame, key: list[str], order: list[str], contact: str, progress: str, dur: str, least: float, gap: str) -> DataFrame:
+    """Contact time with, without and with unknown progress to the next row; across a gap it is unknown."""
     w = in_order(key, *order)
-    gain = F.lead(progress).over(w) - F.col(progress)
+    gain = F.when(~F.col(gap), F.lead(progress).over(w) - F.col(progress))
     d = df.withColumn("_g", gain).where(F.coalesce(F.col(contact), F.lit(False)))
     time = lambda c: F.sum(F.when(c, F.col(dur)).otherwise(0)).cast("long")
     return d.groupBy(*key).agg(
@@ -158,3 +159,19 @@ def wiped_share(df: DataFrame, key: list[str], order: list[str], gate: Column, p
     done = [F.sum(F.when(F.coalesce(gate, F.lit(False)), F.coalesce(c.cast("double"), F.lit(0.0))).otherwise(0.0)).over(w) / need for c, need in parts.values()]
     least = F.least(*done) if len(done) > 1 else done[0]
     return df.withColumn("remaining", 1 - F.least(F.greatest(least, F.lit(0.0)), F.lit(1.0)))
+
+
+def lookback_mean(df: DataFrame, key: list[str], t: str, tie: str, total: str, gap: str, back: int, unit: int) -> DataFrame:
+    """Adds mean: the growth of a cumulative counter since the last sample at least ``back`` ago, for each ``unit`` of time.
+
+    Null without such a sample, across a ``gap`` (behind a row), or where the counter went down on the way.
+    """
+    w = in_order(key, t, tie)
+    d = df.withColumn("_late", F.coalesce(F.lag(gap).over(w), F.lit(False))).withColumn("_down", F.coalesce(F.col(total) < F.lag(total).over(w), F.lit(False)))
+    d = d.withColumn("_bad", F.sum((F.col("_late") | F.col("_down")).cast("int")).over(w))
+    last = d.groupBy(*key, t).agg(F.max(F.struct(tie, F.col(total).alias("then"), F.col("_bad").alias("bad_then"))).alias("_s"))
+    last = last.select(*key, (F.col(t) + back).alias(t), F.col("_s.then").alias("then"), F.col("_s.bad_then").alias("bad_then"))
+    out = asof_backward(d, last, key, t, ["then", "bad_then"])
+    span = (F.col(t) - (F.col("rt") - back)) / unit
+    mean = F.when(F.col("_bad") == F.col("bad_then"), (F.col(total) - F.col("then")) / span)
+    return out.withColumn("mean", mean).drop("_late", "_down", "_bad", "rt", "age", "then", "bad_then")

@@ -31,13 +31,14 @@ def history(df: DataFrame, key: list[str], order: list[str], value: str, stride:
 
 
 def continuous_signs(df: DataFrame, key: list[str], order: list[str], array: str) -> DataFrame:
-    """Quaternions with signs such that neighbours are less than a right angle apart."""
+    """Quaternions with signs such that neighbours are less than a right angle apart; after a right angle the sign starts anew."""
     w = in_order(key, *order)
     d = df.withColumn("_before", F.lag(array).over(w))
     dot = F.aggregate(F.zip_with("_before", array, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    d = d.withColumn("_turn", F.sum(F.coalesce((dot < 0).cast("int"), F.lit(0))).over(w))
+    d = d.withColumn("_dot", dot).withColumn("_part", F.sum(F.coalesce((F.col("_dot") == 0).cast("int"), F.lit(0))).over(w))
+    d = d.withColumn("_turn", F.sum(F.coalesce((F.col("_dot") < 0).cast("int"), F.lit(0))).over(in_order([*key, "_part"], *order)))
     sign = F.when(F.col("_turn") % 2 == 1, -1.0).otherwise(1.0)
-    return d.withColumn("_s", sign).withColumn(array, F.transform(array, lambda x: x.cast("double") * F.col("_s"))).drop("_before", "_turn", "_s")
+    return d.withColumn("_s", sign).withColumn(array, F.transform(array, lambda x: x.cast("double") * F.col("_s"))).drop("_before", "_dot", "_part", "_turn", "_s")
 
 
 def feature_stats(df: DataFrame, key: list[str], array: str) -> DataFrame:

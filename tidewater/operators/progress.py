@@ -81,7 +81,7 @@ def decimated(df: DataFrame, key: list[str], t: str, v: str, width: int) -> Data
 
 
 def path_length(df: DataFrame, key: list[str], order: list[str], position: list[str]) -> DataFrame:
-    """Length of each key's path and the distance of its ends, null if a position is unknown: path, net."""
+    """Length of each key's known steps, and the distance of its ends, which is null if a position is unknown: path, net."""
     w = in_order(key, *order)
     step = F.sqrt(sum(((F.col(c) - F.lag(c).over(w)) ** 2 for c in position), F.lit(0.0)))
     whole = [F.col(c).isNotNull() for c in position]
@@ -91,4 +91,4 @@ def path_length(df: DataFrame, key: list[str], order: list[str], position: list[
     at = F.struct(*order, *position)
     d = df.withColumn("_s", step).groupBy(*key).agg(F.sum("_s").alias("path"), F.bool_and(known).alias("_k"), F.min(at).alias("_a"), F.max(at).alias("_b"))
     net = F.sqrt(sum(((F.col(f"_b.{c}") - F.col(f"_a.{c}")) ** 2 for c in position), F.lit(0.0)))
-    return d.select(*key, F.when(F.col("_k"), F.coalesce("path", F.lit(0.0))).alias("path"), F.when(F.col("_k"), net).alias("net"))
+    return d.select(*key, F.coalesce("path", F.lit(0.0)).alias("path"), F.when(F.col("_k"), net).alias("net"))

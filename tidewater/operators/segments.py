@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewater.operators.clock import in_order
 
@@ -113,10 +115,12 @@ def trailing_run(df: DataFrame, key: list[str], order: list[str], t: str, condit
     return d.where(F.col("_bad") == 0).groupBy(*key).agg(F.min(t).alias("since"), F.count("*").alias("samples"))
 
 
-def growth_runs(df: DataFrame, key: list[str], order: list[str], t: str, v: str, tolerance: float) -> DataFrame:
-    """Stretches over which each value exceeds the one before by more than ``tolerance``."""
+def growth_runs(df: DataFrame, key: list[str], order: list[str], t: str, v: str, tolerance: float, gap: str | None = None) -> DataFrame:
+    """Stretches over which each value exceeds the one before by more than ``tolerance``; no step crosses a ``gap`` (of the row before)."""
     w = in_order(key, *order)
     grows = F.coalesce(F.col(v) - F.lag(v).over(w) > tolerance, F.lit(False))
+    if gap is not None:
+        grows = grows & ~F.coalesce(F.lag(gap).over(w), F.lit(False))
     d = islands(df.withColumn("_g", grows), key, order, ~F.col("_g"))
     out = d.groupBy(*key, "island").agg(
         F.min(t).alias("start"), F.max(t).alias("end"), F.count("*").alias("samples"), (F.max(v) - F.min(v)).alias("rise")
@@ -124,35 +128,43 @@ def growth_runs(df: DataFrame, key: list[str], order: list[str], t: str, v: str,
     return out.where(F.col("samples") > 1).drop("island")
 
 
-def plateaus(df: DataFrame, key: list[str], t: str, v: str, tolerance: float, least: int) -> DataFrame:
-    """Greedy stretches whose values stay within ``tolerance`` for at least ``least``.
+def plateaus(df: DataFrame, key: list[str], order: list[str], t: str, v: str, tolerance: float, least: int, gap: str) -> DataFrame:
+    """Greedy stretches of two samples or more whose values stay within ``tolerance`` for at least ``least``.
 
-    Each begins where the one before ended, so this is read in order, a key at a
-    time, as a stream of sorted rows (memory does not grow with a key).
+    Each begins where the one before ended; an unknown value or a ``gap`` (behind a
+    row) ends one. So this is read in order, a key at a time, as a stream of sorted
+    rows (memory does not grow with a key). A key may be null or any whole number.
     """
     fields = dict(df.dtypes)
     schema = ", ".join([*(f"{k} {fields[k]}" for k in key), f"start {fields[t]}", f"end {fields[t]}", "samples long"])
-    names = [*key, "start", "end", "samples"]
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, lo, hi, start, end, n, out = None, 0.0, 0.0, 0, 0, 0, []
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lo, hi, start, end, n, cut, out = None, 0.0, 0.0, 0, 0, 0, False, []
 
         def close() -> None:
-            if n and end - start >= least:
+            if n > 1 and end - start >= least:
                 out.append((*now, start, end, n))
 
-        for f in frames:
-            for row in f.itertuples(index=False):
-                *k, at, x = row
-                if k == now and n and x == x and max(hi, x) - min(lo, x) <= tolerance:
+        for batch in batches:
+            for *k, at, x, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k == now and n and not cut and x is not None and max(hi, x) - min(lo, x) <= tolerance:
                     lo, hi, end, n = min(lo, x), max(hi, x), at, n + 1
-                    continue
-                close()
-                now, lo, hi, start, end, n = k, x, x, at, at, int(x == x)
-            yield pd.DataFrame(out, columns=names)
-            out = []
+                else:
+                    close()
+                    now, lo, hi, start, end, n = k, x, x, at, at, int(x is not None)
+                cut = ends
+            yield table(out)
+            out.clear()
         close()
-        yield pd.DataFrame(out, columns=names)
+        yield table(out)
+
+    names = [*key, "start", "end", "samples"]
+    kinds = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds.field(i).type) for i in range(len(names))], names)
 
-    ordered = df.select(*key, t, F.col(v).cast("double")).repartition(*key).sortWithinPartitions(*key, t)
-    return ordered.mapInPandas(scan, schema)
+    value = F.when(~F.isnan(F.col(v).cast("double")), F.col(v).cast("double"))
+    ordered = df.select(*key, t, value.alias("_v"), F.coalesce(gap, F.lit(False)).alias("_g"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)])
+    ordered = ordered.repartition(*key).sortWithinPartitions(*key, *[f"_o{i}" for i in range(len(order))]).select(*key, t, "_v", "_g")
+    return ordered.mapInArrow(scan, schema)

@@ -52,10 +52,11 @@ def first_seen_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.first_seen(d, ["h"], ["doc_id"], "doc_id").select("doc_id", "seen_as")
 
 
-@query("""WITH h AS (SELECT l_orderkey, ('0x' || substr(sha256(concat_ws('|', l_partkey, l_linenumber, coalesce(l_returnflag, ''))), 1, 8))::BIGINT AS h FROM lineitem)
-SELECT l_orderkey, count(*) AS samples, CAST(sum(h) AS BIGINT) AS fingerprint FROM h GROUP BY l_orderkey""")
+@query("""WITH f AS (SELECT l_orderkey, [CAST(l_partkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CASE WHEN l_returnflag <> 'A' THEN l_returnflag END] AS f FROM lineitem),
+h AS (SELECT l_orderkey, sha256(array_to_string(list_transform(f, lambda x: coalesce(len(x) || ':' || x, '-')), '')) AS h FROM f)
+SELECT l_orderkey, count(*) AS samples, sum(('0x' || substr(h, 1, 16))::UBIGINT::HUGEINT)::VARCHAR || ':' || sum(('0x' || substr(h, 17, 16))::UBIGINT::HUGEINT)::VARCHAR AS fingerprint FROM h GROUP BY l_orderkey""")
 def stream_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = [F.col(c) for c in ("l_partkey", "l_linenumber", "l_returnflag")]
+    fields = [F.col("l_partkey"), F.col("l_linenumber"), F.when(F.col("l_returnflag") != "A", F.col("l_returnflag"))]
     return audits.fingerprint(table(spark, sf_dir, "lineitem"), ["l_orderkey"], fields)
 
 

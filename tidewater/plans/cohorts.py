@@ -178,11 +178,31 @@ def member_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohorts.differences(part(0), part(1))
 
 
-@query(TRIALS_SQL + """, a AS (SELECT id, task FROM tr WHERE id % 3 = 0), b AS (SELECT id, task FROM tr WHERE id % 2 = 0)
-SELECT * FROM a UNION ALL SELECT * FROM b WHERE id NOT IN (SELECT id FROM a)""")
+MERGE_SQL = TRIALS_SQL + """, a AS (SELECT id, CASE WHEN id % 7 <> 0 THEN task END AS task FROM tr WHERE id % 3 <> 1),
+b AS (SELECT id, CASE WHEN id % 11 = 0 THEN 'other' WHEN id % 14 <> 0 THEN task END AS task FROM tr WHERE id % 3 <> 0)"""
+
+
+def merge_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A base and what is added to it: both hold a third of the trials, some of these with another or no task."""
+    t, i = trials(spark, sf_dir).select("id", "task"), F.col("id")
+    base = t.where(i % 3 != 1).withColumn("task", F.when(i % 7 != 0, F.col("task")))
+    return base, t.where(i % 3 != 0).withColumn("task", F.when(i % 11 == 0, "other").when(i % 14 != 0, F.col("task")))
+
+
+@query(MERGE_SQL + " SELECT * FROM a UNION ALL SELECT * FROM b WHERE id NOT IN (SELECT id FROM a)")
 def merged_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trials(spark, sf_dir).select("id", "task")
-    return cohorts.merged_catalog(t.where(F.col("id") % 3 == 0), t.where(F.col("id") % 2 == 0), ["id"])[0]
+    return cohorts.merged_catalog(*merge_sides(spark, sf_dir), ["id"])[0]
+
+
+@query(MERGE_SQL + " SELECT id, b.task FROM a JOIN b USING (id) WHERE a.task IS DISTINCT FROM b.task")
+def changed_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Added rows that would change an old member: a merge must have none."""
+    return cohorts.merged_catalog(*merge_sides(spark, sf_dir), ["id"])[1]
+
+
+@query(MERGE_SQL + " SELECT id, a.id IS NOT NULL AS in_base, b.id IS NOT NULL AS in_added FROM a FULL JOIN b USING (id)")
+def membership_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohorts.membership(*merge_sides(spark, sf_dir), ["id"])
 
 
 @query(TRIALS_SQL + """ SELECT task, cust, count(DISTINCT model) AS rules, count(DISTINCT model) = 1 AS compatible FROM tr GROUP BY task, cust""")
@@ -190,14 +210,18 @@ def rule_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohorts.same_rules(trials(spark, sf_dir), ["task", "cust"], "model")
 
 
-@query("""WITH p AS (SELECT c_custkey, c_mktsegment AS cell FROM customer), r AS (SELECT o_custkey AS c_custkey, max(CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'failure' ELSE 'interrupted' END) AS status, max(o_totalprice) AS value FROM orders GROUP BY o_custkey)
+@query("""WITH p AS (SELECT c_custkey, c_mktsegment AS cell FROM customer),
+r AS (SELECT o_custkey AS c_custkey, arg_max(CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'failure' ELSE 'interrupted' END, (o_orderdate, o_orderkey)) AS status, CAST(max(o_totalprice) * 100 AS BIGINT) AS value FROM orders GROUP BY o_custkey)
 SELECT cell, count(*) AS planned, count(status) AS reported, count(*) FILTER (status IN ('success', 'failure')) AS evaluated, count(*) FILTER (status = 'interrupted') AS interrupted,
 round(CASE WHEN count(*) FILTER (status IN ('success', 'failure')) > 0 THEN count(*) FILTER (status = 'success') / count(*) FILTER (status IN ('success', 'failure')) END, 6) AS rate,
-min(value) AS least, round(avg(value), 4) AS mean, max(value) AS most FROM p LEFT JOIN r USING (c_custkey) GROUP BY cell""")
+min(value) AS least, CAST(sum(value) AS BIGINT) AS sum, count(value) AS "values", max(value) AS most FROM p LEFT JOIN r USING (c_custkey) GROUP BY cell""")
 def planned_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's latest order is the report of its cell; prices are whole cents."""
     code = F.col("o_orderstatus")
-    status = F.max(F.when(code == "F", "success").when(code == "O", "failure").otherwise("interrupted")).alias("status")
-    reports = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(status, F.max("o_totalprice").alias("value"))
+    status = F.when(code == "F", "success").when(code == "O", "failure").otherwise("interrupted")
+    latest = F.max(F.struct("o_orderdate", "o_orderkey", status.alias("s"))).getField("s").alias("status")
+    cents = F.round(F.max("o_totalprice") * 100).cast("long").alias("value")
+    reports = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(latest, cents)
     planned = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("cell"))
     d = cohorts.planned_against_reported(planned, reports, ["c_custkey"], ["cell"], "status", "value")
-    return d.withColumns({"rate": F.round("rate", 6), "mean": F.round("mean", 4)})
+    return d.withColumn("rate", F.round("rate", 6))

@@ -43,12 +43,12 @@ def observed_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.effects(held(spark, sf_dir), K, BY, "v", "gap", 50.0).withColumn("change", F.round("change", 4))
 
 
-@query(f"""WITH {D_SQL}, x AS (SELECT *, lead(v) OVER (PARTITION BY k ORDER BY t, id) - v AS gain FROM d)
+@query(f"""WITH {D_SQL}, x AS (SELECT *, CASE WHEN NOT gap THEN lead(v) OVER (PARTITION BY k ORDER BY t, id) - v END AS gain FROM d)
 SELECT k, CAST(sum(CASE WHEN gain > 0 THEN d ELSE 0 END) AS BIGINT) AS with_progress, CAST(sum(CASE WHEN gain <= 0 THEN d ELSE 0 END) AS BIGINT) AS without_progress,
 CAST(sum(CASE WHEN gain IS NULL THEN d ELSE 0 END) AS BIGINT) AS unknown FROM x WHERE ch = 'view' GROUP BY k""")
 def contact_with_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = held(spark, sf_dir).withColumn("touch", F.col("ch") == "view")
-    return evidence.contact_effect(d, K, BY, "touch", "v", "dur", 0.0)
+    return evidence.contact_effect(d, K, BY, "touch", "v", "dur", 0.0, "gap")
 
 
 @query("""WITH {samples}, x AS (SELECT k, max(v) FILTER (ch <> 'error') AS sampled, max(v) FILTER (ch = 'error') AS reported FROM s GROUP BY k)

@@ -44,12 +44,14 @@ def feature_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.feature_stats(e, ["label"], "x").withColumns({c: F.round(c, 6) for c in ("least", "most", "mean", "std")})
 
 
-@query("""WITH q AS (SELECT vec_id, label, list_transform(embedding[1:4], lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings),
-d AS (SELECT *, coalesce(list_dot_product(lag(q) OVER (PARTITION BY label ORDER BY vec_id), q) < 0, false) AS flip FROM q),
-f AS (SELECT *, sum(CASE WHEN flip THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY vec_id) % 2 AS odd FROM d)
+@query("""WITH q AS (SELECT vec_id, label, CASE WHEN vec_id % 9 = 0 THEN [0.0, 0, 0, 0]::DOUBLE[] ELSE list_transform(embedding[1:4], lambda x: CAST(x AS DOUBLE)) END AS q FROM embeddings),
+d AS (SELECT *, list_dot_product(lag(q) OVER (PARTITION BY label ORDER BY vec_id), q) AS dot FROM q),
+z AS (SELECT *, sum(CASE WHEN dot = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY vec_id) AS part FROM d),
+f AS (SELECT *, sum(CASE WHEN dot < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY label, part ORDER BY vec_id) % 2 AS odd FROM z)
 SELECT vec_id, list_transform(q, lambda x: round(CASE WHEN odd = 1 THEN -x ELSE x END, 6)) AS q FROM f""")
 def continuous_quaternions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 4).alias("q"))
+    q = F.when(F.col("vec_id") % 9 == 0, F.array_repeat(F.lit(0.0), 4)).otherwise(F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", q.alias("q"))
     return features.continuous_signs(e, ["label"], ["vec_id"], "q").select("vec_id", F.transform("q", lambda x: F.round(x, 6)).alias("q"))
 
 

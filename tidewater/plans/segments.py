@@ -113,17 +113,25 @@ def terminal_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.trailing_run(samples(spark, sf_dir), K, BY, "t", F.col("v") < 300)
 
 
-@query("""WITH {samples}, x AS (SELECT *, coalesce(v - lag(v) OVER (PARTITION BY k ORDER BY t, id) > 20, false) AS g FROM s),
+@query(f"""WITH {HELD_SQL}, x AS (SELECT * EXCLUDE (gap), coalesce(v - lag(v) OVER w > 20 AND NOT lag(gap) OVER w, false) AS g FROM g WINDOW w AS (PARTITION BY k ORDER BY t, id)),
 i AS (SELECT *, sum(CASE WHEN g THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY t, id) AS i FROM x)
 SELECT k, min(t) AS start, max(t) AS "end", count(*) AS samples, round(max(v) - min(v), 4) AS rise FROM i GROUP BY k, i HAVING count(*) > 1""")
 def growth_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.growth_runs(samples(spark, sf_dir), K, BY, "t", "v", 20).withColumn("rise", F.round("rise", 4))
-
-
-@query()
+    s = clock.gap_aware(samples(spark, sf_dir), K, "t", "id")
+    return segments.growth_runs(s, K, BY, "t", "v", 20, "gap").withColumn("rise", F.round("rise", 4))
+
+
+@query(f"""WITH RECURSIVE {HELD_SQL}, n AS (SELECT k, t, v, gap, row_number() OVER (PARTITION BY k ORDER BY t, id) AS i FROM g),
+r AS (SELECT k, i, t, v, gap, v AS lo, v AS hi, t AS start, CASE WHEN v IS NULL THEN 0 ELSE 1 END AS n FROM n WHERE i = 1
+  UNION ALL SELECT n.k, n.i, n.t, n.v, n.gap,
+    CASE WHEN j THEN least(lo, n.v) ELSE n.v END, CASE WHEN j THEN greatest(hi, n.v) ELSE n.v END, CASE WHEN j THEN start ELSE n.t END,
+    CASE WHEN j THEN r.n + 1 WHEN n.v IS NULL THEN 0 ELSE 1 END
+  FROM r JOIN n ON n.k = r.k AND n.i = r.i + 1, LATERAL (SELECT r.n > 0 AND NOT r.gap AND n.v IS NOT NULL AND greatest(hi, n.v) - least(lo, n.v) <= 150 AS j)),
+e AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY k ORDER BY i) <> start OR lead(n) OVER (PARTITION BY k ORDER BY i) <> n + 1, true) AS last FROM r)
+SELECT k, start, t AS "end", CAST(n AS BIGINT) AS samples FROM e WHERE last AND n > 1 AND t - start >= {12 * HOUR}""")
 def plateau_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = samples(spark, sf_dir).groupBy("k", "t").agg(F.max("v").alias("v"))
-    return segments.plateaus(one, K, "t", "v", 150.0, 12 * HOUR)
+    s = clock.gap_aware(samples(spark, sf_dir), K, "t", "id")
+    return segments.plateaus(s, K, BY, "t", "v", 150.0, 12 * HOUR, "gap")
 
 
 @query("""WITH {samples}, e AS (SELECT k, t, percent_rank() OVER (PARTITION BY k ORDER BY t, id) AS p FROM s), m AS (SELECT unnest([0.2, 0.4, 0.6, 0.8, 1.0]) AS edge)

@@ -186,7 +186,7 @@ def plot_decimation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH {samples}, p AS (SELECT k, t, id, CASE WHEN k % 2 = 0 THEN coalesce(v, 0) ELSE v END AS x, id % 100 / 10.0::DOUBLE AS y FROM s),
 q AS (SELECT *, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) AS st FROM p WINDOW w AS (PARTITION BY k ORDER BY t, id)),
 e AS (SELECT k, sum(st) AS path, count(*) = count(x) AS whole, first(x ORDER BY t, id) AS x0, first(y ORDER BY t, id) AS y0, last(x ORDER BY t, id) AS x1, last(y ORDER BY t, id) AS y1 FROM q GROUP BY k)
-SELECT k, round(CASE WHEN whole THEN coalesce(path, 0) END, 4) AS path, round(CASE WHEN whole THEN sqrt(power(x1 - x0, 2) + power(y1 - y0, 2)) END, 4) AS net FROM e""")
+SELECT k, round(coalesce(path, 0), 4) AS path, round(CASE WHEN whole THEN sqrt(power(x1 - x0, 2) + power(y1 - y0, 2)) END, 4) AS net FROM e""")
 def path_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = samples(spark, sf_dir)
     x = F.when(F.col("k") % 2 == 0, F.coalesce("v", F.lit(0.0))).otherwise(F.col("v"))

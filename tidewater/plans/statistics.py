@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import logic, numbers
-from tidewater.operators import aggregates, clock, grids
+from tidewater.operators import aggregates, clock, evidence, grids, quantiles
 from tidewater.plans.registry import query, samples, table
 from tidewater.plans.time import HELD_SQL, HOUR
 
@@ -67,7 +67,7 @@ def episode_first_population(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH {samples}, m AS (SELECT ch, quantile_cont(v, 0.5) AS median FROM s GROUP BY ch)
 SELECT ch, round(any_value(median), 4) AS median, round(quantile_cont(abs(v - median), 0.5), 4) AS mad FROM s JOIN m USING (ch) GROUP BY ch""")
 def median_mad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(aggregates.median_mad(samples(spark, sf_dir), ["ch"], "v"), "median", "mad")
+    return rounded(quantiles.median_mad(samples(spark, sf_dir), ["ch"], "v"), "median", "mad")
 
 
 @query("""WITH {samples} SELECT k, round(greatest(1.0, quantile_cont(abs(v), 0.99)), 4) AS scale FROM s GROUP BY k""")
@@ -80,26 +80,29 @@ SELECT q.id, any_value(q.ch) AS ch, any_value(q.v) AS v, round(count(*) FILTER (
 FROM q JOIN r USING (ch) GROUP BY q.id""")
 def rank_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = samples(spark, sf_dir).where(F.col("v").isNotNull())
-    out = aggregates.rank_interval(s.where(F.col("k") % 2 == 1).select("ch", "id", "v"), s.where(F.col("k") % 2 == 0), ["ch"], "v")
+    out = quantiles.rank_interval(s.where(F.col("k") % 2 == 1).select("ch", "id", "v"), s.where(F.col("k") % 2 == 0), ["ch"], "v")
     return rounded(out, "below", "upto", digits=6)
 
 
 @query(f"""WITH {{samples}}, h AS (SELECT k, t // {24 * HOUR} AS h, avg(v) FILTER (ch = 'click') AS a, avg(v) FILTER (ch = 'view') AS b FROM s GROUP BY ALL)
-SELECT k, count(*) AS pairs, round(CASE WHEN stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END, 4) AS corr, round(sqrt(avg((a - b) * (a - b))), 4) AS rms, round(avg(a - b), 8) AS bias
+SELECT k, count(*) AS pairs, round(CASE WHEN stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END, 4) AS corr, round(sqrt(avg((a - b) * (a - b))), 4) AS rms, round(avg(abs(a - b)), 8) AS mae, round(avg(a - b), 8) AS bias
 FROM h WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY k""")
 def stream_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.floor(F.col("t") / (24 * HOUR)).cast("long")
     mean = lambda c: F.avg(F.when(F.col("ch") == c, F.col("v")))
     h = samples(spark, sf_dir).groupBy("k", day.alias("h")).agg(mean("click").alias("a"), mean("view").alias("b"))
     out = aggregates.agreement(h, K, "a", "b").withColumn("corr", F.when(~F.isnan("corr"), F.col("corr")))
-    return rounded(rounded(out, "corr", "rms"), "bias", digits=8)
+    return rounded(rounded(out, "corr", "rms"), "mae", "bias", digits=8)
 
 
-@query("""WITH {samples}, x AS (SELECT k, ch, sum(v) AS load FROM s GROUP BY k, ch)
-SELECT k, ch, round(load, 4) AS load, round(CASE WHEN sum(load) OVER w <> 0 THEN load / sum(load) OVER w END, 6) AS share FROM x WINDOW w AS (PARTITION BY k)""")
+@query("""WITH x AS (SELECT vec_id, i, CAST(embedding[i + 1] AS DOUBLE) AS f FROM embeddings, range(5) r(i)),
+y AS (SELECT vec_id, i, CASE WHEN f > -0.15 THEN greatest(f, 0) END AS f, 1 + vec_id % 3 AS w FROM x),
+z AS (SELECT *, count(f) OVER (PARTITION BY vec_id) AS n, sum(f) OVER (PARTITION BY vec_id) AS t FROM y)
+SELECT CAST(i AS INTEGER) AS finger, CAST(sum(w) AS BIGINT) AS weight, round(sum(f / t * w) / sum(w), 6) AS share FROM z WHERE n = 5 AND t > 0.05 GROUP BY i""")
 def load_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = aggregates.load_shares(samples(spark, sf_dir), K, "ch", "v").withColumn("load", F.round("load", 4))
-    return rounded(out, "share", digits=6)
+    e = table(spark, sf_dir, "embeddings").select("vec_id", (1 + F.col("vec_id") % 3).alias("w"), F.posexplode(F.slice("embedding", 1, 5)).alias("finger", "f"))
+    e = e.withColumn("f", F.when(F.col("f") > -0.15, F.greatest(F.col("f").cast("double"), F.lit(0.0))))
+    return rounded(aggregates.load_shares(e, ["vec_id"], "finger", "f", "w", 5, 0.05), "share", digits=6)
 
 
 @query("""WITH {samples}, r AS (SELECT *, row_number() OVER (PARTITION BY k, ch ORDER BY v, id) AS lo, row_number() OVER (PARTITION BY k, ch ORDER BY v DESC, id) AS hi FROM s WHERE v IS NOT NULL)
@@ -222,16 +225,21 @@ def declared_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", *[logic.predicate(s).alias(n) for n, s in spec.items()])
 
 
-@query("""WITH {samples}, x AS (SELECT k, sum(v) AS total, count(*) AS n, count(v) AS known FROM s GROUP BY k)
-SELECT k, CASE WHEN n = known THEN round(total, 4) END AS strict_total FROM x""")
+@query("""SELECT vec_id, CASE WHEN len(list_filter(embedding[1:5], lambda x: x < -0.15)) = 0 THEN round(list_sum(list_transform(embedding[1:5], lambda x: CAST(x AS DOUBLE))), 5) END AS strict_total,
+CASE WHEN embedding[1] >= -0.15 AND embedding[2] >= -0.15 THEN round(CAST(embedding[1] AS DOUBLE) + embedding[2], 5) END AS two FROM embeddings""")
 def strict_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = samples(spark, sf_dir).groupBy("k").agg(F.sum("v").alias("total"), F.count("*").alias("n"), F.count("v").alias("known"))
-    return d.select("k", F.when(F.col("n") == F.col("known"), F.round("total", 4)).alias("strict_total"))
+    x = F.transform(F.slice("embedding", 1, 5), lambda v: F.when(v >= -0.15, v.cast("double")))
+    d = table(spark, sf_dir, "embeddings").select("vec_id", x.alias("x"))
+    two = logic.strict_total(F.col("x")[0], F.col("x")[1])
+    return d.select("vec_id", F.round(logic.strict_array_sum(F.col("x")), 5).alias("strict_total"), F.round(two, 5).alias("two"))
 
 
-@query("""WITH {samples}, x AS (SELECT *, sum(v) OVER (PARTITION BY k ORDER BY t, id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS sv,
-count(v) OVER (PARTITION BY k ORDER BY t, id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS nv FROM s)
-SELECT k, id, CASE WHEN nv = 5 THEN round(sv / 5, 4) END AS mean FROM x""")
+@query(f"""WITH {HELD_SQL}, m AS (SELECT k, id, t, coalesce(lag(gap) OVER w, false) AS late, sum(coalesce(v, 0)) OVER w AS total FROM g WINDOW w AS (PARTITION BY k ORDER BY t, id)),
+j AS (SELECT *, sum(CASE WHEN late THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY t, id) AS gaps FROM m),
+r AS (SELECT k, t, max(total) AS total, arg_max(gaps, id) AS gaps FROM j GROUP BY k, t),
+o AS (SELECT j.k, j.id, j.t, j.total, j.gaps, r.t AS rt, r.total AS then_, r.gaps AS g0 FROM j ASOF LEFT JOIN r ON j.k = r.k AND j.t - {24 * HOUR} >= r.t)
+SELECT k, id, round(CASE WHEN gaps = g0 AND total >= then_ THEN (total - then_) / ((t - rt) / 3.6e9) END, 4) AS mean FROM o""")
 def lookback_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("k").orderBy("t", "id").rowsBetween(-4, 0)
-    return samples(spark, sf_dir).select("k", "id", F.when(F.count("v").over(w) == 5, F.round(F.sum("v").over(w) / 5, 4)).alias("mean"))
+    s = held(spark, sf_dir)
+    s = s.withColumn("total", F.sum(F.coalesce("v", F.lit(0.0))).over(clock.in_order(K, "t", "id")))
+    return rounded(evidence.lookback_mean(s, K, "t", "id", "total", "gap", 24 * HOUR, HOUR).select("k", "id", "mean"), "mean")
