@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tidewater.plans.registry import ORACLE, QUERIES
 
-for _name in ("time", "segments", "statistics", "cohorts", "catalogs", "paired", "features", "audits", "evidence", "stages", "relational"):
+for _name in ("time", "segments", "statistics", "cohorts", "catalogs", "paired", "tasks", "features", "audits", "evidence", "stages", "relational"):
     import_module(f"tidewater.plans.{_name}")
 
 __all__ = ["ORACLE", "QUERIES"]
