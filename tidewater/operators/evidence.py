@@ -167,11 +167,11 @@ def lookback_mean(df: DataFrame, key: list[str], t: str, tie: str, total: str, g
     Null without such a sample, across a ``gap`` (behind a row), or where the counter went down on the way.
     """
     w = in_order(key, t, tie)
-    d = df.withColumn("_late", F.coalesce(F.lag(gap).over(w), F.lit(False))).withColumn("_down", F.coalesce(F.col(total) < F.lag(total).over(w), F.lit(False)))
-    d = d.withColumn("_bad", F.sum((F.col("_late") | F.col("_down")).cast("int")).over(w))
-    last = d.groupBy(*key, t).agg(F.max(F.struct(tie, F.col(total).alias("then"), F.col("_bad").alias("bad_then"))).alias("_s"))
+    d = df.withColumn("_lb_late", F.coalesce(F.lag(gap).over(w), F.lit(False))).withColumn("_lb_down", F.coalesce(F.col(total) < F.lag(total).over(w), F.lit(False)))
+    d = d.withColumn("_lb_bad", F.sum((F.col("_lb_late") | F.col("_lb_down")).cast("int")).over(w))
+    last = d.groupBy(*key, t).agg(F.max(F.struct(tie, F.col(total).alias("then"), F.col("_lb_bad").alias("bad_then"))).alias("_s"))
     last = last.select(*key, (F.col(t) + back).alias(t), F.col("_s.then").alias("then"), F.col("_s.bad_then").alias("bad_then"))
     out = asof_backward(d, last, key, t, ["then", "bad_then"])
     span = (F.col(t) - (F.col("rt") - back)) / unit
-    mean = F.when(F.col("_bad") == F.col("bad_then"), (F.col(total) - F.col("then")) / span)
-    return out.withColumn("mean", mean).drop("_late", "_down", "_bad", "rt", "age", "then", "bad_then")
+    mean = F.when(F.col("_lb_bad") == F.col("bad_then"), (F.col(total) - F.col("then")) / span)
+    return out.withColumn("mean", mean).drop("_lb_late", "_lb_down", "_lb_bad", "rt", "age", "then", "bad_then")

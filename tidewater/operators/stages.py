@@ -126,26 +126,34 @@ def transported(
     return d.withColumn("moved", F.max(ok).over(w)).drop("_carry", "_stretch", "_origin")
 
 
-def phase_program(df: DataFrame, key: list[str], t: str, tie: str, late: str, phases: list[tuple[str, str, int]], terminal: str, failure: str) -> DataFrame:
-    """The verdict of a declarative phase program: (name, condition column, dwell) in order.
+def phase_program(
+    df: DataFrame, key: list[str], t: str, tie: str, late: str, phases: list[tuple], terminal: str, failure: str | Callable[[Column], Column]
+) -> DataFrame:
+    """The verdict of a declarative phase program: (name, condition column, dwell) in order, and perhaps a timer of its own.
 
     Unlike stages, phases are searched one after another: a phase's dwell starts
     only behind the row that completed the one before. It succeeds if all phases
     complete, the last row's ``terminal`` condition is known to be true and no row
-    has ``failure`` before all phases are complete. Gives key, the phases' times,
-    completed, observed_failure and verdict.
+    has ``failure``: a column, which counts until all phases are complete, or a
+    function of the number of phases that rows before have completed. A timer adds
+    _held to the rows, given them and the live condition; else a plain hold counts.
+    Gives key, the phases' times, completed, observed_failure and verdict.
     """
     w, whole = in_order(key, t, tie), Window.partitionBy(*key)
     d = df.withColumn("_p", F.row_number().over(w)).withColumn("_n", F.count("*").over(whole)).withColumn("_done", F.lit(0))
-    for i, (_, condition, dwell) in enumerate(phases):
-        live = F.coalesce(F.col("_p") > F.col("_done"), F.lit(False))
-        d = hold_timer(d, key, [t, tie], t, F.col(condition) & live, F.col(late), "_held")
+    for i, (_, condition, dwell, *timer) in enumerate(phases):
+        live = F.col(condition) & F.coalesce(F.col("_p") > F.col("_done"), F.lit(False))
+        d = timer[0](d, live) if timer else hold_timer(d, key, [t, tie], t, live, F.col(late), "_held")
         d = d.withColumn("_done", F.min(F.when(F.col("_held") >= dwell, F.col("_p"))).over(whole)).withColumn(f"_e{i}", F.col("_done")).drop("_held")
     last = F.max(F.when(F.col("_p") == F.col("_n"), F.coalesce(F.col(terminal), F.lit(False))))
-    open_ = F.col("_done").isNull() | (F.col("_p") <= F.col("_done"))
-    failed = F.max(F.coalesce(F.col(failure) & open_, F.lit(False)))
+    if callable(failure):
+        acquired = sum((F.coalesce(F.col(f"_e{i}") < F.col("_p"), F.lit(False)).cast("int") for i in range(len(phases))), F.lit(0))
+        wrong = failure(acquired)
+    else:
+        wrong = F.col(failure) & (F.col("_done").isNull() | (F.col("_p") <= F.col("_done")))
+    d = d.withColumn("_wrong", F.coalesce(wrong, F.lit(False)))
     times = [F.min(F.when(F.col("_p") == F.col(f"_e{i}"), F.col(t))).alias(n) for i, (n, *_) in enumerate(phases)]
-    out = d.groupBy(*key).agg(*times, last.alias("_last"), failed.alias("observed_failure"))
+    out = d.groupBy(*key).agg(*times, last.alias("_last"), F.max("_wrong").alias("observed_failure"))
     completed = sum((F.col(n).isNotNull().cast("int") for n, *_ in phases), F.lit(0))
     return out.select(
         *key, *[n for n, *_ in phases], completed.alias("completed"), "observed_failure",
