@@ -194,6 +194,18 @@ def test_outcomes_without_interval(spark):
     assert 0 < out["b"].low < 0.5 < out["b"].high < 1
 
 
+def test_one_bad_clock_value_is_an_error(spark):
+    d = frame(spark, [(1, 0, 10), (1, 10, 2**60)], "k int, a long, b long")
+    with pytest.raises(Exception, match="more than 1000000 cells"):
+        overlap.overlap_bins(d, "a", "b", 10).count()
+
+
+def test_values_are_cleaned_by_their_domain(spark):
+    d = frame(spark, [(1, -1.0, [1.0, float("inf")]), (2, 3.0, [1.0, 2.0])], "i int, v double, a array<double>")
+    load, sum_ = logic.predicate({"field": "v", "op": "lt", "value": 5, "physical": True}), logic.predicate({"field": "a", "op": "gt", "value": 2, "reduce": "sum"})
+    assert [tuple(r) for r in d.orderBy("i").select(load, sum_).collect()] == [(None, None), (True, True)]
+
+
 def test_merge_keeps_the_base(spark):
     base, more = frame(spark, [(1, "a"), (2, "b")], "id int, x string"), frame(spark, [(2, "c"), (3, "d")], "id int, x string")
     union, changed = cohorts.merged_catalog(base, more, ["id"])

@@ -57,6 +57,12 @@ def shoelace(x: Column, y: Column) -> Column:
     return F.abs(F.aggregate(cross, F.lit(0.0), lambda s, c: s + c)) / 2
 
 
+def steps(lo: Column, hi: Column, step: int = 1, most: int = 1_000_000) -> Column:
+    """The sequence from ``lo`` to ``hi``; one bad clock value must not make a row of endless cells, so more than ``most`` is an error."""
+    many = (hi - lo) / step > most
+    return F.when(many, F.raise_error(F.format_string(f"more than {most} cells between %s and %s", lo, hi))).otherwise(F.sequence(lo, hi, F.lit(step).cast("long")))
+
+
 def micros(ts: Column) -> Column:
     """Microseconds since 1970 of a timestamp without time zone, whatever the session's zone."""
     since = (ts - F.expr("timestamp_ntz'1970-01-01 00:00:00'")).cast("interval second")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from tidewater.functions.numbers import steps
+
 
 def in_order(key: list[str], *order: str) -> WindowSpec:
     """The window of one clock."""
@@ -64,7 +66,7 @@ def grid_difference(df: DataFrame, key: list[str], t: str, step: int) -> DataFra
     """Cells of a regular grid over each clock's extent without a sample: key, cell."""
     cells = df.select(*key, F.floor(F.col(t) / step).cast("long").alias("cell")).distinct()
     extent = cells.groupBy(*key).agg(F.min("cell").alias("lo"), F.max("cell").alias("hi"))
-    expected = extent.select(*key, F.explode(F.sequence("lo", "hi")).alias("cell"))
+    expected = extent.select(*key, F.explode(steps(F.col("lo"), F.col("hi"))).alias("cell"))
     return expected.join(cells, [*key, "cell"], "left_anti")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions.numbers import ratio
+from tidewater.functions.numbers import ratio, steps
 from tidewater.operators.asof import asof_backward
 from tidewater.operators.clock import in_order
 
@@ -115,7 +115,7 @@ def scope_gate(df: DataFrame, scopes: DataFrame, key: list[str], t: str, start:
 def display_clock(df: DataFrame, key: list[str], t: str, step: int, near: int) -> DataFrame:
     """A regular grid over each clock with both ends as anchors, which replace grid points within ``near``: key, at, anchor."""
     ends = df.groupBy(*key).agg(F.min(t).alias("_a"), F.max(t).alias("_b"))
-    grid = ends.select(*key, "_a", "_b", F.explode(F.sequence("_a", "_b", F.lit(step).cast("long"))).alias("at"))
+    grid = ends.select(*key, "_a", "_b", F.explode(steps(F.col("_a"), F.col("_b"), step)).alias("at"))
     close = (F.abs(F.col("at") - F.col("_a")) <= near) | (F.abs(F.col("at") - F.col("_b")) <= near)
     anchors = ends.select(*key, F.explode(F.array_distinct(F.array("_a", "_b"))).alias("at"), F.lit(True).alias("anchor"))
     return grid.where(~close).select(*key, "at", F.lit(False).alias("anchor")).unionByName(anchors)

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.numbers import steps
+
 
 def overlap_bins(df: DataFrame, start: str, end: str, width: int, origin: str | None = None) -> DataFrame:
     """Each interval once for every bin it overlaps: adds bin and overlap (exact, above 0)."""
     base = F.col(origin) if origin else F.lit(0)
     lo = F.floor((F.col(start) - base) / width).cast("long")
     hi = F.floor((F.col(end) - base - 1) / width).cast("long")
-    out = df.where(F.col(end) > F.col(start)).withColumn("bin", F.explode(F.sequence(lo, hi)))
+    out = df.where(F.col(end) > F.col(start)).withColumn("bin", F.explode(steps(lo, hi)))
     a, b = F.col("bin") * width + base, (F.col("bin") + 1) * width + base
     return out.withColumn("overlap", F.least(F.col(end), b) - F.greatest(F.col(start), a))
 
@@ -56,7 +58,7 @@ def complete_bin_changes(df: DataFrame, key: list[str], start: str, end: str, va
         F.sum("overlap").alias("_cover"), (F.sum(F.col(value) * F.col("overlap")) / F.sum("overlap")).alias("mean")
     )
     dense = first.where(F.col("_e") > F.col("_o")).select(
-        *key, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_e") - F.col("_o") - 1) / width).cast("long"))).alias("bin")
+        *key, F.explode(steps(F.lit(0).cast("long"), F.floor((F.col("_e") - F.col("_o") - 1) / width).cast("long"))).alias("bin")
     )
     w = Window.partitionBy(*key).orderBy("bin")
     span = w.rowsBetween(0, lag)

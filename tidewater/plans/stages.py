@@ -122,7 +122,13 @@ def carried_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("k", "id", "moved")
 
 
-@query()
+@query(f"""WITH {LATE_SQL}, {hold_sql('b0', 'n', 'v > 20')}, st AS (SELECT *, sum(CASE WHEN n_h IS NULL OR n_h = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY t, id) AS stretch FROM n),
+o AS (SELECT *, first_value(CASE WHEN v IS NOT NULL AND n_h >= {2 * HOUR} THEN v END IGNORE NULLS) OVER (PARTITION BY k, stretch ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS origin FROM st),
+m AS (SELECT *, bool_or(coalesce(v IS NOT NULL AND n_h >= {2 * HOUR} AND abs(v - origin) >= 50, false)) OVER (PARTITION BY k ORDER BY t, id) AS moved FROM o),
+{latch_sql('m', 'l1', f'n_h >= {2 * HOUR}')}, {hold_sql('l1', 'pl', "moved AND v > 20 AND ch <> 'error'")},
+pe AS (SELECT *, bool_or(coalesce(pl_h >= {2 * HOUR}, false)) OVER (PARTITION BY k ORDER BY t, id) AS placed FROM pl),
+{hold_sql('pe', 'rl', 'coalesce(p >= l1_f, false) AND moved AND v < 250')}, {latch_sql('rl', 'l2', f'placed AND rl_h >= {2 * HOUR} AND p >= l1_f')}
+{report_sql('l2', {'extracted': 'l1_f', 'released': 'l2_f'})}""")
 def stage_unscrew(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unscrew: extracted, then released on the table behind a verified transport and placement."""
     d = stages.transported(measured(spark, sf_dir), K, "t", "id", "late", F.col("v") > 20, ["v"], 2 * HOUR, 50.0)
@@ -134,7 +140,11 @@ def stage_unscrew(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.stage_report(d, K, "t", "id", "late", program)
 
 
-@query()
+@query(f"""WITH {LATE_SQL}, {hold_sql('b0', 'x1', 'v > 20')}, {latch_sql('x1', 'l1', f'x1_h >= {HOUR}')}, {hold_sql('l1', 'x2', 'v > 60 AND coalesce(p > l1_f, false)')}, {latch_sql('x2', 'l2', 'x2_h >= 0')},
+{hold_sql('l2', 'x3', "v > 30 AND ch <> 'error' AND coalesce(p > l2_f, false)")}, {latch_sql('x3', 'l3', f'x3_h >= {2 * HOUR}')},
+f AS (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM l3),
+r AS (SELECT k, min(t) FILTER (p = l1_f) AS p_contact, min(t) FILTER (p = l2_f) AS p_edge, min(t) FILTER (p = l3_f) AS p_lift, bool_or(p = n AND coalesce(v < 300, false)) AS fin, bool_or(coalesce(v > 480, false) AND (l3_f IS NULL OR p <= l3_f)) AS observed_failure FROM f GROUP BY k)
+SELECT k, p_contact, p_edge, p_lift, CAST((p_contact IS NOT NULL)::INT + (p_edge IS NOT NULL)::INT + (p_lift IS NOT NULL)::INT AS INTEGER) AS completed, observed_failure, p_lift IS NOT NULL AND fin AND NOT observed_failure AS verdict FROM r""")
 def phase_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A declarative review: contact, edge, lift, in sequence, with a failure rule."""
     d = measured(spark, sf_dir).withColumn("contact", F.col("v") > 20).withColumn("edge", F.col("v") > 60)

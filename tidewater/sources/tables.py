@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +17,23 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
     return df.select("*", F.col("_metadata.file_path").alias("source_file"))
 
 
+def read_lines(spark: SparkSession, path: str, schema: str, longest: int = 1 << 20) -> DataFrame:
+    """JSON lines with where they stand: source_file and line (from 1), exact however Spark splits the files.
+
+    A malformed line and one of more than ``longest`` letters fail the read.
+    """
+    raw = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id")
+    )
+    ok = F.assert_true(F.length("value") <= longest, F.lit(f"a line of {path} exceeds {longest} letters"))
+    parsed = raw.select("source_file", "_block", "_id", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("_v"), ok.alias("_ok"))
+    before = F.sum("_n").over(Window.partitionBy("source_file").orderBy("_block")) - F.col("_n")
+    blocks = raw.groupBy("source_file", "_block").agg(F.count("*").alias("_n")).withColumn("_before", before)
+    line = F.row_number().over(Window.partitionBy("source_file", "_block").orderBy("_id")) + F.col("_before")
+    d = parsed.join(blocks, ["source_file", "_block"]).withColumn("line", line.cast("long"))
+    return d.where(F.col("_ok").isNull()).select("_v.*", "source_file", "line")
+
+
 def read_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Some columns of a Parquet table; a missing one is an error, and nothing else is read."""
     df = spark.read.parquet(path)
@@ -63,6 +81,47 @@ def preferred(sources: list[DataFrame], key: list[str]) -> DataFrame:
     return both.withColumn("_best", best).where(F.col("source") == F.col("_best")).drop("_best")
 
 
+def merged_fields(sources: list[DataFrame], key: list[str]) -> DataFrame:
+    """Each key once, every field from the first source that knows it."""
+    fields = [c for c in sources[0].columns if c not in key]
+    ranked = [s.select(*key, F.lit(i).alias("_i"), *fields) for i, s in enumerate(sources)]
+    both = reduce(DataFrame.unionByName, ranked)
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("_i", c))).getField(c).alias(c)
+    return both.groupBy(*key).agg(*map(first, fields))
+
+
+def discovered(direct: DataFrame, batches: DataFrame, members: str, key: list[str]) -> DataFrame:
+    """Trials given directly and those that batches list (an array of keys as structs), each once: key and batches (how many list it)."""
+    a = direct.select(*key, F.lit(0).alias("_b"))
+    b = batches.select(F.explode(members).alias("_m")).select("_m.*").select(*key, F.lit(1).alias("_b"))
+    return a.unionByName(b).groupBy(*key).agg(F.sum("_b").cast("long").alias("batches"))
+
+
+def listing(files: DataFrame, file: str, pattern: str, size: str) -> DataFrame:
+    """Files named by episode and camera (two groups of ``pattern``): episode in numeric order, cameras as a sorted set, files, bytes; others are left out."""
+    d = files.where(F.col(file).rlike(pattern))
+    d = d.select(F.regexp_extract(file, pattern, 1).cast("long").alias("episode"), F.regexp_extract(file, pattern, 2).alias("camera"), size)
+    return d.groupBy("episode").agg(F.array_sort(F.collect_set("camera")).alias("cameras"), F.count("*").alias("files"), F.sum(size).alias("bytes"))
+
+
+def canonical_cameras(cameras: Column, order: list[str], head: str) -> Column:
+    """Known cameras in canonical order; null unless they are not empty, unique, all known, and hold the head camera."""
+    known = F.array(*map(F.lit, order))
+    ok = (F.size(cameras) > 0) & (F.size(F.array_distinct(cameras)) == F.size(cameras)) & (F.size(F.array_except(cameras, known)) == 0) & F.array_contains(cameras, head)
+    return F.when(ok, F.array_intersect(known, cameras))
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``); only a local session may have none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return f"{folder.rstrip('/')}/tidewater-{tag}-{uuid.uuid4().hex}"
+
+
 def cameras_missing(df: DataFrame, have: str, wanted: list[str]) -> DataFrame:
     """Rows whose array of cameras lacks some of the wanted ones, with those (as lacking)."""
     lacking = F.array_except(F.array(*map(F.lit, wanted)), F.col(have))
