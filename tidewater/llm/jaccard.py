@@ -40,7 +40,7 @@ HOT_BITS, WANTED_BITS = 26, 28
 LONG = 32
 #: Parts of a frequent shingle's list.
 SALTS = 64
-#: Members of a group that are verified against one copy of its pivot, that one block holds, and of the unlinked ones a block's other side.
+#: Members of a group that are verified against one copy of its pivot, or searched with few unlinked ones; else those of a block and of its other side.
 STAR, BLOCK, REST = 256, 4096, 1024
 
 
@@ -366,8 +366,8 @@ def _pivot_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _similar(both.select(F.col("pivot").alias("a"), F.col("sid").alias("b"), "x", "y"), percent)
 
 
-def _rest_links(groups: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame | None:
-    """Links between members that nothing connects with their pivot yet and all others of their groups, or None if there are no such members.
+def _with_rest(groups: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """``labels`` renewed by links between members that nothing connects with their pivot yet and all others of their groups.
 
     Both sides are cut into blocks, and by size: similar sets are in the same
     band of sizes or in neighbouring ones.
@@ -378,11 +378,12 @@ def _rest_links(groups: DataFrame, sets: DataFrame, labels: DataFrame, percent:
     heads = heads.select("sid", F.coalesce("label", "sid").alias("head"))
     named, path = stash(_with_pivots(named, heads, "sid").withColumn("apart", F.col("label") != F.col("head")), "named")
     sizes = named.groupBy("pivot").agg(F.count("*").alias("n"), F.count_if("apart").alias("rest")).where(F.col("rest") > 0)
-    sizes = sizes.select("pivot", F.ceil(F.col("n") / BLOCK).cast("int").alias("bn"), F.ceil(F.col("rest") / REST).cast("int").alias("br"))
+    block = F.when(F.col("rest") <= STAR, min(STAR, BLOCK)).otherwise(BLOCK)
+    sizes = sizes.select("pivot", F.ceil(F.col("n") / block).cast("int").alias("bn"), F.ceil(F.col("rest") / REST).cast("int").alias("br"))
     sizes, path_s = stash(sizes, "rest")
     if sizes.isEmpty():
         discard(spark, path, path_s)
-        return None
+        return labels
     band = F.floor(F.log("n") / float(np.log(100 / percent))).cast("int")
     mine = _with_pivots(named, sizes, "pivot").withColumn("band", band).withColumn("h", F.xxhash64("sid"))
     place: dict[str, Column] = {"i": F.pmod("h", "br").cast("int"), "j": F.pmod("h", "bn").cast("int")}
@@ -401,9 +402,10 @@ def _rest_links(groups: DataFrame, sets: DataFrame, labels: DataFrame, percent:
         links = divide_skip(items, side, percent, pd.factorize(rows["label"])[0])
         return pd.DataFrame([(sid[a], sid[b]) for a, b in links], columns=["a", "b"])
 
-    links, _ = stash(full.groupBy("pivot", "band", "i", "j").applyInPandas(search, "a binary, b binary"), "rest-links")
-    discard(spark, path, path_s)
-    return links
+    links, path_l = stash(full.groupBy("pivot", "band", "i", "j").applyInPandas(search, "a binary, b binary"), "rest-links")
+    labels = components(labels.select(F.col("v").alias("a"), F.col("label").alias("b")).union(links)) if not links.isEmpty() else labels
+    discard(spark, path, path_s, path_l)
+    return labels
 
 
 def near_duplicates(documents: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
@@ -486,9 +488,7 @@ def set_classes(docs: DataFrame, percent: int, size: int) -> DataFrame:
     sets, path_u = stash(sets, "unique-sets")
     links, path_k = stash(_verify(pairs, sets, percent).union(_pivot_links(groups, sets, percent)), "links")
     labels, path_c = stash(components(links), "components")
-    more = _rest_links(groups, sets, labels, percent)
-    if more is not None:
-        labels, _ = stash(components(labels.select(F.col("v").alias("a"), F.col("label").alias("b")).union(more)), "components")
+    labels = _with_rest(groups, sets, labels, percent)
     discard(spark, path_p, path_g, path_u, path_k)
 
     rows = table.select(*own, "n_shingles", "sid")

@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidewater.llm.common import fill_missing, per_worker, text_chunks, texts_of, trimmed
@@ -130,7 +131,7 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer_path: str, en
     """Encode every whole text, append ``end_id`` and write shards below ``folder``.
 
     ``folder`` must be one that all executors and readers share. Documents are
-    ranged and sorted by doc_id, ties by text; a null doc_id comes first and is
+    ranged and sorted by doc_id, ties by a hash of the text; a null doc_id comes first and is
     read back as null; a null text counts as empty (the end id alone); repeated
     rows are written again; an empty table gives no shards. Columns besides
     doc_id (whole numbers) and text are left alone, whatever their names.
@@ -166,7 +167,9 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer_path: str, en
             row = [[number], [stem], [sum(map(len, doc_ids))], [total]]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in row], ["number", "stem", "documents", "ids"])
 
-    ranged = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # A hash of the text lets the ranges split an id (or null) of very many rows.
+    keyed = documents.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    ranged = keyed.select("doc_id", "text")
     rows = sorted(ranged.mapInArrow(run, "number long, stem string, documents long, ids long").collect())
     bases = accumulate((r.ids for r in rows), initial=0)
     shards = tuple(Shard(r.number, r.stem, r.documents, r.ids, b) for r, b in zip(rows, bases, strict=False))
