@@ -125,3 +125,15 @@ def flag_agreement(df: DataFrame, key: list[str], truth: str, found: str) -> Dat
     both, p, n = F.count_if(F.col(truth) & F.col(found)), F.count_if(found), F.count_if(truth)
     share = lambda a, b: F.coalesce(ratio(a.cast("double"), b), F.lit(0.0))
     return df.groupBy(*key).agg(share(both, p).alias("precision"), share(both, n).alias("recall"), share(2 * both, p + n).alias("f1"))
+
+
+def tail_summary(df: DataFrame, key: list[str], order: list[str], t: str, v: str, tail: int) -> DataFrame:
+    """The last ``tail`` of each record: time, mean by time and largest absolute value.
+
+    A step counts with the value at its right end; the step across the tail's start counts as far as it lies inside.
+    """
+    w = Window.partitionBy(*key).orderBy(*order)
+    d = df.withColumn("_from", F.greatest(F.lag(t).over(w), F.max(t).over(Window.partitionBy(*key)) - tail))
+    d = d.withColumn("_d", F.greatest(F.col(t) - F.col("_from"), F.lit(0))).withColumn("_known", F.when(F.col(v).isNotNull(), F.col("_d")))
+    inside = F.when(F.col("_d") > 0, F.abs(v))
+    return d.groupBy(*key).agg(F.sum("_d").alias("time"), ratio(F.sum(F.col(v) * F.col("_d")), F.sum("_known")).alias("mean"), F.max(inside).alias("most"))

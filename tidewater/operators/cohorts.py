@@ -218,3 +218,18 @@ def planned_against_reported(planned: DataFrame, reports: DataFrame, key: list[s
         ratio(F.count_if(F.col(status) == "success").cast("double"), F.count_if(done)).alias("rate"),
         F.min(value).alias("least"), F.sum(value).alias("sum"), F.count(value).alias("values"), F.max(value).alias("most"),
     )
+
+
+def bound_members(df: DataFrame, manifest: DataFrame, key: list[str], digest: str) -> DataFrame:
+    """Members as a manifest binds them: key and status bound (same digest), altered, unlisted or absent."""
+    a, b = df.select(*key, F.col(digest).alias("_a")), manifest.select(*key, F.col(digest).alias("_b"))
+    status = F.when(F.col("_b").isNull(), "unlisted").when(F.col("_a").isNull(), "absent").when(F.col("_a") == F.col("_b"), "bound").otherwise("altered")
+    return a.join(b, key, "full").select(*key, status.alias("status"))
+
+
+def declared_split(df: DataFrame, declared: DataFrame, key: list[str]) -> DataFrame:
+    """Rows with the split that was declared for their key; one that is declared twice differently or not at all has none and says why."""
+    d = declared.groupBy(*key).agg(F.countDistinct("split").alias("_n"), F.min("split").alias("split"))
+    out = df.join(d, key, "left")
+    why = F.when(F.col("_n").isNull(), "undeclared").when(F.col("_n") > 1, "conflict")
+    return out.withColumn("why", why).withColumn("split", F.when(F.col("_n") == 1, F.col("split"))).drop("_n")

@@ -112,6 +112,20 @@ def scope_gate(df: DataFrame, scopes: DataFrame, key: list[str], t: str, start:
     return d.withColumn("usable", F.col("_s").isNotNull() & F.col("_e").isNotNull()).select(*scopes.columns, "usable")
 
 
+def anchored_clock(df: DataFrame, snapshots: DataFrame, key: list[str], t: str, step: int, near: int) -> DataFrame:
+    """A display clock whose snapshots (key, t) are anchors as well, if they lie within the record."""
+    base = display_clock(df, key, t, step, near)
+    ends = df.groupBy(*key).agg(F.min(t).alias("_a"), F.max(t).alias("_b"))
+    more = snapshots.select(*key, F.col(t).alias("at")).distinct().join(ends, key).where(F.col("at").between(F.col("_a"), F.col("_b"))).select(*key, "at")
+    # A grid point is at most ``near`` from an anchor in its own cell of that width or a neighbouring one.
+    cell = F.floor(F.col("at") / (near + 1))
+    close = more.select(*key, F.explode(F.array(cell - 1, cell, cell + 1)).alias("_c"), F.col("at").alias("_s"))
+    hit = base.withColumn("_c", cell).join(close, [*key, "_c"]).where(~F.col("anchor") & (F.abs(F.col("at") - F.col("_s")) <= near)).select(*key, "at").distinct()
+    kept = base.join(hit.withColumn("_hit", F.lit(True)), [*key, "at"], "left").where(F.col("_hit").isNull()).select(*base.columns)
+    fresh = more.join(kept.select(*key, "at"), [*key, "at"], "left_anti")
+    return kept.unionByName(fresh.withColumn("anchor", F.lit(True)))
+
+
 def display_clock(df: DataFrame, key: list[str], t: str, step: int, near: int) -> DataFrame:
     """A regular grid over each clock with both ends as anchors, which replace grid points within ``near``: key, at, anchor."""
     ends = df.groupBy(*key).agg(F.min(t).alias("_a"), F.max(t).alias("_b"))

@@ -117,3 +117,23 @@ def composed(a: Column, b: Column) -> Column:
     """The product of two 4 by 4 transforms."""
     cell = lambda r, c: sum((a[4 * r + k] * b[4 * k + c] for k in range(1, 4)), a[4 * r] * b[c])
     return F.array(*[cell(r, c) for r in range(4) for c in range(4)])
+
+
+def packed_grid(values: Column, rows: int, columns: int, low: float, high: float) -> Column:
+    """A grid given row by row, clamped and transposed (column by column); null unless it has every cell."""
+    clamp = lambda x: F.greatest(F.lit(low), F.least(F.lit(high), x.cast("double")))
+    out = F.array(*[clamp(values[r * columns + c]) for c in range(columns) for r in range(rows)])
+    return F.when(F.size(values) == rows * columns, out)
+
+
+def state_mask(places: list[int], size: int) -> Column:
+    """1 at the places that a state vector uses, else 0."""
+    return F.array(*[F.lit(int(i in set(places))) for i in range(size)])
+
+
+def canonical_links(df: DataFrame, name: str, value: str, key: list[str], order: list[str], shown: bool = False) -> DataFrame:
+    """Each key's values by name in canonical order: values (null where a name is absent, or 0 if ``shown``) and unknown names, which make a row unusable (ok)."""
+    d = df.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(name, value))).alias("_m"))
+    pick = [F.coalesce(F.try_element_at("_m", F.lit(n)), F.lit(0.0 if shown else None).cast("double")) for n in order]
+    unknown = F.array_sort(F.array_except(F.map_keys("_m"), F.array(*map(F.lit, order))))
+    return d.select(*key, F.array(*pick).alias("values"), unknown.alias("unknown")).withColumn("ok", F.size("unknown") == 0)

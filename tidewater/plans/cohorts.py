@@ -225,3 +225,22 @@ def planned_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("cell"))
     d = cohorts.planned_against_reported(planned, reports, ["c_custkey"], ["cell"], "status", "value")
     return d.withColumn("rate", F.round("rate", 6))
+
+
+@query("""WITH a AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 6 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN sha256('x' || text) ELSE sha256(text) END AS h FROM documents WHERE doc_id % 7 <> 0)
+SELECT doc_id, CASE WHEN b.h IS NULL THEN 'unlisted' WHEN a.h IS NULL THEN 'absent' WHEN a.h = b.h THEN 'bound' ELSE 'altered' END AS status FROM a FULL JOIN b USING (doc_id)""")
+def bound_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    here = d.where(i % 6 != 0).select("doc_id", F.sha2("text", 256).alias("h"))
+    listed = d.where(i % 7 != 0).select("doc_id", F.when(i % 5 == 0, F.sha2(F.concat(F.lit("x"), "text"), 256)).otherwise(F.sha2("text", 256)).alias("h"))
+    return cohorts.bound_members(here, listed, ["doc_id"], "h")
+
+
+@query("""WITH d AS (SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'validation' ELSE 'train' END AS split FROM customer WHERE c_custkey % 8 <> 0 UNION ALL SELECT c_custkey, 'train' FROM customer WHERE c_custkey % 25 = 0),
+g AS (SELECT c_custkey, count(DISTINCT split) AS n, min(split) AS split FROM d GROUP BY 1)
+SELECT o_orderkey, CASE WHEN n = 1 THEN split END AS split, CASE WHEN n IS NULL THEN 'undeclared' WHEN n > 1 THEN 'conflict' END AS why FROM orders LEFT JOIN g ON c_custkey = o_custkey""")
+def declared_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, i = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey")), F.col("o_custkey")
+    first = c.where(i % 8 != 0).withColumn("split", F.when(i % 10 == 0, "validation").otherwise("train"))
+    declared = first.unionByName(c.where(i % 25 == 0).withColumn("split", F.lit("train")))
+    return cohorts.declared_split(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), declared, ["o_custkey"]).select("o_orderkey", "split", "why")

@@ -146,3 +146,14 @@ def cleaning_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(TRIALS_SQL + """ SELECT task, count(*) FILTER (outcome = 'pass') AS pass, count(*) FILTER (outcome = 'fail') AS fail, count(*) FILTER (outcome = 'unknown') AS unknown FROM tr GROUP BY task""")
 def collection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trials(spark, sf_dir).groupBy("task").pivot("outcome", ["pass", "fail", "unknown"]).count()
+
+
+@query(f"""WITH {{samples}}, e AS (SELECT k, min(t) AS a, max(t) AS b FROM s GROUP BY k), gr AS (SELECT k, a, b, unnest(range(a, b + 1, {24 * HOUR})) AS "at" FROM e),
+base AS (SELECT k, "at", false AS anchor FROM gr WHERE abs("at" - a) > {2 * HOUR} AND abs("at" - b) > {2 * HOUR} UNION ALL SELECT DISTINCT k, unnest([a, b]), true FROM e),
+sn AS (SELECT DISTINCT k, t AS "at" FROM s WHERE id % 40 = 0),
+kept AS (SELECT * FROM base WHERE anchor OR NOT EXISTS (SELECT 1 FROM sn WHERE sn.k = base.k AND abs(sn."at" - base."at") <= {2 * HOUR}))
+SELECT * FROM kept UNION ALL SELECT k, "at", true FROM sn WHERE NOT EXISTS (SELECT 1 FROM kept WHERE kept.k = sn.k AND kept."at" = sn."at")""")
+def anchored_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A daily display clock with some events as snapshots."""
+    s = samples(spark, sf_dir)
+    return evidence.anchored_clock(s, s.where(F.col("id") % 40 == 0).select("k", "t"), K, "t", 24 * HOUR, 2 * HOUR)

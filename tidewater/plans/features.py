@@ -93,3 +93,18 @@ def relative_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = d.withColumn("rel", features.composed(features.rigid_inverse(F.col("m")), target)).withColumn("abs", features.composed(F.col("m"), F.col("rel")))
     at = lambda c: F.array(*[F.round(F.col(c)[i], 6) for i in (3, 7, 11)])
     return d.select("vec_id", at("rel").alias("relative"), at("abs").alias("absolute"))
+
+
+@query("""SELECT vec_id, list_transform(range(64), lambda i: round(greatest(-0.1, least(0.1, CAST(embedding[1 + (i % 8) * 8 + i // 8] AS DOUBLE))), 6)) AS grid, list_transform(range(6), lambda i: CASE WHEN i IN (1, 4) THEN 1 ELSE 0 END) AS mask FROM embeddings""")
+def packed_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = features.packed_grid(F.col("embedding"), 8, 8, -0.1, 0.1)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(grid, lambda x: F.round(x, 6)).alias("grid"), features.state_mask([1, 4], 6).alias("mask"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linestatus || l_returnflag AS name, sum(CAST(l_quantity AS DOUBLE)) AS v FROM lineitem GROUP BY 1, 2), g AS (SELECT l_orderkey, map_from_entries(list((name, v))) AS m, list_sort(list(name) FILTER (name NOT IN ('FR', 'FA', 'ON'))) AS unknown FROM l GROUP BY 1)
+SELECT l_orderkey, [coalesce(m['FR'], 0), coalesce(m['FA'], 0), coalesce(m['ON'], 0)] AS "values", coalesce(unknown, []) AS unknown, len(coalesce(unknown, [])) = 0 AS ok FROM g""")
+def ordered_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities by name in canonical order, absent ones shown as zero."""
+    name = F.concat("l_linestatus", "l_returnflag").alias("name")
+    d = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", name).agg(F.sum(F.col("l_quantity").cast("double")).alias("v"))
+    return features.canonical_links(d, "name", "v", ["l_orderkey"], ["FR", "FA", "ON"], shown=True)

@@ -143,3 +143,18 @@ def review_unplug(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     c = CONTRACTS["usb-unplug"]
     return reviews.review(d, ["k"], "t", "id", "usb-unplug", c.digest, c.fields, F.lit(True), F.lit(True))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 10 = 0")
+def published_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tables.scratch(spark, "csv")
+    tables.publish_csv(table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 10 == 0).select("o_orderkey", "o_orderstatus"), path)
+    return spark.read.option("header", True).csv(path)
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders")
+def inspected_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as episodes of one scene with three cameras, of which ten succeeded at least."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.lit("desk").alias("scene"), F.array(*map(F.lit, ("head", "left", "right"))).alias("cameras"))
+    o = o.withColumn("success", F.col("o_orderstatus") == "F")
+    return tables.inspected(o, "scene", "cameras", ["head", "left"], "success", 10).select("o_orderkey", "o_orderstatus")

@@ -243,3 +243,23 @@ def lookback_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = held(spark, sf_dir)
     s = s.withColumn("total", F.sum(F.coalesce("v", F.lit(0.0))).over(clock.in_order(K, "t", "id")))
     return rounded(evidence.lookback_mean(s, K, "t", "id", "total", "gap", 24 * HOUR, HOUR).select("k", "id", "mean"), "mean")
+
+
+@query(f"""WITH {{samples}}, x AS (SELECT k, id, t, v, greatest(lag(t) OVER (PARTITION BY k ORDER BY t, id), max(t) OVER (PARTITION BY k) - {36 * HOUR}) AS f FROM s),
+y AS (SELECT *, greatest(t - f, 0) AS d FROM x WHERE f IS NOT NULL)
+SELECT k, CAST(sum(d) AS BIGINT) AS time, round(sum(v * d) / nullif(sum(d) FILTER (v IS NOT NULL), 0), 4) AS mean, max(abs(v)) FILTER (d > 0) AS most FROM y GROUP BY k""")
+def tail_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = aggregates.tail_summary(samples(spark, sf_dir).withColumn("time_", F.col("t")), K, BY, "t", "v", 36 * HOUR)
+    return rounded(d, "mean")
+
+
+@query("""WITH x AS (SELECT vec_id, list_transform(embedding[1:5], lambda x: CAST(x AS DOUBLE)) AS f FROM embeddings)
+SELECT vec_id, round(f[1], 6) AS thumb, round(f[2] + f[3] + f[4] + f[5], 6) AS others, len(list_filter(f, lambda x: x > 0.05)) - len(list_filter(f[1:1], lambda x: x > 0.05)) AS other_contacts FROM x""")
+def finger_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A thumb against the sum of the other fingers, and contacts other than its own."""
+    f = F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double"))
+    d = table(spark, sf_dir, "embeddings").select("vec_id", f.alias("f"))
+    touching = lambda a: F.size(F.filter(a, lambda x: x > 0.05))
+    others = logic.strict_array_sum(F.slice("f", 2, 4))
+    count = (touching(F.col("f")) - touching(F.slice("f", 1, 1))).cast("long").alias("other_contacts")
+    return d.select("vec_id", F.round(F.col("f")[0], 6).alias("thumb"), F.round(others, 6).alias("others"), count)

@@ -104,6 +104,24 @@ def listing(files: DataFrame, file: str, pattern: str, size: str) -> DataFrame:
     return d.groupBy("episode").agg(F.array_sort(F.collect_set("camera")).alias("cameras"), F.count("*").alias("files"), F.sum(size).alias("bytes"))
 
 
+def inspected(episodes: DataFrame, scene: str, cameras: str, wanted: list[str], success: str, target: int) -> DataFrame:
+    """The episodes, if they are of one scene, each has the wanted cameras, and ``target`` of them succeeded; else an error that says what is missing."""
+    lacking = F.size(F.array_except(F.array(*map(F.lit, wanted)), F.col(cameras))) > 0
+    r = episodes.agg(F.countDistinct(scene).alias("scenes"), F.count_if(lacking).alias("lacking"), F.count_if(F.coalesce(F.col(success), F.lit(False))).alias("wins")).first()
+    if r.scenes != 1 or r.lacking or r.wins < target:
+        raise ValueError(f"{r.scenes} scenes, {r.lacking} episodes without all of {wanted}, {r.wins} successes of {target}")
+    return episodes
+
+
+def publish_csv(df: DataFrame, path: str) -> int:
+    """Flat columns as CSV with a header; never overwrites; returns the rows, counted again from the files."""
+    df.write.option("header", True).mode("errorifexists").csv(path)
+    have, want = df.sparkSession.read.option("header", True).csv(path).count(), df.count()
+    if have != want:
+        raise OSError(f"{path}: wrote {want}, read {have}")
+    return have
+
+
 def canonical_cameras(cameras: Column, order: list[str], head: str) -> Column:
     """Known cameras in canonical order; null unless they are not empty, unique, all known, and hold the head camera."""
     known = F.array(*map(F.lit, order))
