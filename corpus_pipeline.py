@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import decontaminate, jaccard, pii, quality, transducer
-from tidewater.llm.common import fresh, quoted, stash
+from tidewater.llm.common import discard, fresh, quoted, stash
 from tidewater.llm.queries import PIECES, PII_KEY
 
 #: Documents that score lower are rejected; well below what clean ones score.
@@ -58,6 +58,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs, _ = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, path = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before:
+            discard(spark, before)  # nothing reads it any more
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
