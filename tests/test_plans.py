@@ -6,7 +6,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from tidewater.operators import asof, segments, stages
+from tidewater.functions.contracts import CONTRACTS
+from tidewater.operators import asof, reviews, segments, stages
 from tidewater.operators.stages import Hold, Stage
 from tidewater.plans import QUERIES
 
@@ -49,3 +50,27 @@ def test_no_query_of_this_side_needs_a_cross_join(spark, sf_dir):
     for name in ("bin_overlap_mean", "gap_propagation", "interval_union_coverage", "rank_interval", "cohort_outcomes_wilson", "scoped_samples"):
         plan = plan_of(QUERIES[name](spark, sf_dir))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_weighted_statistics_read_and_shuffle_once(spark, sf_dir):
+    plan = plan_of(QUERIES["left_hold_weighted_stats"](spark, sf_dir))
+    assert plan.count("FileScan") == 1 and len(re.findall(r"Exchange hashpartitioning", plan)) == 1 and "Join" not in plan
+
+
+def test_no_window_holds_a_whole_hot_group(spark, sf_dir):
+    keys = {"duplicate_groups": "h", "content_dedupe_exclusions": "h", "rank_interval": "ch", "median_mad": "ch", "hash_split": "task"}
+    for name, key in keys.items():
+        plan = plan_of(QUERIES[name](spark, sf_dir))
+        # A window by the group alone may only order its cells, which are few.
+        for order in re.findall(rf"windowspecdefinition\({key}#\d+L?, ([^)]*)\)?", plan):
+            assert "_cell" in order or "specifiedwindowframe" in order, (name, order)
+        assert "Window" not in plan or "_cell" in plan or "_p#" in plan, name
+
+
+def test_reviews_shuffle_a_trial_once(spark):
+    fields = "insertion_depth_m double, socket_contact_count double, right_hand_contact_count double, table_contact_count double"
+    d = spark.createDataFrame([(1, 1, 1, 0.0, 0.0, 0.0, 0.0)], f"k int, i int, t long, {fields}")
+    c = CONTRACTS["usb-unplug"]
+    plan = plan_of(reviews.review(d, ["k"], "t", "i", "usb-unplug", c.digest, c.fields, F.lit(True), F.lit(True)))
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert all("k#" in keys for keys in re.findall(r"Exchange hashpartitioning\(([^)]*)", plan))
