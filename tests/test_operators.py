@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.functions import logic
-from tidewater.operators import aggregates, asof, audits, clock, cohorts, features, overlap, progress, quantiles, segments, stages
+from tidewater.operators import aggregates, asof, audits, clock, cohorts, features, overlap, progress, quantiles, reviews, segments, stages
 from tidewater.operators.stages import Hold, Stage
 from tidewater.sources import tables
+from tidewater.streaming import records
 from tidewater.streaming import stages as stream
 
 
@@ -269,3 +270,29 @@ def test_sources(spark, tmp_path):
         tables.published_only(d, d.where("id = 1"), ["id"], 2)
     cams = frame(spark, [(1, ["head"]), (2, ["head", "left"])], "id int, cams array<string>")
     assert [(r.id, r.lacking) for r in tables.cameras_missing(cams, "cams", ["head", "left"]).collect()] == [(1, ["left"])]
+
+
+def test_records_of_a_stream(spark, tmp_path):
+    rows = [(1, 0, 0, "a", 1.0), (1, 5, 1, "a", 2.0), (1, 6, 2, "b", 3.0), (1, 30, 3, "b", 4.0), (2, 1, 4, None, None)]
+    schema = "k long, t long, id long, s string, v double"
+    for name, data in (("some", rows), ("none", [])):
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / name))
+        source = spark.readStream.schema(schema).parquet(str(tmp_path / name))
+        log = records.closed(records.state_log(source, "k", "t", "id", "s", 20), f"log-{name}").collect()
+        past = records.closed(records.history_stream(source, "k", "t", "id", "v", 2), f"past-{name}").collect()
+        if not data:
+            assert log == past == []
+            continue
+        assert sorted((r.k, r.id, r.why) for r in log) == [(1, 0, "transition"), (1, 2, "transition"), (1, 3, "interval"), (2, 4, "transition")]
+        assert {r.id: r.history for r in past} == {0: [1.0, 1.0], 1: [1.0, 2.0], 2: [2.0, 3.0], 3: [3.0, 4.0], 4: [None, None]}
+
+
+def test_steady_holds_restart_where_the_range_grows(spark):
+    rows = [(1, i, i * 10, True, False, v) for i, v in enumerate((0.0, 0.1, 0.9, 0.95, 1.0))] + [(None, 9, 0, True, False, 0.0), (None, 10, 10, None, False, 0.0)]
+    d = frame(spark, rows, "k long, id long, t long, c boolean, late boolean, v double")
+    got = {(r.k, r.id): r._held for r in reviews.steady_hold(d, ["k"], "t", "id", F.col("c"), "late", ["v"], 0.5).collect()}
+    assert got == {(1, 0): 0, (1, 1): 10, (1, 2): 0, (1, 3): 10, (1, 4): 20, (None, 9): 0, (None, 10): None}
+    bad = frame(spark, [(1, "a", ["head", "head"]), (2, "a", ["left"]), (3, "a", ["left", "head"])], "i int, scene string, c array<string>")
+    assert [r[0] for r in bad.orderBy("i").select(tables.canonical_cameras(F.col("c"), ["head", "left"], "head")).collect()] == [None, None, ["head", "left"]]
+    with pytest.raises(ValueError, match="2 episodes"):
+        tables.inspected(bad.withColumn("ok", F.lit(True)), "scene", "c", ["head", "left"], "ok", 1)

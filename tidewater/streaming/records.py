@@ -67,13 +67,16 @@ def committed_steps(df: DataFrame, key: str, t: str, tie: str, kind: str, value:
 
 
 def closed(stream: DataFrame, tag: str) -> DataFrame:
-    """Runs a stream over all data that is there into a table of its own, checks its count against the sink's progress, and reads it."""
+    """Runs a stream over all data that is there into a table of its own, checks its count against the sink's progress, and reads it; without data it is empty."""
     spark = stream.sparkSession
     path = scratch(spark, tag)
     counter = stream.observe(f"{tag}-closed", F.count(F.lit(1)).alias("n"))
     run = counter.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     said = sum(int(p["observedMetrics"][f"{tag}-closed"]["n"]) for p in run.recentProgress if f"{tag}-closed" in (p["observedMetrics"] or {}))
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not said and not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        return spark.createDataFrame([], stream.schema)  # a stream without data makes no table
     written = spark.read.schema(stream.schema).parquet(path)
     if (have := written.count()) != said:
         raise OSError(f"{path}: the stream made {said} records, {have} are there")
