@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import discard, stash
 
 #: Rows from which pivots are chosen, pivots at most, annuli of a pivot, rows of a block and of a step in it, queries of a task.
-SAMPLE, PIVOTS, ANNULI, BLOCK, STEP, QUERIES = 2048, 256, 4, 8192, 64, 8192
+SAMPLE, PIVOTS, ANNULI, BLOCK, STEP, QUERIES = 2048, 256, 4, 8192, 256, 8192
 SLACK = 1e-6
 
 
