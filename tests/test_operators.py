@@ -35,6 +35,8 @@ def test_asof_ties_and_tolerance(spark):
     assert got == {5: (None, None), 10: (10, 2), 21: (20, None)}
     near = {r.t: r.rt for r in asof.asof_nearest(left.union(frame(spark, [(1, 15)], "k int, t long")), right, ["k"], "t", ["v"]).collect()}
     assert near == {5: 10, 10: 10, 15: 10, 21: 20}
+    tied = {r.t: r.rt for r in asof.asof_nearest(left.union(frame(spark, [(1, 15)], "k int, t long")), right, ["k"], "t", ["v"], later=True).collect()}
+    assert tied[15] == 20
 
 
 def test_empty_tables(spark):

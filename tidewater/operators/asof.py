@@ -48,12 +48,12 @@ def bracket(left: DataFrame, right: DataFrame, key: list[str], t: str, values: l
 
 
 def asof_nearest(
-    left: DataFrame, right: DataFrame, key: list[str], t: str, values: list[str], tolerance: int | None = None
+    left: DataFrame, right: DataFrame, key: list[str], t: str, values: list[str], tolerance: int | None = None, later: bool = False
 ) -> DataFrame:
-    """Each left row with the nearest right row, ties to the earlier; beyond ``tolerance`` there is none."""
+    """Each left row with the nearest right row, ties to the earlier (or ``later``) one; beyond ``tolerance`` there is none."""
     both = bracket(left, right, key, t, values)
     before, after = F.col(t) - F.col("prev.rt"), F.col("next.rt") - F.col(t)
-    near = F.when(F.col("next").isNull() | (before <= after), F.col("prev")).otherwise(F.coalesce("next", "prev"))
+    near = F.when(F.col("next").isNull() | ((before < after) if later else (before <= after)), F.col("prev")).otherwise(F.coalesce("next", "prev"))
     out = both.withColumn("_n", near)
     off = F.abs(F.col(t) - F.col("_n.rt"))
     ok = off <= tolerance if tolerance is not None else F.lit(True)

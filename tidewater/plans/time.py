@@ -71,12 +71,12 @@ def asof_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{NEAREST_SQL}, m AS (
-SELECT k, id, t, CASE WHEN nrt IS NULL OR t - prt <= nrt - t THEN prt ELSE nrt END AS rt,
-       CASE WHEN nrt IS NULL OR t - prt <= nrt - t THEN prid ELSE nrid END AS rid FROM n)
+SELECT k, id, t, CASE WHEN nrt IS NULL OR t - prt < nrt - t THEN prt ELSE nrt END AS rt,
+       CASE WHEN nrt IS NULL OR t - prt < nrt - t THEN prid ELSE nrid END AS rid FROM n)
 SELECT k, id, CASE WHEN abs(t - rt) <= {HOUR} THEN rt END AS rt, CASE WHEN abs(t - rt) <= {HOUR} THEN rid END AS rid FROM m""")
 def nearest_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = split(spark, sf_dir)
-    return asof.asof_nearest(left, right, K, "t", ["rid"], tolerance=HOUR).drop("t")
+    return asof.asof_nearest(left, right, K, "t", ["rid"], tolerance=HOUR, later=True).drop("t")
 
 
 @query(f"""{NEAREST_SQL} SELECT k, id, prt AS prev_t, prid AS prev_id, nrt AS next_t, nrid AS next_id FROM n""")
