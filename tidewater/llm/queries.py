@@ -1,4 +1,4 @@
-"""The queries of the ten operators, with production parameters, and their SQL."""
+"""The queries of the training-data operators, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import chat, decontaminate, jaccard, pii, quality, token_counts, token_files, topk, toxicity, transducer
+from tidewater.llm import chat, collocations, cosine, decontaminate, jaccard, lloyd, pii, quality, token_counts, token_files, topk, toxicity, transducer
 from tidewater.llm.common import new_path
 
 PIECES = "piece_bpe_32k.model"
@@ -80,6 +80,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size("pii").cast("long").alias("n_pii"), "pii", "text")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), least=100, top=2000)
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cosine.near_vectors(_table(spark, sf_dir, "embeddings"), least=0.95)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, scale=1024, size=64, seed=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_topk": op2_exact_topk,
@@ -91,8 +103,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_pii": op10_pii,
+    "op11_collocations": op11_collocations,
+    "op12_near_vectors": op12_near_vectors,
+    "op13_centroids": op13_centroids,
 }
 
+#: Rounds of Lloyd's algorithm, each as two common table expressions.
+LLOYD_ROUNDS = "".join(
+    f"""
+        a{i} AS MATERIALIZED (
+          SELECT vec_id, x, arg_min(c, (d, c)) AS c FROM (
+            SELECT x.vec_id, x.x, c.c, list_sum(list_transform(range(1, 65), lambda i: (x.x[i] - c.x[i]) ** 2)) AS d FROM x, c{i} c)
+          GROUP BY ALL
+        ), m{i} AS (
+          SELECT c, i, sum(x[i]) AS s, count(*) AS n FROM a{i}, (SELECT unnest(range(1, 65)) AS i) GROUP BY c, i
+        ), c{i + 1} AS MATERIALIZED (
+          SELECT c.c, coalesce(f.x, c.x) AS x FROM c{i} c
+          LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM m{i} GROUP BY c) f USING (c)
+        ),"""
+    for i in range(10)
+)
+
 ORACLE: dict[str, str] = {
     "op6_jaccard": """
         WITH RECURSIVE d AS (
@@ -124,5 +155,58 @@ ORACLE: dict[str, str] = {
         ), r AS (
           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
         )
-        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",    "op11_collocations": r"""
+        WITH p AS (
+          SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+          FROM documents
+        ), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        g AS (
+          SELECT lang, unnest(flatten(list_transform(range(1, 6), lambda k:
+            list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])))) AS g FROM w
+        ), f AS MATERIALIZED (SELECT lang, g, count(*) AS a FROM g GROUP BY lang, g HAVING count(*) >= 100),
+        s AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+        longer AS (
+          SELECT x.lang, x.g[i:i + k - 1] AS g, max(x.a) AS a
+          FROM f x, (SELECT unnest(range(2, 5)) AS k) ks, (SELECT unnest(range(1, 5)) AS i) st
+          WHERE len(x.g) > k AND i + k - 1 <= len(x.g) GROUP BY ALL
+        ), c AS (
+          SELECT f.lang, f.g, f.a FROM f LEFT JOIN longer l ON l.lang = f.lang AND l.g = f.g
+          WHERE len(f.g) > 1 AND (l.a IS NULL OR 100 * l.a < 100 * f.a)
+        ), t AS (
+          SELECT c.lang, c.g, c.a, k, x.a AS l, y.a AS r, s.n, (1000 * c.a::HUGEINT * s.n) // (x.a::HUGEINT * y.a) AS score
+          FROM c JOIN s USING (lang), (SELECT unnest(range(1, 5)) AS k) ks, f x, f y
+          WHERE k < len(c.g) AND x.lang = c.lang AND x.g = c.g[1:k] AND y.lang = c.lang AND y.g = c.g[k + 1:]
+        ), b AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS o FROM t),
+        r AS (
+          SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score,
+                 row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank
+          FROM b WHERE o = 1
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score FROM r WHERE rank <= 2000""",
+    "op12_near_vectors": """
+        WITH RECURSIVE e AS (
+          SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), l AS MATERIALIZED (
+          SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95
+        ), reach(v, u) AS (SELECT DISTINCT a, a FROM l UNION SELECT reach.v, l.b FROM reach JOIN l ON l.a = reach.u),
+        m AS (SELECT v, min(u) AS u FROM reach GROUP BY v), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT t.vec_id, coalesce(n.n, 0) AS n_links, coalesce(m.u, t.vec_id) AS component_id, coalesce(m.u, t.vec_id) = t.vec_id AS kept
+        FROM embeddings t LEFT JOIN m ON m.v = t.vec_id LEFT JOIN n ON n.a = t.vec_id""",
+    "op13_centroids": f"""
+        WITH x AS MATERIALIZED (
+          SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+          WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), c0 AS MATERIALIZED (
+          SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, x FROM x ORDER BY sha256('3:' || vec_id) LIMIT 8
+        ),{LLOYD_ROUNDS} z AS (
+          SELECT vec_id, CAST(arg_min(c, (d, c)) AS INTEGER) AS cluster, CAST(min(d) AS BIGINT) AS distance FROM (
+            SELECT x.vec_id, c.c, list_sum(list_transform(range(1, 65), lambda i: (x.x[i] - c.x[i]) ** 2)) AS d FROM x, c10 c)
+          GROUP BY vec_id
+        )
+        SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+               CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c10.x, ',')) AS centroid_sha256
+        FROM z JOIN c10 ON c10.c = z.cluster""",
 }
