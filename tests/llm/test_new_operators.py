@@ -60,6 +60,7 @@ def corpus(rng, docs, vocabulary):
 @pytest.mark.parametrize("shard", [300, 1 << 20])
 def test_collocations_equal_counting_by_hand(spark, monkeypatch, shard):
     monkeypatch.setattr(collocations, "SHARD", shard)
+    monkeypatch.setattr(collocations, "CHUNK", 3 * shard)
     monkeypatch.setattr(collocations, "BATCH", 64)
     rng = random.Random(shard)
     vocabulary = ["the"] * 30 + ["the", "of", "En", "en", "de", "é", "日本", "a b", "x'y", "\x00z", *"abcdefgh"] * 2 + [f"w{i}" for i in range(40)]
@@ -77,7 +78,7 @@ def test_collocations_of_empty_tables(spark):
 
 
 def test_texts_are_cut_behind_marks_only(monkeypatch):
-    monkeypatch.setattr(collocations, "SHARD", 10)
+    monkeypatch.setattr(collocations, "CHUNK", 10)
     text = b"abc, defghij klm nopqrstuvw xyz. 1 2 3 4 5 6 7 8 9 0 1 2 3"
     parts = list(collocations._cut(text))
     assert b"".join(parts) == text and all(p[-1:] in b",." for p in parts[:-1]) and len(parts) == 3

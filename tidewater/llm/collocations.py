@@ -29,8 +29,8 @@ from tidewater.llm.common import discard, mix64, release, stash
 from tidewater.llm.sketches import Packer, bitmap, frequent, in_map, map_width
 from tidewater.llm.wordhash import stretches
 
-#: Words of a phrase at most; bytes of a shard, positions extended at once, fingerprints held before they are sent.
-MOST, SHARD, BATCH, HELD = 5, 8 << 20, 1 << 18, 4_000_000
+#: Words of a phrase at most; bytes of text hashed at once, words of a shard, positions extended at once, fingerprints held before they are sent.
+MOST, CHUNK, SHARD, BATCH, HELD = 5, 1 << 20, 1 << 20, 1 << 18, 2_000_000
 #: A word at more than one of so many positions has its bitmap as bits.
 DENSE = 32
 FOLD = np.arange(256, dtype=np.uint8)
@@ -43,8 +43,8 @@ BETWEEN[[0x20, 0x09]] = True
 LANE = np.uint64(0xD6E8FEB86659FD93)
 
 
-def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, list[str]]]:
-    """Texts and their languages (as places in a list) of about SHARD bytes; a longer text is cut behind marks, where it has some."""
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, list[str]]]:
+    """Texts and their languages (as places in a list) of about CHUNK bytes; a longer text is cut behind marks, where it has some."""
     texts, langs, held = [], [], 0
     release()
     for batch in batches:
@@ -53,7 +53,7 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.
                 texts.append(part)
                 langs.append(lang)
                 held += len(part) + 1
-                if held > SHARD:
+                if held > CHUNK:
                     yield texts, *_coded(langs)
                     texts, langs, held = [], [], 0
     if texts:
@@ -67,8 +67,8 @@ def _coded(langs: list[str]) -> tuple[np.ndarray, list[str]]:
 
 def _cut(text: bytes) -> Iterator[bytes]:
     at = 0
-    while len(text) - at > SHARD:
-        ends = np.flatnonzero(MARK[np.frombuffer(text, np.uint8, SHARD, at)])
+    while len(text) - at > CHUNK:
+        ends = np.flatnonzero(MARK[np.frombuffer(text, np.uint8, CHUNK, at)])
         if not len(ends):  # no mark in all of this: go on to the next one
             more = np.flatnonzero(MARK[np.frombuffer(text, np.uint8, offset=at)])
             if not len(more):
@@ -98,6 +98,21 @@ def _spans(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return end - size, end
 
 
+def shards(batches: Iterator[pa.RecordBatch], maps: list[np.ndarray]) -> Iterator[Shard]:
+    """Shards of about SHARD words."""
+    h, pieces, held, base = [], [], 0, 0
+    for texts, code, names in chunks(batches):
+        _, _, _, words, piece, _ = words_of(texts, code, names)
+        h.append(words)
+        pieces.append(piece.astype(np.int64) + base)
+        held, base = held + len(words), base + (int(piece[-1]) if len(piece) else 0) + 1
+        if held > SHARD:
+            yield Shard(np.concatenate(h), np.concatenate(pieces), maps)
+            h, pieces, held = [], [], 0
+    if held:
+        yield Shard(np.concatenate(h), np.concatenate(pieces), maps)
+
+
 class Shard:
     """The position bitmaps of a shard's words that may be frequent, and which phrases that end at a position may be."""
 
@@ -197,17 +212,29 @@ class Shard:
 def _counted_words(docs: DataFrame) -> DataFrame:
     """lang, word, h, n: all words of all texts."""
 
+    def counted(parts: list[tuple[np.ndarray, np.ndarray, list[bytes], list[str]]]) -> pa.RecordBatch:
+        every = np.concatenate([h for h, _, _, _ in parts])
+        h, first, place = np.unique(every, return_index=True, return_inverse=True)
+        n = np.bincount(place, np.concatenate([n for _, n, _, _ in parts])).astype(np.int64)
+        words, langs = ([x for p in parts for x in p[k]] for k in (2, 3))
+        at = pa.array(first)
+        arrays = [pa.array(langs, pa.string()).take(at), pa.array(words, pa.binary()).cast(pa.string()).take(at), pa.array(h.view(np.int64)), pa.array(n)]
+        return pa.RecordBatch.from_arrays(arrays, ["lang", "word", "h", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, code, names in shards(batches):
+        held, size = [], 0
+        for texts, code, names in chunks(batches):
             buf, start, end, h, _, lang = words_of(texts, code, names)
-            _, first, n = np.unique(h, return_index=True, return_counts=True)
+            h, first, n = np.unique(h, return_index=True, return_counts=True)
             data = buf.tobytes()
             words = [data[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-            arrays = [
-                pa.array(names, pa.string()).take(pa.array(lang[first])), pa.array(words, pa.binary()).cast(pa.string()),
-                pa.array(h[first].view(np.int64)), pa.array(n.astype(np.int64)),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, ["lang", "word", "h", "n"])
+            held.append((h, n, words, [names[k] for k in lang[first].tolist()]))
+            size += len(h)
+            if size > SHARD // 4:
+                yield counted(held)
+                held, size = [], 0
+        if held:
+            yield counted(held)
 
     found = docs.mapInArrow(run, "lang string, word string, h long, n long")
     return found.groupBy("lang", "word", "h").agg(F.sum("n").alias("n"))
@@ -230,9 +257,7 @@ def _round(docs: DataFrame, maps: list[np.ndarray], exact: range, sketch: int, p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps, packer = shared.value, Packer(parts, bits)
-        for texts, code, names in shards(batches):
-            _, _, _, h, piece, _ = words_of(texts, code, names)
-            shard = Shard(h, piece, maps)
+        for shard in shards(batches, maps):
             if sketch and sketch == len(shard.prints) + 1:
                 shard.deeper(sketch)
                 shard.may.pop()  # not known yet
