@@ -62,6 +62,8 @@ def test_collocations_equal_counting_by_hand(spark, monkeypatch, shard):
     monkeypatch.setattr(collocations, "SHARD", shard)
     monkeypatch.setattr(collocations, "CHUNK", 3 * shard)
     monkeypatch.setattr(collocations, "BATCH", 64)
+    monkeypatch.setattr(collocations, "HELD", shard)
+    monkeypatch.setattr(collocations, "ROWS", shard // 3)
     rng = random.Random(shard)
     vocabulary = ["the"] * 30 + ["the", "of", "En", "en", "de", "é", "日本", "a b", "x'y", "\x00z", *"abcdefgh"] * 2 + [f"w{i}" for i in range(40)]
     rows = corpus(rng, 300, vocabulary) + [("en", None), ("en", ""), (None, " \t"), ("de", "the the the the " * 200), ("de", ".,;"), ("de", "long " + "word" * 400)]

@@ -20,17 +20,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import discard, mix64, release, stash
+from tidewater.llm.common import discard, mix64, release, stash, text_chunks
 from tidewater.llm.sketches import Packer, bitmap, frequent, in_map, map_width
 from tidewater.llm.wordhash import stretches
 
-#: Words of a phrase at most; bytes of text hashed at once, words of a shard, positions extended at once, fingerprints held before they are sent.
-MOST, CHUNK, SHARD, BATCH, HELD = 5, 1 << 20, 1 << 20, 1 << 18, 2_000_000
+#: Words of a phrase at most; bytes of text hashed at once, words of a shard, positions extended at once, fingerprints and counted phrases held before they are sent.
+MOST, CHUNK, SHARD, BATCH, HELD, ROWS = 5, 1 << 19, 1 << 19, 1 << 18, 1_000_000, 250_000
 #: A word at more than one of so many positions has its bitmap as bits.
 DENSE = 32
 FOLD = np.arange(256, dtype=np.uint8)
@@ -48,14 +49,15 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.
     texts, langs, held = [], [], 0
     release()
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            for part in _cut(text or b""):
-                texts.append(part)
-                langs.append(lang)
-                held += len(part) + 1
-                if held > CHUNK:
-                    yield texts, *_coded(langs)
-                    texts, langs, held = [], [], 0
+        for rows in text_chunks(batch, CHUNK):
+            for lang, text in zip(rows.column(0).to_pylist(), rows.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                for part in _cut(text or b""):
+                    texts.append(part)
+                    langs.append(lang)
+                    held += len(part) + 1
+                    if held > CHUNK:
+                        yield texts, *_coded(langs)
+                        texts, langs, held = [], [], 0
     if texts:
         yield texts, *_coded(langs)
 
@@ -240,63 +242,105 @@ def _counted_words(docs: DataFrame) -> DataFrame:
     return found.groupBy("lang", "word", "h").agg(F.sum("n").alias("n"))
 
 
+class Counted:
+    """Exact counts of phrases by their words (zeros behind them), held until there are ROWS of them."""
+
+    def __init__(self, parts: int):
+        self.parts, self.words, self.counts, self.held = parts, [], [], 0
+
+    def add(self, words: np.ndarray, counts: np.ndarray) -> None:
+        full = np.zeros((len(words), MOST), np.uint64)
+        full[:, : words.shape[1]] = words
+        self.words.append(full)
+        self.counts.append(counts.astype(np.int64))
+        self.held += len(words)
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        words, counts = np.concatenate(self.words), np.concatenate(self.counts)
+        order = np.lexsort(words.T[::-1])
+        words, counts = words[order], counts[order]
+        start = np.flatnonzero(np.r_[True, (words[1:] != words[:-1]).any(1)]) if len(words) else np.zeros(0, int)
+        words, counts = words[start], np.add.reduceat(counts, start) if len(start) else counts
+        self.words, self.counts, self.held = [words], [counts], len(words)
+        return words, counts
+
+    def packs(self) -> tuple[list[int], list[bytes], list[bytes]]:
+        words, counts = self.merged()
+        part = (mix64(words @ np.array([3, 5, 7, 11, 13], np.uint64)) % np.uint64(self.parts)).astype(int)
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(self.parts + 1))
+        at = [k for k in range(self.parts) if cut[k] < cut[k + 1]]
+        rows = [order[cut[k] : cut[k + 1]] for k in at]
+        self.words, self.counts, self.held = [], [], 0
+        return at, [words[r].astype("<u8").tobytes() for r in rows], [counts[r].astype("<i8").tobytes() for r in rows]
+
+
 def _round(docs: DataFrame, maps: list[np.ndarray], exact: range, sketch: int, parts: int, bits: int) -> DataFrame:
-    """Phrases of the lengths ``exact`` as rows (w1 to w5, 0 where there is no word; n), those of ``sketch`` words as packs."""
+    """Packed counts by part: of the phrases of ``sketch`` words by fingerprint (steps, more), of those of the lengths ``exact`` by words (words, n)."""
     shared = docs.sparkSession.sparkContext.broadcast(maps)
     most = max([*exact, sketch])
 
-    def rows(words: list[np.ndarray], n: list[np.ndarray], packs: tuple[list, list, list] = ((), (), ())) -> pa.RecordBatch:
-        w = np.concatenate(words) if words else np.zeros((0, MOST), np.int64)
-        k = len(packs[0])
-        none = lambda size, kind: pa.nulls(size, kind)
-        join = lambda a, b, kind: pa.concat_arrays([a, pa.array(b, kind)])
-        arrays = [pa.array(np.r_[w[:, i], np.zeros(k, np.int64)]) for i in range(MOST)]
-        arrays.append(pa.array(np.r_[np.concatenate(n) if n else np.zeros(0, np.int64), np.zeros(k, np.int64)]))
-        arrays += [join(none(len(w), t), p, t) for p, t in zip(packs, (pa.int32(), pa.binary(), pa.binary()), strict=True)]
-        return pa.RecordBatch.from_arrays(arrays, [*(f"w{i + 1}" for i in range(MOST)), "n", "part", "steps", "more"])
+    def sent(packs: tuple[list, list, list], first: int) -> pa.RecordBatch:
+        columns = [pa.nulls(len(packs[0]), pa.binary())] * 4
+        columns[first : first + 2] = [pa.array(p, pa.binary()) for p in packs[1:]]
+        return pa.RecordBatch.from_arrays([pa.array(packs[0], pa.int32()), *columns], ["part", "steps", "more", "words", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps, packer = shared.value, Packer(parts, bits)
+        maps, packer, counted = shared.value, Packer(parts, bits), Counted(parts)
         for shard in shards(batches, maps):
-            if sketch and sketch == len(shard.prints) + 1:
+            if sketch:
                 shard.deeper(sketch)
                 shard.may.pop()  # not known yet
-            held, counts = [], []
             for words, n, last in shard.phrases(most):
                 depth = words.shape[1]
                 if depth == sketch:
                     packer.add(shard.prints[depth - 1][last], n)
                 if depth in exact:
                     go = shard.may[depth - 1][last] if depth <= len(shard.may) else np.ones(len(last), bool)
-                    if go.any():
-                        full = np.zeros((int(go.sum()), MOST), np.int64)
-                        full[:, :depth] = shard.words[words[go]].view(np.int64)
-                        held.append(full)
-                        counts.append(n[go].astype(np.int64))
-            yield rows(held, counts, packer.packs() if packer.held > HELD else ((), (), ()))
+                    counted.add(shard.words[words[go]], n[go])
+            if packer.held > HELD:
+                yield sent(packer.packs(), 0)
+            if counted.held > ROWS and len(counted.merged()[0]) > ROWS // 2:
+                yield sent(counted.packs(), 2)
         if packer.held:
-            yield rows([], [], packer.packs())
+            yield sent(packer.packs(), 0)
+        if counted.held:
+            yield sent(counted.packs(), 2)
+
+    return docs.mapInArrow(run, "part int, steps binary, more binary, words binary, n binary")
+
+
+def _summed(packs: DataFrame, least: int) -> DataFrame:
+    """w and a: the phrases of which packs (part, words, n) count ``least`` or more."""
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        counted = Counted(1)
+        for words, n in zip(rows["words"], rows["n"], strict=True):
+            counted.add(np.frombuffer(words, "<u8").reshape(-1, MOST), np.frombuffer(n, "<i8"))
+        words, n = counted.merged()
+        often = n >= least
+        return pd.DataFrame({"w": pd.Series([[x for x in r if x] for r in words[often].view(np.int64).tolist()], dtype=object), "a": n[often]})
 
-    columns = ", ".join(f"w{i + 1} long" for i in range(MOST))
-    return docs.mapInArrow(run, f"{columns}, n long, part int, steps binary, more binary")
+    return packs.select("part", "words", "n").groupBy("part").applyInPandas(merge, "w array<long>, a long")
 
 
 def _frequent_phrases(docs: DataFrame, words: DataFrame, total: int, least: int) -> tuple[DataFrame, list[str]]:
     """w (the words' fingerprints) and a, for phrases of two words and more that occur ``least`` times or more."""
+    spark = docs.sparkSession
     width, bits = map_width(total, least), min(56, max(32, total.bit_length() + 5))
     parts = min(1 << 12, max(8, 1 << (docs.rdd.getNumPartitions() - 1).bit_length()))
-    key = [f"w{i + 1}" for i in range(MOST)]
     maps, tables, paths = [bitmap(words.select("h"), width)], [], []
     for exact, sketch in ((range(0), 2), (range(2, 3), 3), (range(3, MOST + 1), 0)):
         found, path = stash(_round(docs, maps, exact, sketch, parts, bits), "phrases")
         if sketch:
-            maps.append(bitmap(frequent(found.where(F.col("part").isNotNull()), bits, parts, least), width))
+            hot, path_h = stash(frequent(found.where(F.col("steps").isNotNull()), bits, parts, least), "frequent")
+            maps.append(bitmap(hot, width))
+            discard(spark, path_h)
         if exact:
-            counted = found.where(F.col("part").isNull()).groupBy(*key).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-            table, path_t = stash(counted.select(F.filter(F.array(*key), lambda x: x != 0).alias("w"), "a"), "frequent-phrases")
+            table, path_t = stash(_summed(found.where(F.col("words").isNotNull()), least), "frequent-phrases")
             tables.append(table)
             paths.append(path_t)
-        discard(docs.sparkSession, path)
+        discard(spark, path)
     return tables[0].union(tables[1]), paths
 
 
