@@ -8,11 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def known(x: Column, least: float | None = None) -> Column:
-    """``x`` as double, or null where it is NaN, infinite or below ``least``."""
+def known(x: Column, least: float | None = None, most: float | None = None) -> Column:
+    """``x`` as double, or null where it is NaN, infinite, below ``least`` or above ``most``."""
     d = x.cast("double")
     ok = ~F.isnan(d) & (F.abs(d) != float("inf"))
-    return F.when(ok if least is None else ok & (d >= least), d)
+    ok = ok if least is None else ok & (d >= least)
+    return F.when(ok if most is None else ok & (d <= most), d)
 
 
 def all_of(*conditions: Column) -> Column:
@@ -59,18 +60,19 @@ def predicate(spec: dict) -> Column:
 
     ``op`` is one of OPERATORS, or one of them behind ``abs_``. With ``reduce`` the
     field is an array, which needs ``length`` elements, all known and finite.
-    With ``physical`` (counts, speeds, loads, distances) negative numbers are
-    outside the domain. Outside the domain the result is null.
+    ``low`` and ``high`` bound the domain of the field (of each element); with
+    ``physical`` (counts, speeds, loads, distances) it begins at zero. Outside the
+    domain the result is null.
     """
     c, op = F.col(spec["field"]), spec["op"]
-    least = 0.0 if spec.get("physical") else None
+    least, most = spec.get("low", 0.0 if spec.get("physical") else None), spec.get("high")
     if "reduce" in spec:
-        ok = (F.size(c) > 0) & F.forall(c, lambda x: known(x, least).isNotNull())
+        ok = (F.size(c) > 0) & F.forall(c, lambda x: known(x, least, most).isNotNull())
         if "length" in spec:
             ok = ok & (F.size(c) == spec["length"])
         c = F.when(ok, REDUCERS[spec["reduce"]](c))
     elif op != "is":
-        c = known(c, least)
+        c = known(c, least, most)
     if "center" in spec:
         c = c - F.lit(spec["center"])
     if op.startswith("abs_"):

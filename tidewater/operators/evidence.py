@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions import logic
 from tidewater.functions.numbers import ratio, steps
 from tidewater.operators.asof import asof_backward
 from tidewater.operators.clock import in_order
@@ -175,17 +176,24 @@ def wiped_share(df: DataFrame, key: list[str], order: list[str], gate: Column, p
     return df.withColumn("remaining", 1 - F.least(F.greatest(least, F.lit(0.0)), F.lit(1.0)))
 
 
-def lookback_mean(df: DataFrame, key: list[str], t: str, tie: str, total: str, gap: str, back: int, unit: int) -> DataFrame:
-    """Adds mean: the growth of a cumulative counter since the last sample at least ``back`` ago, for each ``unit`` of time.
+def lookback_mean(df: DataFrame, key: list[str], t: str, tie: str, total: str, gap: str, back: int, unit: int, least: int | None = None) -> DataFrame:
+    """Adds mean, the growth of a cumulative counter for each ``unit`` of time since the last sample at least ``back`` ago, and brief.
 
-    Null without such a sample, across a ``gap`` (behind a row), or where the counter went down on the way.
+    Without such a sample the first one is taken. The mean is null where less
+    than ``least`` (``back`` unless given) has passed, and where the counter is
+    unknown, went down, or has a ``gap`` (behind a row) on the way. ``brief`` is
+    true where too short a time is the only reason.
     """
-    w = in_order(key, t, tie)
-    d = df.withColumn("_lb_late", F.coalesce(F.lag(gap).over(w), F.lit(False))).withColumn("_lb_down", F.coalesce(F.col(total) < F.lag(total).over(w), F.lit(False)))
-    d = d.withColumn("_lb_bad", F.sum((F.col("_lb_late") | F.col("_lb_down")).cast("int")).over(w))
-    last = d.groupBy(*key, t).agg(F.max(F.struct(tie, F.col(total).alias("then"), F.col("_lb_bad").alias("bad_then"))).alias("_s"))
-    last = last.select(*key, (F.col(t) + back).alias(t), F.col("_s.then").alias("then"), F.col("_s.bad_then").alias("bad_then"))
-    out = asof_backward(d, last, key, t, ["then", "bad_then"])
-    span = (F.col(t) - (F.col("rt") - back)) / unit
-    mean = F.when(F.col("_lb_bad") == F.col("bad_then"), (F.col(total) - F.col("then")) / span)
-    return out.withColumn("mean", mean).drop("_lb_late", "_lb_down", "_lb_bad", "rt", "age", "then", "bad_then")
+    w, c = in_order(key, t, tie), logic.known(F.col(total))
+    d = df.withColumn("_lb_n", c)
+    before = F.last("_lb_n", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    bad = F.coalesce(F.lag(gap).over(w), F.lit(False)) | F.col("_lb_n").isNull() | F.coalesce(F.col("_lb_n") < before, F.lit(False))
+    d = d.withColumn("_lb_bad", F.sum(bad.cast("int")).over(w))
+    d = d.withColumn("_lb_first", F.first(F.struct(F.col(t).alias("t"), F.col("_lb_n").alias("then"), F.col("_lb_bad").alias("bad"))).over(w))
+    last = d.groupBy(*key, t).agg(F.max(F.struct(tie, F.struct(F.col(t).alias("t"), F.col("_lb_n").alias("then"), F.col("_lb_bad").alias("bad")).alias("s"))).alias("_s"))
+    out = asof_backward(d, last.select(*key, (F.col(t) + back).alias(t), F.col("_s.s").alias("_lb_then")), key, t, ["_lb_then"])
+    out = out.withColumn("_lb_from", F.coalesce("_lb_then", "_lb_first")).withColumn("_lb_span", F.col(t) - F.col("_lb_from.t"))
+    sound, grown = (F.col("_lb_bad") == F.col("_lb_from.bad")) & F.col("_lb_from.then").isNotNull(), F.col("_lb_n") - F.col("_lb_from.then")
+    long = F.col("_lb_span") >= (back if least is None else least)
+    out = out.withColumn("mean", F.when(sound & long & (F.col("_lb_span") > 0), grown / (F.col("_lb_span") / unit))).withColumn("brief", F.coalesce(sound & ~long, F.lit(False)))
+    return out.drop("_lb_n", "_lb_bad", "_lb_first", "_lb_then", "_lb_from", "_lb_span", "rt", "age")
