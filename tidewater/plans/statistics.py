@@ -234,15 +234,20 @@ def strict_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("vec_id", F.round(logic.strict_array_sum(F.col("x")), 5).alias("strict_total"), F.round(two, 5).alias("two"))
 
 
-@query(f"""WITH {HELD_SQL}, m AS (SELECT k, id, t, coalesce(lag(gap) OVER w, false) AS late, sum(coalesce(v, 0)) OVER w AS total FROM g WINDOW w AS (PARTITION BY k ORDER BY t, id)),
-j AS (SELECT *, sum(CASE WHEN late THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY t, id) AS gaps FROM m),
-r AS (SELECT k, t, max(total) AS total, arg_max(gaps, id) AS gaps FROM j GROUP BY k, t),
-o AS (SELECT j.k, j.id, j.t, j.total, j.gaps, r.t AS rt, r.total AS then_, r.gaps AS g0 FROM j ASOF LEFT JOIN r ON j.k = r.k AND j.t - {24 * HOUR} >= r.t)
-SELECT k, id, round(CASE WHEN gaps = g0 AND total >= then_ THEN (total - then_) / ((t - rt) / 3.6e9) END, 4) AS mean FROM o""")
+@query(f"""WITH {HELD_SQL}, m0 AS (SELECT k, id, t, coalesce(lag(gap) OVER w, false) AS late, round(sum(coalesce(v, 0)) OVER w, 4) AS base FROM g WINDOW w AS (PARTITION BY k ORDER BY t, id)),
+m AS (SELECT *, CASE WHEN id % 23 = 0 THEN NULL WHEN id % 31 = 0 THEN base - 100 ELSE base END AS total FROM m0),
+b AS (SELECT *, last_value(total IGNORE NULLS) OVER (PARTITION BY k ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM m),
+j AS (SELECT *, sum(CASE WHEN late OR total IS NULL OR coalesce(total < before, false) THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY t, id) AS bad FROM b),
+f AS (SELECT *, first_value({{'total': total, 'bad': bad}}) OVER (PARTITION BY k ORDER BY t, id) AS f FROM j),
+r AS (SELECT k, t, arg_max({{'total': total, 'bad': bad}}, id) AS then_ FROM j GROUP BY k, t),
+o AS (SELECT f.*, r.t AS rt, coalesce(r.then_, f.f) AS then_ FROM f ASOF LEFT JOIN r ON f.k = r.k AND f.t - {24 * HOUR} >= r.t)
+SELECT k, id, round(CASE WHEN rt IS NOT NULL AND bad = then_.bad AND then_.total IS NOT NULL THEN (total - then_.total) / ((t - rt) / 3.6e9) END, 4) AS mean, rt IS NULL AND bad = then_.bad AND then_.total IS NOT NULL AS brief FROM o""")
 def lookback_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A counter of what was measured, unknown in every 23rd row and fallen in every 31st."""
     s = held(spark, sf_dir)
-    s = s.withColumn("total", F.sum(F.coalesce("v", F.lit(0.0))).over(clock.in_order(K, "t", "id")))
-    return rounded(evidence.lookback_mean(s, K, "t", "id", "total", "gap", 24 * HOUR, HOUR).select("k", "id", "mean"), "mean")
+    base = F.round(F.sum(F.coalesce("v", F.lit(0.0))).over(clock.in_order(K, "t", "id")), 4)
+    s = s.withColumn("total", F.when(F.col("id") % 23 != 0, F.when(F.col("id") % 31 == 0, base - 100).otherwise(base)))
+    return rounded(evidence.lookback_mean(s, K, "t", "id", "total", "gap", 24 * HOUR, HOUR).select("k", "id", "mean", "brief"), "mean")
 
 
 @query(f"""WITH {{samples}}, x AS (SELECT k, id, t, v, greatest(lag(t) OVER (PARTITION BY k ORDER BY t, id), max(t) OVER (PARTITION BY k) - {36 * HOUR}) AS f FROM s),

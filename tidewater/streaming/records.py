@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewater.sources.tables import scratch
+from tidewater.streaming.late import run_into
 
 
 def _in_order(df: DataFrame, key: str, t: str, tie: str, values: list[str], state: str, out: str, step: Callable) -> DataFrame:
-    """Runs ``step(state, t, tie, *values)`` -> (state, rows) over each key's rows in order; the state starts as None."""
+    """Runs ``step(state, t, tie, *values)`` -> (state, rows) over each key's rows in order; the state starts as None. Rows without a clock are left out."""
     def update(k: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
         now, made = (tuple(kept.get) if kept.exists else None), []
         rows = pd.concat(list(frames), ignore_index=True).sort_values(["_t", "_tie"], kind="stable")
+        rows = rows[rows["_t"].notna()]  # a row without a clock has no place in the order
         columns = [rows[c].astype(object).where(rows[c].notna(), None) for c in ("_t", "_tie", *values)]
         for at, i, *x in zip(*columns, strict=True):
             now, new = step(now, int(at), int(i), *x)
@@ -67,17 +69,5 @@ def committed_steps(df: DataFrame, key: str, t: str, tie: str, kind: str, value:
 
 
 def closed(stream: DataFrame, tag: str) -> DataFrame:
-    """Runs a stream over all data that is there into a table of its own, checks its count against the sink's progress, and reads it; without data it is empty."""
-    spark = stream.sparkSession
-    path = scratch(spark, tag)
-    counter = stream.observe(f"{tag}-closed", F.count(F.lit(1)).alias("n"))
-    run = counter.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    said = sum(int(p["observedMetrics"][f"{tag}-closed"]["n"]) for p in run.recentProgress if f"{tag}-closed" in (p["observedMetrics"] or {}))
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not said and not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-        return spark.createDataFrame([], stream.schema)  # a stream without data makes no table
-    written = spark.read.schema(stream.schema).parquet(path)
-    if (have := written.count()) != said:
-        raise OSError(f"{path}: the stream made {said} records, {have} are there")
-    return written
+    """Runs a stream over all data that is there into a table of its own, checks its count batch by batch, and reads it; without data it is empty."""
+    return run_into(stream, scratch(stream.sparkSession, tag))["rows"]

@@ -85,12 +85,6 @@ def stage_stream(df: DataFrame, key: str, t: str, tie: str, limit: int, program:
     return measured.groupBy(key).applyInPandasWithState(update, out, kept, "update", GroupStateTimeout.NoTimeout)
 
 
-def late_rows(df: DataFrame, t: str, latest: Column) -> tuple[DataFrame, DataFrame]:
-    """Rows at or after ``latest`` (say, a watermark column) and the late ones, which go to a sink of their own."""
-    late = F.coalesce(F.col(t) < latest, F.lit(False))
-    return df.where(~late), df.where(late)
-
-
 def guard_counts(df: DataFrame, t: str, width: str, delay: str, kind: str, measured: str, threshold: float) -> DataFrame:
     """Threshold breaches of a stream in tumbling windows behind a watermark: window start, kind, n, most."""
     hit = df.withWatermark(t, delay).where(F.col(measured) > threshold)
