@@ -12,20 +12,23 @@ binary search, and a partner stays if it occurs in T lists, T being what the ove
 must have within the first shingles. Long lists hold groups of near copies. A group's
 members are first verified against one of them, its pivot; only members that no link
 connects with the pivot by then are searched for in the whole group, in blocks, again
-with DivideSkip and leaving out what is connected already. Every pair that is left is
-verified on whole sets.
+with DivideSkip (where a counting merge of the short lists stands in for the heap) and
+leaving out what is connected already. Every pair that is left is verified on whole
+sets, which are made anew from the texts where they are wanted and sent once to each
+star of sets that asks for them.
 """
 
 from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -335,22 +338,32 @@ def divide_skip(sets: list[np.ndarray], side: np.ndarray, percent: int, known: n
     return links
 
 
-def _similar(both: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b whose whole sets x, y are similar."""
+def _stars(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Who is to be verified against whom, as stars: head, salt, sid, member (false for the head's own row)."""
+    members = groups.where(F.col("sid") != F.col("pivot")).select(F.col("pivot").alias("head"), "salt", "sid")
+    members = members.union(pairs.select("a", F.lit(-1), "b"))
+    heads = members.select("head", "salt").distinct()
+    return members.withColumn("member", F.lit(True)).union(heads.select("head", "salt", F.col("head").alias("sid"), F.lit(False)))
+
+
+def _verify(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links a, b between heads of stars and their members whose whole sets are similar. A star has a bounded number of members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, None
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
-                rows = zip(*(c.to_pylist() for c in batch.slice(k, 200).columns), strict=True)
-                yield _links([(a, b) for a, b, x, y in rows if similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)])
-
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+                out = []
+                for head, salt, sid, member, items in zip(*(c.to_pylist() for c in batch.slice(k, 200).columns), strict=True):
+                    s = np.frombuffer(items, np.uint64)
+                    if not member:
+                        now, own = (head, salt), s
+                    elif now == (head, salt) and similar(own, s, percent):
+                        out.append((head, sid))
+                yield _links(out)
 
-
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets are similar; no set is in more than a bounded number of pairs."""
-    far = pairs.join(sets.select(F.col("sid").alias("b"), F.col("items").alias("y")), "b")
-    return _similar(far.join(sets.select(F.col("sid").alias("a"), F.col("items").alias("x")), "a"), percent)
+    sent = stars.join(sets, "sid").select("head", "salt", "sid", "member", "items")
+    return sent.repartition("head", "salt").sortWithinPartitions("head", "salt", "member").mapInArrow(run, "a binary, b binary")
 
 
 def _with_pivots(groups: DataFrame, table: DataFrame, key: str) -> DataFrame:
@@ -359,18 +372,11 @@ def _with_pivots(groups: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return groups.join(copies, ["pivot", "salt"])
 
 
-def _pivot_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between the members of groups and their pivots."""
-    members = groups.where(F.col("sid") != F.col("pivot")).join(sets.select("sid", F.col("items").alias("y")), "sid")
-    both = _with_pivots(members, sets.select("sid", F.col("items").alias("x")), "sid")
-    return _similar(both.select(F.col("pivot").alias("a"), F.col("sid").alias("b"), "x", "y"), percent)
-
-
-def _with_rest(groups: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _with_rest(groups: DataFrame, fetch: Callable[[DataFrame, int], DataFrame], labels: DataFrame, percent: int) -> DataFrame:
     """``labels`` renewed by links between members that nothing connects with their pivot yet and all others of their groups.
 
     Both sides are cut into blocks, and by size: similar sets are in the same
-    band of sizes or in neighbouring ones.
+    band of sizes or in neighbouring ones. ``fetch`` makes the whole sets.
     """
     spark = groups.sparkSession
     named = groups.join(labels.select(F.col("v").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
@@ -392,7 +398,7 @@ def _with_rest(groups: DataFrame, sets: DataFrame, labels: DataFrame, percent: i
     near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
     rest = mine.where("apart").select("pivot", "sid", "label", near.alias("band"), place["i"].alias("i"), "bn")
     rest = rest.select("pivot", "sid", "label", "band", spread("bn").alias("j"), "i", F.lit(0).alias("side"))
-    full = others.unionByName(rest).join(sets.select("sid", "items"), "sid")
+    full = others.unionByName(rest).join(fetch(mine.select("sid"), mine.count()), "sid")
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         side = rows["side"].to_numpy()
@@ -424,7 +430,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75, size: int = 5) -> D
     lists yield spanning links. The driver holds two bitmaps of bounded size.
     """
     spark = documents.sparkSession
-    named = set_classes(documents.select("doc_id", "text"), percent, size)
+    named, _ = set_classes(documents.select("doc_id", "text"), percent, size)
     # Written apart, so that the join reads plain exchanges, whose hot partitions Spark splits.
     first, _ = stash(named.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("first")), "first")
     return named.join(first, "class", "left").select(
@@ -440,17 +446,28 @@ def one_of_each(documents: DataFrame, percent: int = 75, size: int = 5) -> DataF
     doc_id: it may be null, repeated, or stand on unrelated texts. Rows without
     words belong to no component and all stay. Columns pass as they are.
     """
-    row = fresh(documents, "row")
-    rows, _ = stash(documents.withColumn(row, F.monotonically_increasing_id()), "rows")
-    named = set_classes(rows.select("doc_id", row, "text"), percent, size).where(F.col("class").isNotNull())
+    spark, row = documents.sparkSession, fresh(documents, "row")
+    rows = _numbered(documents, row)
+    named, path = set_classes(rows.select("doc_id", row, "text"), percent, size)
+    named = named.where(F.col("class").isNotNull())
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", row)
     first = named.groupBy("class").agg(F.min(order).alias("first")).select(F.col("first").getField(row).alias(row))
-    extra = named.select(row).join(first, row, "left_anti")
+    extra, _ = stash(named.select(row).join(first, row, "left_anti"), "extra")
+    discard(spark, path)
     return rows.join(extra, row, "left_anti").select(*[F.col(quoted(c)) for c in documents.columns])
 
 
-def set_classes(docs: DataFrame, percent: int, size: int) -> DataFrame:
-    """The columns of ``docs`` but text, n_shingles, and class: equal for the rows of one component, null without words."""
+def _numbered(documents: DataFrame, row: str) -> DataFrame:
+    """``documents`` with a lasting identity of each row: its file and place in it where they come from Parquet files as they are, else a written number."""
+    try:
+        where = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+        return documents.withColumn(row, where)
+    except AnalysisException:  # not from such files
+        return stash(documents.withColumn(row, F.monotonically_increasing_id()), "rows")[0]
+
+
+def set_classes(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, str]:
+    """The columns of ``docs`` but text, n_shingles, and class (equal for the rows of one component, null without words), and the table's path."""
     spark, own = docs.sparkSession, [c for c in docs.columns if c != "text"]
     hot = frequent_map(docs, size)
 
@@ -481,21 +498,21 @@ def set_classes(docs: DataFrame, percent: int, size: int) -> DataFrame:
     groups, path_g = stash(groups.select("pivot", "sid", "n", salt.alias("salt")), "groups")
     discard(spark, path_a)
 
-    # Whole sets are kept only where wanted; a bitmap sized by their number says which may be.
-    wanted = _bitmap(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(groups.select("sid")), 2 * pairs.count() + groups.count())
-    table, path_t = stash(_described(docs, wanted, size), "sets")
-    sets = table.where(F.col("items").isNotNull()).groupBy("sid").agg(F.first("items").alias("items"))
-    sets, path_u = stash(sets, "unique-sets")
-    links, path_k = stash(_verify(pairs, sets, percent).union(_pivot_links(groups, sets, percent)), "links")
-    labels, path_c = stash(components(links), "components")
-    labels = _with_rest(groups, sets, labels, percent)
-    discard(spark, path_p, path_g, path_u, path_k)
+    # Whole sets are made only where wanted; a bitmap sized by their number says which may be.
+    def fetch(sids: DataFrame, count: int) -> DataFrame:
+        return _items(docs, _bitmap(sids, count), size).groupBy("sid").agg(F.first("items").alias("items"))
 
-    rows = table.select(*own, "n_shingles", "sid")
-    named = rows.join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("class", F.coalesce("label", "sid"))
-    named, _ = stash(named.select(*own, "n_shingles", "class"), "classes")
-    discard(spark, path_t, path_c)
-    return named
+    stars, path_s = stash(_stars(pairs, groups), "stars")
+    discard(spark, path_p)
+    links, path_k = stash(_verify(stars, fetch(stars.select("sid"), stars.count()), percent), "links")
+    labels = _with_rest(groups, fetch, components(links), percent)
+    discard(spark, path_g, path_s, path_k)
+
+    table, path_t = stash(_described(docs, size), "described")
+    named = table.join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("class", F.coalesce("label", "sid"))
+    named, path = stash(named.select(*own, "n_shingles", "class"), "classes")
+    discard(spark, path_t)
+    return named, path
 
 
 def _bit(sid: np.ndarray, bits: int) -> np.ndarray:
@@ -533,26 +550,34 @@ def _bitmap(sids: DataFrame, count: int) -> np.ndarray:
     return out
 
 
-def _described(docs: DataFrame, wanted: np.ndarray, size: int) -> DataFrame:
-    """The columns but text, n_shingles, sid (null without words) and, where it may be wanted, the set itself."""
+def _items(docs: DataFrame, wanted: np.ndarray, size: int) -> DataFrame:
+    """sid and items of the sets that may be wanted, most of them once for each task."""
     shared, width = docs.sparkSession.sparkContext.broadcast(wanted), int(len(wanted) * 8).bit_length() - 1
-    own = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = shared.value, _Seen()
         for batch in batches:
-            for part, sets in _sets(batch, size):
-                sid = [set_id(s) if len(s) else None for s in sets]
+            for _, sets in _sets(batch, size):
+                sets = [s for s in sets if len(s)]
+                sid = [set_id(s) for s in sets]
                 at = _bit(_halves(sid), width)
                 hit = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-                items = [s.tobytes() if i is not None and h and seen.new(i) else None for s, i, h in zip(sets, sid, hit, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(part.column(part.schema.get_field_index(c)) for c in own),
-                        pa.array([len(s) for s in sets], pa.int64()), pa.array(sid, pa.binary()), pa.array(items, pa.binary()),
-                    ],
-                    [*own, "n_shingles", "sid", "items"],
-                )
+                kept = [k for k, h in enumerate(hit) if h and seen.new(sid[k])]
+                yield pa.RecordBatch.from_arrays([pa.array([sid[k] for k in kept], pa.binary()), pa.array([sets[k].tobytes() for k in kept], pa.binary())], ["sid", "items"])
+
+    return docs.select("text").mapInArrow(run, "sid binary, items binary")
+
+
+def _described(docs: DataFrame, size: int) -> DataFrame:
+    """The columns but text, n_shingles and sid (null without words)."""
+    own = [c for c in docs.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, sets in _sets(batch, size):
+                columns = [part.column(part.schema.get_field_index(c)) for c in own]
+                sid = pa.array([set_id(s) if len(s) else None for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([len(s) for s in sets], pa.int64()), sid], [*own, "n_shingles", "sid"])
 
     schema = T.StructType(docs.select(*own).schema.fields)
-    return docs.mapInArrow(run, schema.add("n_shingles", "long").add("sid", "binary").add("items", "binary"))
+    return docs.mapInArrow(run, schema.add("n_shingles", "long").add("sid", "binary"))
