@@ -160,6 +160,8 @@ def _phone(f: Feistel, text: str, back: bool) -> str | None:
     if "+" in text:
         first = re.match(r"[0-9]{1,3}(?![0-9])", text[text.index("+") + 1 :])
         keep = 1 if d[0] in "17" else len(first.group()) if first else 2
+    elif country := re.match(r"00[1-9][0-9]{0,2}(?![0-9])", text):
+        keep = len(country.group())
     else:
         keep = len(d) - len(d.lstrip("0"))
     rest = d[keep:]
@@ -206,23 +208,64 @@ def _ssn(f: Feistel, text: str, back: bool) -> str | None:
 
 def _iban_part(text: str) -> str:
     """What of a candidate its country's length leaves: the groups behind it may be other words."""
-    length, at = IBAN_LENGTHS.get(text[:2], 0), 0
+    length, at = IBAN_LENGTHS.get(text[:2].upper(), 0), 0
     for i, c in enumerate(text):
-        at += c != " "
+        at += c not in " -"
         if at == length:
             return text[: i + 1]
     return text
 
 
 def _iban(f: Feistel, text: str, back: bool) -> str | None:
-    compact = text.replace(" ", "")
+    """Spaces, hyphens and the case of letters stay; small letters are only read in a known country's number."""
+    written = "".join(c for c in text if c not in " -")
+    compact = written.upper()
+    if written != compact and compact[:2] not in IBAN_LENGTHS:
+        return None
     if len(compact) != IBAN_LENGTHS.get(compact[:2], len(compact)) or not 2 <= int(compact[2:4]) <= 98:
         return None
     if _iban_number(compact[4:] + compact[:4]) % 97 != 1:
         return None
     body = f.characters(compact[4:], "iban" + compact[:2], back)
     new = iter(compact[:2] + str(98 - _iban_number(body + compact[:2] + "00") % 97).zfill(2) + body)
-    return "".join(c if c == " " else next(new) for c in text)
+    return "".join(c if c in " -" else next(new).lower() if c.islower() else next(new) for c in text)
+
+
+#: Names of months by language (fixed values).
+MONTHS = {
+    "en": "january february march april may june july august september october november december".split(),
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "de": "januar februar märz april mai juni juli august september oktober november dezember".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+}
+_MONTH = "|".join(sorted({m for names in MONTHS.values() for m in names}, key=lambda m: (-len(m), m)))
+_NAMED = re.compile(rf"(?P<d>[0-9]{{1,2}})(?P<a>\.? | de )(?P<m>(?i:{_MONTH}))(?P<b> de | )(?P<y>[0-9]{{4}})|(?P<M>(?i:{_MONTH})) (?P<D>[0-9]{{1,2}})(?P<B>,? )(?P<Y>[0-9]{{4}})")
+
+
+def _language(month: str, before: str) -> str | None:
+    """The language of a month's name, told by what stands before it where several have it."""
+    order = ("de", "en", "fr", "es") if before == ". " else ("es", "en", "fr", "de") if before == " de " else ("en", "fr", "de", "es")
+    return next((k for k in order if month.lower() in MONTHS[k]), None)
+
+
+def _named_date(f: Feistel, text: str, back: bool) -> str | None:
+    """A date with a month's name: language, capitals, and a day of one digit stay as they are."""
+    if not (m := _NAMED.fullmatch(text)):
+        return None
+    day, name, year, before = m["d"] or m["D"], m["m"] or m["M"], m["y"] or m["Y"], m["a"] or ""
+    names = MONTHS[language := _language(name, before)]
+    if (x := _ordinal(year, str(names.index(name.lower()) + 1), day)) is None:
+        return None
+
+    def fits(v: int) -> bool:
+        p = date.fromordinal(v + FIRST_DAY)
+        return (len(day) > 1 or p.day < 10) and _language(names[p.month - 1], before) == language
+
+    p = date.fromordinal(f.permute(x, DAYS, "date", back, fits) + FIRST_DAY)
+    new = names[p.month - 1]
+    new = new.upper() if name.isupper() else new.capitalize() if name[0].isupper() else new
+    d = f"{p.day:0{len(day)}}"
+    return f"{d}{m['a']}{new}{m['b']}{p.year:04}" if m["d"] else f"{new} {d}{m['B']}{p.year:04}"
 
 
 def _ordinal(y: str, m: str, d: str) -> int | None:
@@ -238,6 +281,8 @@ def _date(f: Feistel, text: str, back: bool) -> str | None:
 
     A day or month of one digit stays one of one digit; two digits otherwise.
     """
+    if any(c.isalpha() for c in text):
+        return _named_date(f, text, back)
     sep = next(c for c in text if not c.isdigit())
     a, b, c = text.split(sep)
     orders = [("ymd", a, b, c)] if len(a) == 4 else [("dmy", c, b, a), ("mdy", c, a, b)]
@@ -268,7 +313,7 @@ def _secret(f: Feistel, text: str, back: bool) -> str | None:
         return "\n".join(t if "-----" in t else f.characters(t, "secret", back) for t in text.split("\n"))
     if known := re.match(_PREFIXES, text):
         return known.group() + f.characters(text[known.end() :], "secret", back)
-    head, mark, tail = re.fullmatch(r"([\w-]+\s*[=:]\s*|\w+\s+)([\"']?)(.*)", text, re.S).groups()
+    head, mark, tail = re.fullmatch(r"([\w -]+?[\"']?\s*[=:]\s*(?:[\"']?(?i:basic)\s+)?|\w+\s+)([\"']?)(.*)", text, re.S).groups()
     body = tail.removesuffix(mark) if mark else tail
     digit = lambda t: any(c in DIGIT for c in t)
     if re.fullmatch("[0-9a-f]+", body) and digit(body):
@@ -279,42 +324,47 @@ def _secret(f: Feistel, text: str, back: bool) -> str | None:
 
 #: What known kinds of secrets begin with (fixed values).
 _PREFIXES = r"AKIA|gh[pousr]_|github_pat_|glpat-|sk-(?:proj-|live-|test-)?|xox[abprs]-|AIza|eyJ"
-_KEYS, _PASSWORD = r"token|secret|api[_-]?key|access[_-]?key", r"password|passwd|pwd"
+_KEYS, _PASSWORD = r"token|secret(?:[ _-]?key)?|(?:api|access|private)[ _-]?key", r"password|passwd|passphrase|pwd"
 _SECRET = "|".join((
     r"\bAKIA[A-Z0-9]{16}\b", r"\bgh[pousr]_[A-Za-z0-9]{20,}", r"\bgithub_pat_\w{20,}", r"\bglpat-[\w-]{16,}", r"\bsk-[A-Za-z0-9_-]{16,}",
     r"\bxox[abprs]-[A-Za-z0-9-]{10,}", r"\bAIza[A-Za-z0-9_-]{30,}", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
     r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*(?:-(?!----)[^-]*)*-----END [A-Z ]*PRIVATE KEY-----",
     r"\b(?i:bearer)\s+[A-Za-z0-9._~+/-]{20,}",
-    rf"(?<![^\W_])(?i:{_PASSWORD}|{_KEYS})\s*[=:]\s*(?:\"[^\"\s]{{6,}}\"|'[^'\s]{{6,}}'|(?=[A-Za-z]*[0-9])[A-Za-z0-9]{{8,}})",
-    rf"(?<![^\W_])(?i:{_PASSWORD})\s*[=:]\s*[^\s\"'<>(),;]{{8,}}",
+    r"\b(?i:authorization)[\"']?\s*[=:]\s*[\"']?(?i:basic)\s+[A-Za-z0-9+/]{8,}={0,2}",
+    rf"(?<![^\W_])(?i:{_PASSWORD}|{_KEYS})[\"']?\s*[=:]\s*(?:\"[^\"\s]{{6,}}\"|'[^'\s]{{6,}}'|(?=[A-Za-z+/_~.-]*[0-9])[A-Za-z0-9+/_~.-]{{7,}}[A-Za-z0-9+/_~-]={{0,2}})",
+    rf"(?<![^\W_])(?i:{_PASSWORD})[\"']?\s*[=:]\s*[^\s\"'<>(),;{{}}]{{8,}}",
 ))
 _PHONE = "|".join((
     r"(?<![\w+.-])\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![\w-])",
     r"(?<![\w+.-])(?:\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\w-])",
     r"(?<![\w+.-])\+[2-9][0-9]{0,2}(?:[ ./-]?\(?[0-9]{1,6}\)?){1,6}(?<=[0-9])(?![\w-])",
+    r"(?<![\w+.,/-])(?<!\d )00[1-9][0-9]{0,2}[ /-]\(?[0-9]{1,6}\)?(?:[ /-]?\(?[0-9]{1,6}\)?){0,6}(?<=[0-9])(?![\w-]|[.,/][0-9])",
     r"(?<![\w+.,/-])(?<!\d )0[1-9](?:[ .-][0-9]{2}){4}(?![\w-]|[.,/][0-9])",
     r"(?<![\w+.,/-])(?<!\d )0[1-9][0-9]{1,4}[ ]?[/ -][ ]?[0-9]{2,4}(?:[ -]?[0-9]{2,4}){1,3}(?![\w-]|[.,/][0-9])",
     r"\b(?i:tel|telefon|tel[ée]fono|t[ée]l[ée]phone|phone|fax|mobile|mobil|handy|m[óo]vil)[.:]{0,2} ?[0-9](?:[ ./()-]{0,2}[0-9]){6,14}(?![\w-])",
 ))
-_DATE = r"(?<![\d/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\d/]|[.-]\d)"
+_DATE = rf"(?<![\w/.-])(?:[0-9]{{1,2}}(?:\.? | de )(?i:{_MONTH})(?: de | )[0-9]{{4}}|(?i:{_MONTH}) [0-9]{{1,2}},? [0-9]{{4}})(?![\w])|" + r"(?<![\d/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}\.[0-9]{2}\.[0-9]{2}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\d/]|[.-]\d)"
 _IP = r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.\d)|(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)"
-_IBAN = r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)\b"
+_IBAN = r"\b[A-Za-z]{2}[0-9]{2}(?:[A-Za-z0-9]{11,30}|(?:[ -][A-Za-z0-9]{4}){2,7}(?:[ -][A-Za-z0-9]{1,4})?)\b"
 #: In order of precedence; each match then has to pass its own check.
 FORMATS: dict[str, tuple[str, Callable[[Feistel, str, bool], str | None]]] = {
-    "email": (r"(?<![\w.+-])\w[\w.+%-]{0,63}@(?:[\w-]+\.)+[^\W\d_]{2,}", _email),
+    "email": (r"(?<![\w.+-])\w[\w.+%-]*@(?:[\w-]+\.)+[^\W\d_]{2,}", _email),
     "secret": (_SECRET, _secret),
     "iban": (_IBAN, _iban),
     "date": (_DATE, _date),
-    "ssn": (r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", _ssn),
+    "ssn": (
+        r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])|(?<![\w-])(?<!\d )[0-9]{3} [0-9]{2} [0-9]{4}(?![\w-]| \d)|"
+        r"\b(?i:ssn|social security(?: number| no\.?)?)[:#.]{0,2} ?[0-9]{9}(?![\w-])", _ssn,
+    ),
     "ip": (_IP, _ip),
     "phone": (_PHONE, _phone),
-    "card": (r"(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])", _card),
+    "card": (r"(?<![\w.+-])(?:[1-9](?:[ -]?[0-9]){12,18}|[1-9][0-9]{3}(?:\.[0-9]{4}){3})(?![\w-]|\.\d)", _card),
 }
 PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, (p, _) in FORMATS.items()))
 EACH = {k: re.compile(p) for k, (p, _) in FORMATS.items()}
 #: A text without any of these holds nothing to find; plain searches are much cheaper than patterns.
 MARKS = ("::", "-----BEGIN", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "sk-", "xox", "AIza", "eyJ")
-WORDS = ("password", "passwd", "pwd", "token", "secret", "key", "bearer")
+WORDS = ("password", "passwd", "passphrase", "pwd", "authorization", "token", "secret", "key", "bearer")
 _SIGN = re.compile("[0-9@]")
 
 
