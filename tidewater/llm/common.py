@@ -33,6 +33,12 @@ def per_worker(build: Callable) -> Callable:
     return get
 
 
+def dropped_in_turn(cached: Callable) -> Callable:
+    """Count a cache among those that another operator's turn drops."""
+    _CACHES.append(cached)
+    return cached
+
+
 def release(keep: Callable | None = None) -> None:
     """Drop what other operators keep in this worker, which outlives its stage."""
     full = [c for c in _CACHES if c is not keep and c.cache_info().currsize]

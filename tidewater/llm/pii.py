@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import appended, fresh, quoted, texts_of
+from tidewater.llm.common import appended, fresh, per_worker, quoted, texts_of
 
 ROUNDS = 10
 KINDS = ("email", "secret", "iban", "date", "ssn", "ip", "phone", "card")
@@ -412,7 +412,7 @@ class Pseudonymiser:
         return None
 
 
-@lru_cache(maxsize=4)
+@per_worker
 def pseudonymiser(key: bytes) -> Pseudonymiser:
     """The pseudonymiser of a worker, for all its tasks."""
     return Pseudonymiser(key)

@@ -26,6 +26,8 @@ from tidewater.llm.pieces import SPACE, Vocabulary, WordCache
 
 #: Ids are kept as unsigned 32-bit integers.
 WIDTH = "I"
+#: Words kept at most, and pairs of neighbours.
+WORDS, FOLLOWS = 500_000, 500_000
 
 
 class Transducer:
@@ -40,7 +42,7 @@ class Transducer:
                 node = node.setdefault(c, {})
             node[""] = i
         self.rank = {s: -v.scores[i] for s, i in v.ids.items()}
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}  # by both pieces in one number
         self.unknown_weight = 10 - min(v.scores[i] for i in v.ids.values())
         self.surface = [
             "" if i in v.control else s.replace(SPACE, " ") for i, s in enumerate(v.strings)
@@ -63,13 +65,13 @@ class Transducer:
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether ``right`` may stand behind ``left`` (-1: a word's start, -2: an unknown character)."""
-        got = self.follows.get((left, right))
+        got = self.follows.get((left + 2 << 32) + right)
         if got is None:
-            if len(self.follows) > 1_000_000:
+            if len(self.follows) > FOLLOWS:
                 self.follows.clear()
             a, b = self.v.strings[left] if left >= 0 else "", self.v.strings[right]
             got = self.merged(a + b) == ([a, b] if a else [b])
-            self.follows[left, right] = got
+            self.follows[(left + 2 << 32) + right] = got
         return got
 
     def fallback(self, char: str) -> list[int]:
@@ -85,6 +87,7 @@ class Transducer:
             if here == math.inf:
                 continue
             last = back[i][1]
+            before = last + 2 << 32
             node, j, single = trie, i, False
             while j < n:
                 node = node.get(word[j])
@@ -97,7 +100,7 @@ class Transducer:
                 single |= j == i + 1
                 if bpe:
                     if cost[j] == math.inf:
-                        ok = follows.get((last, piece))
+                        ok = follows.get(before + piece)
                         if ok is None:
                             ok = self.may_follow(last, piece)
                         if ok:
@@ -135,7 +138,7 @@ class Transducer:
 def compiled(model: bytes) -> tuple[Transducer, WordCache]:
     """The transducer and its cache of words; a worker compiles it once."""
     t = Transducer(model)
-    return t, WordCache(t.v, t.all, limit=500_000)
+    return t, WordCache(t.v, t.all, limit=WORDS)
 
 
 def encode_decode(documents: DataFrame, model_path: str, keep_ids: bool = True, keep_text: bool = False) -> DataFrame:

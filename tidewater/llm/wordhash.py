@@ -11,13 +11,14 @@ from hashlib import blake2b
 
 import numpy as np
 
-from tidewater.llm.common import mix64
+from tidewater.llm.common import dropped_in_turn, mix64
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 2**64)
 LANES = np.array([pow(BASE, 3 + 2 * i, 2**64) for i in range(64)], np.uint64)
 
 
+@dropped_in_turn
 @lru_cache(maxsize=2)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     ones = np.ones(size, np.uint64)
