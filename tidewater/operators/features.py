@@ -66,18 +66,25 @@ def window_stats(df: DataFrame, key: list[str], order: list[str], value: str, ho
     )
 
 
-def episode_offsets(df: DataFrame, episode: str) -> DataFrame:
+def episode_offsets(df: DataFrame, episode: str, parts: int = 256) -> DataFrame:
     """Where each episode's rows start and end in the concatenation by episode: rows, start, end.
 
-    The running sum is over one row for each episode, not over samples.
+    Episodes are cut into ``parts`` ranges of about as many episodes each, however
+    sparse their ids are; the ranges' bounds and totals are at most ``parts`` numbers.
+    A running sum runs within each range.
     """
     per = df.groupBy(episode).agg(F.count("*").alias("rows"))
-    buckets = per.withColumn("_b", F.floor(F.col(episode) / 4096).cast("long"))
-    totals = buckets.groupBy("_b").agg(F.sum("rows").alias("_t"))
-    base = totals.withColumn("_base", F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
+    points = F.percentile_approx(episode, F.array(*[F.lit(i / parts) for i in range(1, parts)]), 100 * parts)
+    # Asked for once, so that both uses below cut alike.
+    bounds = sorted(set(per.agg(points.alias("p")).first().p or []))
+    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(episode))) if bounds else F.lit(0)
+    d = per.withColumn("_b", place)
+    totals = d.groupBy("_b").agg(F.sum("rows").alias("_t")).agg(F.collect_list(F.struct("_b", "_t")).alias("_all"))
+    lower = lambda r: F.aggregate(F.filter("_all", lambda x: x["_b"] < r["_b"]), F.lit(0).cast("long"), lambda s, x: s + x["_t"])
+    base = totals.select(F.explode(F.transform("_all", lambda r: F.struct(r["_b"].alias("_b"), lower(r).alias("_base")))).alias("_r")).select("_r.*")
     inside = F.sum("rows").over(Window.partitionBy("_b").orderBy(episode))
-    out = buckets.withColumn("_in", inside).join(base.select("_b", "_base"), "_b")
-    end = F.col("_in") + F.coalesce(F.col("_base"), F.lit(0))
+    end = F.col("_in") + F.col("_base")
+    out = d.withColumn("_in", inside).join(F.broadcast(base), "_b")
     return out.select(episode, "rows", (end - F.col("rows")).alias("start"), end.alias("end"))
 
 

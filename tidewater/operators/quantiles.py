@@ -48,6 +48,16 @@ def quantiles(df: DataFrame, key: list[str], v: str, points: dict[str, float]) -
     return out.select(*key, *[line(n, q) for n, q in points.items()])
 
 
+def distribution(df: DataFrame, key: list[str], v: str) -> DataFrame:
+    """As :func:`tidewater.operators.aggregates.distribution`, for few, huge groups (``key`` may be empty)."""
+    out = df.groupBy(*key).agg(
+        F.count("*").alias("total"), F.count(v).alias("known"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max")
+    )
+    parts = quantiles(df, key, v, {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    # Without a key both sides are one row.
+    return out.join(parts, key, "left") if key else out.crossJoin(F.broadcast(parts))
+
+
 def median_mad(df: DataFrame, key: list[str], v: str) -> DataFrame:
     """Median and median absolute deviation."""
     middle = quantiles(df, key, v, {"median": 0.5})

@@ -60,6 +60,15 @@ def stream_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.fingerprint(table(spark, sf_dir, "lineitem"), ["l_orderkey"], fields)
 
 
+@query("""WITH x AS (SELECT l_orderkey AS k, l_suppkey % 3 AS a, CASE WHEN l_returnflag <> 'A' THEN l_linenumber END AS b FROM lineitem),
+g AS (SELECT k, count(*) AS samples, list_sort(list(coalesce(a::VARCHAR, '-') || ',' || coalesce(b::VARCHAR, '-'))) AS rows FROM x GROUP BY k),
+m AS (SELECT rows, min(k) AS twin FROM g GROUP BY rows) SELECT k, samples, twin FROM g JOIN m USING (rows) WHERE k <> twin""")
+def stream_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose lines repeat an earlier order's, as far as two fields tell."""
+    li = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "k")
+    return audits.twins(li, "k", [F.col("l_suppkey") % 3, F.when(F.col("l_returnflag") != "A", F.col("l_linenumber"))])
+
+
 @query("""WITH f AS (SELECT sha256(text) AS h, doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS r FROM documents)
 SELECT h, count(*) AS members, list_sort(list(doc_id) FILTER (r <= 10)) AS examples FROM f GROUP BY h HAVING count(*) > 1""")
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

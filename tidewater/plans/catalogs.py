@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions.identity import identity
-from tidewater.operators import aggregates, catalogs, cohorts
+from tidewater.operators import aggregates, catalogs, cohorts, quantiles
 from tidewater.plans.cohorts import STAGES_SQL, TRIALS_SQL, staged, trials
 from tidewater.plans.registry import query, table
 
@@ -62,7 +62,7 @@ def numeric_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.col("l_extendedprice").alias("price"), F.struct(F.col("l_quantity").alias("quantity"), "l_returnflag").alias("lines")).alias("size"),
         F.when(F.col("l_linenumber") > 1, F.col("l_discount")).alias("discount"),
     )
-    d = aggregates.distribution(catalogs.numeric_leaves(li, []), ["path"], "value").drop("mean")
+    d = quantiles.distribution(catalogs.numeric_leaves(li, []), ["path"], "value").drop("mean")
     return d.select("path", "total", "known", *[F.round(c, 4).alias(c) for c in ("min", "max", "p25", "median", "p75")])
 
 
@@ -141,12 +141,12 @@ def horizon_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogs.checked_setting(trials(spark, sf_dir).withColumn("horizon", h), ["cust"], "horizon", F.col("horizon") > 0)
 
 
-@query(TRIALS_SQL + """, a AS (SELECT task, model, avg(price) AS mean, count(success) AS known, count(*) FILTER (status = 'valid' AND cust % 9 = 0) AS eligible FROM tr WHERE cust % 40 < 3 GROUP BY task, model)
+@query(TRIALS_SQL + """, a AS (SELECT task, model, avg(price) AS mean, count(success) AS known, count(*) FILTER (status = 'valid' AND cust % 9 = 0) AS eligible FROM tr GROUP BY task, model)
 SELECT model, round(sum(mean * known) / sum(known), 4) AS value, CAST(sum(known) AS BIGINT) AS known FROM a WHERE known > 0 AND eligible > 0 GROUP BY model""")
 def eligible_archive_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archived means pooled over the groups that hold a trial whose stages may be judged."""
     ok = F.count_if((F.col("status") == "valid") & (F.col("cust") % 9 == 0))
-    per = trials(spark, sf_dir).where(F.col("cust") % 40 < 3).groupBy("task", "model").agg(F.avg("price").alias("mean"), F.count("success").alias("known"), ok.alias("eligible"))
+    per = trials(spark, sf_dir).groupBy("task", "model").agg(F.avg("price").alias("mean"), F.count("success").alias("known"), ok.alias("eligible"))
     return cohorts.pooled_means(per.where(F.col("eligible") > 0), ["model"], "mean", "known").withColumn("value", F.round("value", 4))
 
 

@@ -61,7 +61,7 @@ SELECT count(*) AS total, count(m) AS known, round(avg(m), 8) AS mean, round(min
 round(quantile_cont(m, 0.25), 8) AS p25, round(quantile_cont(m, 0.5), 8) AS median, round(quantile_cont(m, 0.75), 8) AS p75 FROM e""")
 def episode_first_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = samples(spark, sf_dir).groupBy("k").agg(F.avg("v").alias("m"))
-    return rounded(aggregates.distribution(each, [], "m"), "mean", "min", "max", "p25", "median", "p75", digits=8)
+    return rounded(quantiles.distribution(each, [], "m"), "mean", "min", "max", "p25", "median", "p75", digits=8)
 
 
 @query("""WITH {samples}, m AS (SELECT ch, quantile_cont(v, 0.5) AS median FROM s GROUP BY ch)
