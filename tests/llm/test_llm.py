@@ -165,6 +165,25 @@ def test_bounds_spare_products_on_clustered_vectors():
     assert shares["clustered"] < 0.25 and shares["clustered"] < shares["spread"], shares
 
 
+def test_top_k_sends_a_block_only_where_it_is_due(spark):
+    index = spark.createDataFrame([(p, a, 0, i) for i, (p, a) in enumerate([(0, 0), (0, 1), (1, 0)] * 5)], "pivot int, annulus int, part int, uid long")
+    due = spark.createDataFrame([(0, 1, 0, 7), (0, 1, 0, 7), (1, 0, 0, 7), (1, 0, 0, 9)], "pivot int, annulus int, part int, chunk int")
+    got = Counter((r.pivot, r.annulus, r.chunk) for r in topk.sent_blocks(index, due).collect())
+    assert got == {(0, 1, 7): 5, (1, 0, 7): 5, (1, 0, 9): 5}
+
+
+def test_top_k_pivots_follow_what_they_save():
+    rng = np.random.default_rng(5)
+    flat = rng.normal(size=(2000, 64)) * 100
+    centres = rng.normal(size=(40, 8)) * 4000
+    near = centres[rng.integers(0, 40, 2000)] + rng.normal(size=(2000, 8)) * 20
+    for x, saves in ((flat, False), (near, True)):
+        m = (x**2).sum(1).max()
+        lifted = np.c_[x, np.sqrt(np.maximum(0, m - (x**2).sum(1)))]
+        share = topk.share_left(lifted, topk.choose_pivots(lifted, 64), m, 5)
+        assert (share <= topk.NEAR_ALL) == saves, share
+
+
 def brute_components(rows, percent=75, size=5):
     sets = []
     for i, t in rows:

@@ -26,6 +26,9 @@ from tidewater.llm.common import discard, stash
 #: Rows from which pivots are chosen, pivots at most, annuli of a pivot, rows of a block and of a step in it, queries of a task.
 SAMPLE, PIVOTS, ANNULI, BLOCK, STEP, QUERIES = 2048, 256, 4, 8192, 256, 8192
 SLACK = 1e-6
+#: Pivots where the sample says that bounds save next to nothing: its queries' share of products beyond which few are taken.
+FEW, NEAR_ALL = 8, 0.9
+BLOCK_KEY = ["pivot", "annulus", "part"]
 
 
 def quantised(vector: Column, scale: float = 256.0) -> Column:
@@ -55,6 +58,24 @@ def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
     return sample[chosen]
 
 
+def share_left(sample: np.ndarray, pivots: np.ndarray, m: float, k: int, asked: int = 64) -> float:
+    """The share of products that steps of the sample, in the order of an index, leave to some of its own queries.
+
+    Thresholds are those that the queries reach within the sample. Only the speed of a search
+    depends on this number.
+    """
+    far = distances(sample, pivots)
+    order = np.lexsort((far.min(1), far.argmin(1)))
+    far, rows = far[order], sample[order]
+    starts = np.arange(0, len(rows), max(1, len(rows) // 64))
+    queries = np.c_[rows[:: max(1, len(rows) // asked), :-1], np.zeros(len(rows[:: max(1, len(rows) // asked)]))]
+    scores = queries @ rows.T
+    need = np.partition(scores, -min(k + 1, len(rows)), 1)[:, -min(k + 1, len(rows))]
+    limit = np.sqrt(np.maximum(0, (queries**2).sum(1) + m - 2 * need))
+    gap = bounds(distances(queries, pivots), np.minimum.reduceat(far, starts), np.maximum.reduceat(far, starts))
+    return float((gap <= limit[:, None] * (1 + SLACK) + SLACK).mean())
+
+
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Distances of lifted vectors from all pivots."""
     return np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (pivots**2).sum(1) - 2 * x @ pivots.T))
@@ -108,6 +129,12 @@ def _search(q: pd.DataFrame, x: pd.DataFrame, most: int, m: float, pivots: np.nd
     return rows, taken
 
 
+def sent_blocks(index: DataFrame, due: DataFrame) -> DataFrame:
+    """The index rows of the blocks that are due (pivot, annulus, part, chunk), once for each such chunk of queries."""
+    chunks = due.groupBy(*BLOCK_KEY).agg(F.collect_set("chunk").alias("_chunks"))
+    return index.join(chunks, BLOCK_KEY).withColumn("chunk", F.explode("_chunks")).drop("_chunks")
+
+
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The k highest integer inner products of each query: query_id, rank, vec_id, score.
 
@@ -124,8 +151,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     Equal vectors are one vector with its k + 1 smallest ids, so a third of all
     rows being equal costs no more than one. Pivots come from at most SAMPLE rows;
     everything is indexed, and blocks and query chunks follow counts, so no task
-    holds a cell or its queries whole. The driver sees pivots and one row for each
-    (pivot, annulus). How much the bounds save depends on the data (see the README).
+    holds a cell or its queries whole. A block is sent to those chunks of queries that
+    reach it. The driver sees pivots and one row for each (pivot, annulus). How much the bounds save depends on the data (see the README).
     """
     spark = vectors.sparkSession
     base = (
@@ -153,6 +180,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     lift = lambda v, norm: np.c_[v.astype(float), np.sqrt(np.maximum(0, m - norm))]
     sample = lift(np.array([r.v for r in rows], np.int64).reshape(len(rows), dim), np.array([r.norm for r in rows]))
     pivots = choose_pivots(sample, max(1, min(PIVOTS, int(n**0.5 / 8))))
+    if len(pivots) > FEW and share_left(sample, pivots, m, k) > NEAR_ALL:
+        pivots = pivots[:FEW]
     width = max(1e-9, max(np.sqrt(((sample[:, None] - pivots[None]) ** 2).sum(2)).min(1).max() / ANNULI, 1e-9)) if dim else 1.0
 
     def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,39 +223,70 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     # Of a block's best, this many leave k behind when the asking id's own vectors go.
     most = k + (asked.groupBy("id").count().agg(F.max("count")).first()[0] or 0)
     chunks = max(1, -(-queries.count() // QUERIES))
-    index = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))) if chunks > 1 else index.withColumn("chunk", F.lit(0))
+
+    def reached(f: pd.DataFrame, home: bool) -> Iterator[tuple[int, int, np.ndarray]]:
+        """The blocks (cell, part) that some query of a batch has to see, with those queries."""
+        x = _matrix(f["v"])
+        # A query's own added component is 0; home is the cell nearest to it.
+        table = bounds(distances(np.c_[x.astype(float), np.zeros(len(x))], pivots), lows, highs)
+        limit = np.sqrt(np.maximum(0, (x.astype(float) ** 2).sum(1) + m - 2 * f["need"].to_numpy(float)))
+        near = table.argmin(1)
+        within = table <= (limit * (1 + SLACK) + SLACK)[:, None]
+        for j in np.unique(near) if home else np.flatnonzero(within.any(0)):
+            for part in range(1 if home else pieces[j]):
+                first = (near == j) & (part == 0)
+                sel = np.flatnonzero(first if home else ~first & within[:, j])
+                if sel.size:
+                    yield int(j), part, sel
+
+    def homes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            x = _matrix(f["v"]).astype(float) if len(f) else np.zeros((0, dim))
+            f["home"] = bounds(distances(np.c_[x, np.zeros(len(x))], pivots), lows, highs).argmin(1).astype(np.int32) if len(f) else np.zeros(0, np.int32)
+            yield f[["qid", "v", "home"]]
 
     def visit(frames: Iterator[pd.DataFrame], home: bool) -> Iterator[pd.DataFrame]:
         for f in frames:
-            if not len(f):
-                continue
-            x = _matrix(f["v"])
-            # A query's own added component is 0; home is the cell nearest to it.
-            table = bounds(distances(np.c_[x.astype(float), np.zeros(len(x))], pivots), lows, highs)
-            limit = np.sqrt(np.maximum(0, (x.astype(float) ** 2).sum(1) + m - 2 * f["need"].to_numpy(float)))
-            near = table.argmin(1)
-            for j, c in enumerate(names):
-                for part in range(pieces[j]):
-                    first = (near == j) & (part == 0)
-                    sel = np.flatnonzero(first if home else ~first & (table[:, j] <= limit * (1 + SLACK) + SLACK))
-                    if sel.size:
-                        g = f.iloc[sel][["qid", "v", "need", "chunk"]].copy()
-                        g["pivot"], g["annulus"], g["part"] = c[0], c[1], part
-                        yield g
-
-    def searched(plan: DataFrame) -> DataFrame:
-        key = ["pivot", "annulus", "part", "chunk"]
+            for j, part, sel in reached(f, home) if len(f) else ():
+                g = f.iloc[sel][["qid", "v", "need", "chunk"]].copy()
+                g["pivot"], g["annulus"], g["part"] = *names[j], part
+                yield g
+
+    def wanted(frames: Iterator[pd.DataFrame], home: bool) -> Iterator[pd.DataFrame]:
+        """Which chunks of queries reach which blocks, without the queries."""
+        for f in frames:
+            chunk = f["chunk"].to_numpy()
+            rows = [(*names[j], part, int(c)) for j, part, sel in (reached(f, home) if len(f) else ()) for c in np.unique(chunk[sel])]
+            yield pd.DataFrame(rows, columns=["pivot", "annulus", "part", "chunk"])
+
+    def searched(asking: DataFrame, home: bool) -> DataFrame:
+        key = [*BLOCK_KEY, "chunk"]
+        # A block goes to the chunks that reach it and nowhere else.
+        due = asking.mapInPandas(lambda fs: wanted(fs, home), "pivot int, annulus int, part int, chunk int")
+        sent = sent_blocks(index, due)
+        plan = asking.mapInPandas(lambda fs: visit(fs, home), visits)
 
         def run(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
             out = _search(q, x, most, m, pivots)[0] if len(q) and len(x) else []
             return pd.DataFrame(out, columns=["qid", "score", "ids"])
 
-        return plan.groupBy(*key).cogroup(index.groupBy(*key)).applyInPandas(run, "qid long, score long, ids array<long>")
+        return plan.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(run, "qid long, score long, ids array<long>")
 
     visits = "qid long, v array<long>, need double, chunk int, pivot int, annulus int, part int"
-    queries = queries.withColumn("chunk", F.pmod(F.xxhash64("qid"), F.lit(chunks)).cast("int"))
+    if chunks > 1:
+        # Queries of one home cell share chunks, so that a chunk reaches few blocks.
+        queries, _ = stash(queries.mapInPandas(homes, "qid long, v array<long>, home int"), "topk-chunks")
+        number, base = {r.home: -(-r["count"] // QUERIES) for r in queries.groupBy("home").count().collect()}, 0
+        table = []
+        for home, parts in sorted(number.items()):
+            table.append((home, base, parts))
+            base += parts
+        told = spark.createDataFrame(table, "home int, base int, parts int")
+        queries = queries.join(F.broadcast(told), "home").withColumn("chunk", F.expr("cast(base + pmod(xxhash64(qid), parts) as int)")).select("qid", "v", "chunk")
+    else:
+        queries = queries.withColumn("chunk", F.lit(0))
     start = queries.withColumn("need", F.lit(float("-inf"))).repartition(spark.sparkContext.defaultParallelism, "qid")
-    first, path_1 = stash(searched(start.mapInPandas(lambda fs: visit(fs, True), visits)), "topk-home")
+    first, path_1 = stash(searched(start, True), "topk-home")
 
     def best(found: DataFrame) -> DataFrame:
         each = found.select("qid", "score", F.explode("ids").alias("vec_id"))
@@ -235,8 +295,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
 
     floor = best(first).where(F.col("r") == most).select("qid", F.col("score").cast("double").alias("known"))
     later = queries.join(floor, "qid", "left").select("qid", "v", "chunk", F.coalesce("known", F.lit(float("-inf"))).alias("need"))
-    second = searched(later.mapInPandas(lambda fs: visit(fs, False), visits))
-    second, path_2 = stash(second, "topk-rest")
+    second, path_2 = stash(searched(later, False), "topk-rest")
     found, path_f = stash(best(first.unionByName(second)).select("qid", "score", "vec_id"), "topk-found")
 
     own = asked.join(queries.select("v", "qid"), "v").select(F.col("id").alias("query_id"), "qid")
@@ -248,5 +307,5 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
         .where(F.col("rank") <= k)
         .select(F.col("query_id").cast("long"), F.col("rank").cast("int"), F.col("vec_id").cast("long"), "score")
     )
-    discard(spark, path_u, path_i, path_1, path_2)
+    discard(spark, path_u, path_i, path_1, path_2, *([path_q] if chunks > 1 else []))
     return out
