@@ -120,13 +120,6 @@ def clip_counts(df: DataFrame, key: list[str], array: str, low: float, high: flo
     return x.groupBy(*key, "pos").agg(F.count("*").alias("n"), F.count_if(over > 0).alias("clipped"), F.max(F.greatest(over, F.lit(0.0))).alias("excess"))
 
 
-def flag_agreement(df: DataFrame, key: list[str], truth: str, found: str) -> DataFrame:
-    """Precision, recall and F1 of one flag against another, each 0 where there is nothing to divide by."""
-    both, p, n = F.count_if(F.col(truth) & F.col(found)), F.count_if(found), F.count_if(truth)
-    share = lambda a, b: F.coalesce(ratio(a.cast("double"), b), F.lit(0.0))
-    return df.groupBy(*key).agg(share(both, p).alias("precision"), share(both, n).alias("recall"), share(2 * both, p + n).alias("f1"))
-
-
 def tail_summary(df: DataFrame, key: list[str], order: list[str], t: str, v: str, tail: int) -> DataFrame:
     """The last ``tail`` of each record: time, mean by time and largest absolute value.
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import product
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.identity import seeded_hash
@@ -54,20 +52,26 @@ def qualified(df: DataFrame, group: list[str], success: str, metric: str, seeds:
     return d.withColumn("qualified", F.coalesce(ok, F.lit(False)))
 
 
-def cases(spark: SparkSession, ranges: dict[str, float], uniform: int, seed: int) -> DataFrame:
-    """Randomised cases: the nominal one, every corner of the ranges (plus and minus), and ``uniform`` drawn by hash: case, kind, one column for each range, case_seed.
+def cases(df: DataFrame, key: str, ranges: dict[str, Column], uniform: int, seed: int) -> DataFrame:
+    """Randomised cases of every task: the nominal one, every corner of its ranges (plus and minus), and ``uniform`` drawn by hash.
 
-    Draws are hashes of seed, case and name, so any executor makes the same ones.
+    A row of ``df`` is a task with its own ranges. Gives key, case, kind, one column for each
+    range, and case_seed. Draws are hashes of seed, task, case and name, so any executor makes
+    the same ones.
     """
-    corners = [(kind, *signs) for kind, signs in [("nominal", (0.0,) * len(ranges)), *(("corner", s) for s in product((-1.0, 1.0), repeat=len(ranges)))]]
-    names = list(ranges)
-    fixed = spark.createDataFrame([(i, *c) for i, c in enumerate(corners)], "case long, kind string, " + ", ".join(f"{n} double" for n in names))
-    fixed = fixed.withColumns({n: F.col(n) * ranges[n] for n in names})
-    share = lambda n: F.conv(F.substring(seeded_hash(seed, F.concat_ws(":", F.col("case"), F.lit(n))), 1, 8), 16, 10).cast("double") / 2**32
-    drawn = spark.range(len(corners), len(corners) + uniform).select(F.col("id").alias("case"), F.lit("uniform").alias("kind"))
-    drawn = drawn.select("case", "kind", *[((2 * share(n) - 1) * ranges[n]).alias(n) for n in names])
-    case_seed = F.conv(F.substring(seeded_hash(seed, F.col("case")), 1, 8), 16, 10).cast("long")
-    return fixed.unionByName(drawn).withColumn("case_seed", case_seed)
+    corners, names = 2 ** len(ranges), list(ranges)
+    of = df.select(key, *[c.alias(f"_{n}") for n, c in ranges.items()])
+    d = of.withColumn("case", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(corners + uniform).cast("long"))))
+    hashed = lambda *parts: F.conv(F.substring(seeded_hash(seed, F.concat_ws(":", F.col(key), F.col("case"), *parts)), 1, 8), 16, 10).cast("long")
+    kind = F.when(F.col("case") == 0, "nominal").when(F.col("case") <= corners, "corner").otherwise("uniform")
+
+    def at(j: int, name: str) -> Column:
+        # Corners count up in binary, the first range slowest.
+        bit = F.shiftright(F.col("case") - 1, len(names) - 1 - j).bitwiseAND(1)
+        sign = F.when(F.col("kind") == "corner", 2.0 * bit - 1.0).when(F.col("kind") == "uniform", 2 * (hashed(F.lit(name)).cast("double") / 2**32) - 1).otherwise(0.0)
+        return (sign * F.col(f"_{name}")).alias(name)
+
+    return d.withColumn("kind", kind).select(key, "case", "kind", *[at(j, n) for j, n in enumerate(names)], hashed().alias("case_seed"))
 
 
 def stage_start(df: DataFrame, key: list[str], order: list[str], t: str, condition: Column, gap: str, stable: int) -> DataFrame:

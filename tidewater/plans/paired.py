@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.operators import aggregates, clock, paired, quantiles, segments
+from tidewater.operators import clock, evidence, paired, quantiles, segments
 from tidewater.plans.registry import query, samples, table
 from tidewater.plans.time import HELD_SQL, HOUR
 
@@ -142,4 +142,4 @@ def contact_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well one stream's contact (views) finds the other's (clicks), by day."""
     on = lambda ch: F.bool_or((F.col("ch") == ch) & F.coalesce(F.col("v") > 100, F.lit(False)))
     h = samples(spark, sf_dir).groupBy("k", F.floor(F.col("t") / (24 * HOUR)).alias("h")).agg(on("click").alias("a"), on("view").alias("b"))
-    return rounded(aggregates.flag_agreement(h, K, "a", "b"), 6, "precision", "recall", "f1")
+    return rounded(evidence.detection_scores(h, K, "a", "b").drop("hits", "false_alarms", "misses"), 6, "precision", "recall", "f1")

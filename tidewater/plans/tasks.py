@@ -43,13 +43,15 @@ def seed_qualification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("rate", F.round("rate", 6))
 
 
-@query("""WITH s AS (SELECT unnest([-1.0, 1.0]) AS s), c AS (SELECT 0 AS c, 'nominal' AS kind, 0.0 AS x, 0.0 AS y, 0.0 AS z UNION ALL
-  SELECT row_number() OVER (ORDER BY a.s, b.s, d.s), 'corner', a.s * 0.02, b.s * 0.01, d.s * 0.3 FROM s a, s b, s d),
-u AS (SELECT i AS c, 'uniform' AS kind, (2 * (('0x' || substr(sha256('11:' || i || ':x'), 1, 8))::BIGINT / 4294967296.0::DOUBLE) - 1) * 0.02 AS x,
-  (2 * (('0x' || substr(sha256('11:' || i || ':y'), 1, 8))::BIGINT / 4294967296.0::DOUBLE) - 1) * 0.01 AS y, (2 * (('0x' || substr(sha256('11:' || i || ':z'), 1, 8))::BIGINT / 4294967296.0::DOUBLE) - 1) * 0.3 AS z FROM range(9, 109) r(i))
-SELECT CAST(c AS BIGINT) AS "case", kind, round(x, 9) AS x, round(y, 9) AS y, round(z, 9) AS z, ('0x' || substr(sha256('11:' || c), 1, 8))::BIGINT AS case_seed FROM (SELECT * FROM c UNION ALL SELECT * FROM u)""")
+@query("""WITH d AS (SELECT s_suppkey AS k, 0.01 * (1 + s_nationkey % 3) AS rx, 0.01::DOUBLE AS ry, 0.3::DOUBLE AS rz, unnest(range(0, 29)) AS c FROM supplier),
+u AS (SELECT *, CASE WHEN c = 0 THEN 'nominal' WHEN c <= 8 THEN 'corner' ELSE 'uniform' END AS kind, [CASE WHEN (c - 1) // 4 % 2 = 1 THEN 1 ELSE -1 END, CASE WHEN (c - 1) // 2 % 2 = 1 THEN 1 ELSE -1 END, CASE WHEN (c - 1) % 2 = 1 THEN 1 ELSE -1 END] AS corner,
+  list_transform(['x', 'y', 'z'], lambda n: 2 * (('0x' || substr(sha256('11:' || k || ':' || c || ':' || n), 1, 8))::BIGINT / 4294967296.0::DOUBLE) - 1) AS drawn FROM d),
+f AS (SELECT *, CASE kind WHEN 'nominal' THEN [0.0, 0, 0]::DOUBLE[] WHEN 'corner' THEN corner::DOUBLE[] ELSE drawn END AS s FROM u)
+SELECT k AS s_suppkey, CAST(c AS BIGINT) AS "case", kind, round(s[1] * rx, 9) AS x, round(s[2] * ry, 9) AS y, round(s[3] * rz, 9) AS z, ('0x' || substr(sha256('11:' || k || ':' || c), 1, 8))::BIGINT AS case_seed FROM f""")
 def randomised_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = tasks.cases(spark, {"x": 0.02, "y": 0.01, "z": 0.3}, 100, 11)
+    """29 cases of every supplier, whose nation sets one of the ranges."""
+    ranges = {"x": 0.01 * (1 + F.col("s_nationkey") % 3), "y": F.lit(0.01), "z": F.lit(0.3)}
+    d = tasks.cases(table(spark, sf_dir, "supplier"), "s_suppkey", ranges, 20, 11)
     return d.withColumns({c: F.round(c, 9) for c in ("x", "y", "z")})
 
 
