@@ -102,3 +102,40 @@ def checked_setting(df: DataFrame, key: list[str], value: str, valid: Column) ->
 def merged_clips(parts: DataFrame, key: list[str]) -> DataFrame:
     """Clip summaries of several runs as one: counts add up, the excess is the largest."""
     return parts.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("clipped").alias("clipped"), F.max("excess").alias("excess"))
+
+
+def unified(sources: dict[str, DataFrame], key: list[str]) -> DataFrame:
+    """One catalog of many sources that need not have the same columns: key, fields, source, sources and conflicts.
+
+    A member's fields are those of its first source in the order given, whole; a
+    repeated key within a source keeps its least row. ``sources`` names all that hold it and
+    ``conflicts`` the fields of which two sources know different values. One shuffle by key.
+    """
+    parts = [d.withColumn("_n", F.lit(i)).withColumn("_s", F.lit(n)) for i, (n, d) in enumerate(sources.items())]
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p, allowMissingColumns=True)
+    fields = [c for c in both.columns if c not in (*key, "_n", "_s")]
+    first = F.min(F.struct("_n", F.struct(*fields).alias("f") if fields else F.lit(True).alias("f"))).alias("_f")
+    spread = [F.when(F.min(c) != F.max(c), F.lit(c)) for c in fields]
+    d = both.groupBy(*key).agg(first, F.array_compact(F.array(*spread).cast("array<string>")).alias("conflicts"), F.array_sort(F.collect_set(F.struct("_n", "_s"))).alias("_a"))
+    named = F.array(*map(F.lit, sources))
+    return d.select(*key, *[F.col(f"_f.f.{c}").alias(c) for c in fields], named[F.col("_f._n")].alias("source"), F.transform("_a", lambda x: x["_s"]).alias("sources"), "conflicts")
+
+
+def stage_rows(groups: DataFrame, key: list[str], stages: str) -> DataFrame:
+    """Flat rows of groups and their stages (a map from a name to a struct), ready for CSV; a group without stages keeps one row with none."""
+    d = groups.select(*key, F.explode_outer(F.map_entries(stages)).alias("_e"))
+    return d.select(*key, F.col("_e.key").alias("stage"), "_e.value.*")
+
+
+def selection_totals(groups: DataFrame, selections: dict[str, Column], counts: list[str], rates: dict[str, tuple[str, str]]) -> DataFrame:
+    """Totals over named selections of groups in one pass: selection, groups, the sum of each count, and rates (sums divided, null over nothing).
+
+    Selections may overlap; one that nothing falls into is there with zeros.
+    """
+    names = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in selections.items()]))
+    each = groups.select(F.explode(names).alias("selection"), *counts).groupBy("selection").agg(F.count("*").alias("groups"), *[F.sum(c).alias(c) for c in counts])
+    every = groups.sparkSession.createDataFrame([(n,) for n in selections], "selection string")
+    d = F.broadcast(every).join(each, "selection", "left").na.fill(0, ["groups", *counts])
+    return d.withColumns({n: ratio(F.col(a).cast("double"), F.col(b)) for n, (a, b) in rates.items()})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.asof import bracket
 from tidewater.operators.clock import in_order
 
 
@@ -144,3 +145,38 @@ def canonical_links(df: DataFrame, name: str, value: str, key: list[str], order:
     pick = [F.coalesce(F.try_element_at("_m", F.lit(n)), F.lit(0.0 if shown else None).cast("double")) for n in order]
     unknown = F.array_sort(F.array_except(F.map_keys("_m"), F.array(*map(F.lit, order))))
     return d.select(*key, F.array(*pick).alias("values"), unknown.alias("unknown")).withColumn("ok", F.size("unknown") == 0)
+
+
+def rebuilt_actions(frames: DataFrame, states: DataFrame, commands: DataFrame, key: list[str], frame: str, t: str, measured: str, row: str, command: str) -> DataFrame:
+    """Observations and actions as a release should have them: key, frame, observed, action.
+
+    ``observed`` are the states' numbers on the line between the samples around the
+    frame's clock; an action is the next frame's such numbers with the command at the next
+    frame's ``row`` behind them. A recording's last frame has no action and goes; numbers
+    outside the states' extent and commands that are not there make their array null.
+    """
+    near = bracket(frames, states, key, t, [measured])
+    span = F.col("next.rt") - F.col("prev.rt")
+    part = F.when(span > 0, (F.col(t) - F.col("prev.rt")) / span).otherwise(0.0)
+    line = F.zip_with(F.col(f"prev.{measured}"), F.col(f"next.{measured}"), lambda a, b: a + (b - a) * part)
+    d = near.withColumn("observed", line).join(commands.select(*key, row, F.col(command).alias("_c")), [*key, row], "left")
+    w = in_order(key, frame)
+    d = d.withColumn("_more", F.lead(F.lit(True)).over(w)).withColumn("action", F.lead(F.concat("observed", "_c")).over(w))
+    return d.where("_more").select(*key, frame, "observed", "action")
+
+
+def action_errors(rebuilt: DataFrame, published: DataFrame, key: list[str], frame: str, action: str, tolerance: float) -> DataFrame:
+    """Published against rebuilt actions: key, frames, missing, extra, off (beyond ``tolerance`` or of another length), most, first_off (the smallest frame).
+
+    An action that is null on one side only is off, one that is null on both is not; a number that is unknown within an action is off.
+    """
+    a, b = (d.select(*key, frame, F.struct(F.col(action).alias("x")).alias(n)) for d, n in ((rebuilt, "_a"), (published, "_b")))
+    d = a.join(b, [*key, frame], "full")
+    gap = F.array_max(F.zip_with(F.col("_a.x"), F.col("_b.x"), lambda x, y: F.coalesce(F.abs(x - y), F.lit(float("inf")))))
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    wrong = both & F.coalesce(gap > tolerance, ~F.col("_a.x").eqNullSafe(F.col("_b.x")))
+    d = d.withColumn("_gap", F.when(both, gap)).withColumn("_off", F.coalesce(wrong, F.lit(False)))
+    return d.groupBy(*key).agg(
+        F.count("*").alias("frames"), F.count_if(F.col("_b").isNull()).alias("missing"), F.count_if(F.col("_a").isNull()).alias("extra"),
+        F.count_if("_off").alias("off"), F.max("_gap").alias("most"), F.min(F.when(F.col("_off"), F.col(frame))).alias("first_off"),
+    )

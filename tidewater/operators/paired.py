@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.numbers import ratio
-from tidewater.operators.asof import asof_backward
+from tidewater.operators.asof import asof_backward, bracket
 from tidewater.operators.clock import in_order
 from tidewater.operators.overlap import union_length
 from tidewater.operators.segments import runs
@@ -115,3 +115,19 @@ def onsets(df: DataFrame, key: list[str], order: list[str], t: str, contact: str
     )
     d = per.join(ends, key)
     return d.select(*key, "start", "end", "samples", (F.col("_s") == F.col("_a")).alias("cut_left"), (F.col("_e") == F.col("_b")).alias("cut_right"))
+
+
+def onset_frames(contacts: DataFrame, frames: DataFrame, key: list[str], t: str, frame: str) -> DataFrame:
+    """Frames around each contact's onset and release: key, start, end, before, on, last, after.
+
+    ``before`` is the last frame ahead of the start and ``on`` the first at or behind it (even
+    behind the end); ``last`` is the last frame at or ahead of the end and ``after`` the
+    first behind it. A side that the record cuts has none, for its onset was not seen. All
+    four marks of all contacts meet the frames in one union and sort by key; clocks are whole numbers.
+    """
+    mark = lambda name, at: F.struct(F.lit(name).alias("m"), at.cast("long").alias(t))
+    a, b = F.col("start"), F.col("end")
+    marks = contacts.select(*key, "start", "end", "cut_left", "cut_right", F.explode(F.array(mark("before", a - 1), mark("on", a), mark("last", b), mark("after", b + 1))).alias("_m"))
+    near = bracket(marks.select(*key, "start", "end", "cut_left", "cut_right", "_m.*"), frames, key, t, [frame])
+    pick = lambda name, side, cut: F.max(F.when((F.col("m") == name) & ~F.col(cut), F.col(f"{side}.{frame}"))).alias(name)
+    return near.groupBy(*key, "start", "end").agg(pick("before", "prev", "cut_left"), pick("on", "next", "cut_left"), pick("last", "prev", "cut_right"), pick("after", "next", "cut_right"))

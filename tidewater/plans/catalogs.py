@@ -9,6 +9,7 @@ from tidewater.functions.identity import identity
 from tidewater.operators import aggregates, catalogs, cohorts, quantiles
 from tidewater.plans.cohorts import STAGES_SQL, TRIALS_SQL, staged, trials
 from tidewater.plans.registry import query, table
+from tidewater.sources import tables
 
 ORDERED_SQL = """, li AS (SELECT l_orderkey AS id, CASE l_returnflag WHEN 'R' THEN true WHEN 'N' THEN false END AS s, l_linenumber AS line FROM lineitem),
 st AS (SELECT id, list(s ORDER BY line, s NULLS FIRST) AS stages FROM li GROUP BY id), j AS (SELECT tr.*, stages FROM tr JOIN st USING (id))"""
@@ -167,3 +168,47 @@ def merged_clip_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = [aggregates.clip_counts(e.where(F.col("run") == i), ["label"], "embedding", -0.1, 0.1) for i in range(3)]
     d = catalogs.merged_clips(runs[0].unionByName(runs[1]).unionByName(runs[2]), ["label", "pos"])
     return d.withColumn("excess", F.round("excess", 6))
+
+
+@query("""WITH a AS (SELECT o_orderkey AS id, o_orderstatus AS outcome, CAST(floor(o_totalprice) AS BIGINT) AS price FROM orders WHERE o_orderkey % 3 = 0), b AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 <> 0 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END END AS outcome, o_orderpriority AS task FROM orders WHERE o_orderkey % 2 = 0),
+c AS (SELECT o_orderkey AS id, CAST(floor(o_totalprice) AS BIGINT) + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS price, CASE WHEN o_orderkey % 13 = 0 THEN 'none' ELSE o_orderpriority END AS task FROM orders WHERE o_orderkey % 4 <> 3),
+u AS (SELECT id, 0 AS n, 'trials' AS s, outcome, price, NULL AS task FROM a UNION ALL SELECT id, 1, 'batches', outcome, NULL, task FROM b UNION ALL SELECT id, 2, 'staged', NULL, price, task FROM c),
+g AS (SELECT id, arg_min(struct_pack(outcome := outcome, price := price, task := task), n) AS f, arg_min(s, n) AS source, list(s ORDER BY n) AS sources, list_filter([CASE WHEN min(outcome) <> max(outcome) THEN 'outcome' END, CASE WHEN min(price) <> max(price) THEN 'price' END, CASE WHEN min(task) <> max(task) THEN 'task' END], lambda x: x IS NOT NULL) AS conflicts FROM u GROUP BY id)
+SELECT id, f.outcome AS outcome, f.price AS price, f.task AS task, source, sources, conflicts FROM g""")
+def unified_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders from three sources with different columns and some other values."""
+    o, i = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    price = F.floor("o_totalprice").cast("long")
+    a = o.where(i % 3 == 0).select(i.alias("id"), F.col("o_orderstatus").alias("outcome"), price.alias("price"))
+    b = o.where(i % 2 == 0).select(i.alias("id"), F.when(i % 7 != 0, F.when(i % 5 == 0, "X").otherwise(F.col("o_orderstatus"))).alias("outcome"), F.col("o_orderpriority").alias("task"))
+    c = o.where(i % 4 != 3).select(i.alias("id"), (price + F.when(i % 11 == 0, 1).otherwise(0)).alias("price"), F.when(i % 13 == 0, "none").otherwise(F.col("o_orderpriority")).alias("task"))
+    return catalogs.unified({"trials": a, "batches": b, "staged": c}, ["id"])
+
+
+@query(TRIALS_SQL + ORDERED_SQL + """, e AS (SELECT task, model, i, stages[i] AS s FROM j, range(1, 20) r(i) WHERE i <= len(stages) AND status = 'valid'),
+r AS (SELECT task, model, 'stage_' || (i - 1) AS stage, CAST(count(s) AS VARCHAR) AS known, CAST(count(*) FILTER (s) AS VARCHAR) AS reached FROM e GROUP BY task, model, i),
+t AS (SELECT DISTINCT task, model FROM tr)
+SELECT task, model, stage, known, reached FROM t LEFT JOIN r USING (task, model)""")
+def stage_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stages of each group as a map, made flat, published as CSV and read again."""
+    d = catalogs.stage_counts(in_stages(spark, sf_dir), ["task", "model"], "stages", F.col("status") == "valid")
+    entry = F.struct(F.concat(F.lit("stage_"), "stage").alias("k"), F.struct("known", "reached").alias("v"))
+    maps = d.groupBy("task", "model").agg(F.map_from_entries(F.collect_list(entry)).alias("stages"))
+    groups = trials(spark, sf_dir).select("task", "model").distinct().join(maps, ["task", "model"], "left")
+    path = tables.scratch(spark, "stage-csv")
+    tables.publish_csv(catalogs.stage_rows(groups, ["task", "model"], "stages"), path)
+    return spark.read.option("header", True).csv(path)
+
+
+@query(TRIALS_SQL + """, g AS (SELECT task, model, count(*) AS members, count(*) FILTER (status = 'valid') AS eligible, count(*) FILTER (status = 'valid' AND success IS NOT NULL) AS known, count(*) FILTER (status = 'valid' AND success) AS successes FROM tr GROUP BY task, model),
+s AS (SELECT *, unnest(['all', CASE WHEN model = 'MACHINERY' THEN 'machinery' END, CASE WHEN task LIKE '1%' OR task LIKE '2%' THEN 'urgent' END]) AS selection FROM g),
+n AS (SELECT unnest(['all', 'machinery', 'urgent', 'nothing']) AS selection), a AS (SELECT selection, count(*) AS groups, sum(members) AS members, sum(eligible) AS eligible, sum(known) AS known, sum(successes) AS successes FROM s GROUP BY selection)
+SELECT selection, coalesce(groups, 0) AS groups, CAST(coalesce(members, 0) AS BIGINT) AS members, CAST(coalesce(eligible, 0) AS BIGINT) AS eligible, CAST(coalesce(known, 0) AS BIGINT) AS known, CAST(coalesce(successes, 0) AS BIGINT) AS successes,
+round(successes / nullif(known, 0), 6) AS rate FROM n LEFT JOIN a USING (selection)""")
+def selection_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of several selections of groups, rates from the summed counts."""
+    d = trials(spark, sf_dir).withColumn("ok", F.col("status") == "valid")
+    groups = cohorts.group_summary(d, ["task", "model"], "ok", "success", "success").select("task", "model", "members", "eligible", F.col("native_known").alias("known"), F.col("native_success").alias("successes"))
+    chosen = {"all": F.lit(True), "machinery": F.col("model") == "MACHINERY", "urgent": F.col("task").rlike("^[12]"), "nothing": F.col("task").isNull()}
+    out = catalogs.selection_totals(groups, chosen, ["members", "eligible", "known", "successes"], {"rate": ("successes", "known")})
+    return out.withColumn("rate", F.round("rate", 6))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.functions.numbers import micros
 from tidewater.operators import features
+from tidewater.operators.clock import in_order
 from tidewater.plans.registry import query, samples, table
 
 K, BY = ["k"], ["t", "id"]
@@ -108,3 +110,36 @@ def ordered_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat("l_linestatus", "l_returnflag").alias("name")
     d = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", name).agg(F.sum(F.col("l_quantity").cast("double")).alias("v"))
     return features.canonical_links(d, "name", "v", ["l_orderkey"], ["FR", "FA", "ON"], shown=True)
+
+
+REBUILT_SQL = """WITH x AS (SELECT user_id AS k, event_id AS id, row_number() OVER w - 1 AS i, epoch_us(ts) AS t, value AS v, lead(epoch_us(ts)) OVER w AS nt, lead(value) OVER w AS nv FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+f AS (SELECT k, id, i, v + (nv - v) * (((nt - t) // 2)::DOUBLE / (nt - t)) AS o, floor(v) AS c FROM x WHERE i % 3 = 0 AND nt IS NOT NULL),
+r AS (SELECT *, lead(o) OVER w AS a0, lead(c) OVER w AS a1, lead(1) OVER w AS more FROM f WINDOW w AS (PARTITION BY k ORDER BY i))"""
+
+
+def rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third event as a frame halfway to the next one, its command the event's whole value; with the frame's id."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("id"), micros(F.col("ts")).alias("t"), "value")
+    w = in_order(K, *BY)
+    e = e.withColumn("i", (F.row_number().over(w) - 1).cast("long")).withColumn("nt", F.lead("t").over(w))
+    frames = e.where((F.col("i") % 3 == 0) & F.col("nt").isNotNull()).select("k", "i", "id", (F.col("t") + F.floor((F.col("nt") - F.col("t")) / 2).cast("long")).alias("t"))
+    states = e.select("k", "t", F.array("value").alias("m"))
+    commands = e.select("k", "i", F.array(F.floor("value").cast("double")).alias("c"))
+    return features.rebuilt_actions(frames, states, commands, K, "i", "t", "m", "i", "c").join(frames.select("k", "i", "id"), ["k", "i"])
+
+
+@query(REBUILT_SQL + " SELECT k, i, [round(o, 4)] AS observed, [round(a0, 4), a1] AS action FROM r WHERE more IS NOT NULL")
+def rebuilt_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations and next-frame actions from states and commands."""
+    near = lambda c: F.transform(c, lambda x: F.round(x, 4)).alias(c)
+    return rebuilt(spark, sf_dir).select("k", "i", near("observed"), near("action"))
+
+
+@query(REBUILT_SQL + """ SELECT k, count(*) AS frames, count(*) FILTER (id % 43 = 0) AS missing, 0::BIGINT AS extra, count(*) FILTER (id % 29 = 0 AND id % 43 <> 0) AS off,
+round(max(CASE WHEN id % 43 <> 0 THEN CASE WHEN id % 29 = 0 THEN 1.0 ELSE 0.0 END END), 6)::DOUBLE AS most, min(i) FILTER (id % 29 = 0 AND id % 43 <> 0) AS first_off FROM r WHERE more IS NOT NULL GROUP BY k""")
+def published_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A release in which some actions are shifted and some are missing, against the rebuilt ones."""
+    d = rebuilt(spark, sf_dir)
+    shifted = F.when(F.col("id") % 29 == 0, F.array(F.col("action")[0] + 1, F.col("action")[1])).otherwise(F.col("action"))
+    published = d.where(F.col("id") % 43 != 0).select("k", "i", shifted.alias("action"))
+    return features.action_errors(d, published, K, "i", "action", 1e-6).withColumn("most", F.round("most", 6))

@@ -117,9 +117,12 @@ def contact_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(paired.continuity(d, K, BY, "t", "dur", "touch", "gap"), 6, "share")
 
 
-@query("""WITH {samples}, c AS (SELECT *, v > 100 AS on_, row_number() OVER w AS i, count(*) OVER (PARTITION BY k) AS n FROM s WINDOW w AS (PARTITION BY k ORDER BY t, id)),
+ONSET_SQL = """WITH {samples}, c AS (SELECT *, v > 100 AS on_, row_number() OVER w AS i, count(*) OVER (PARTITION BY k) AS n FROM s WINDOW w AS (PARTITION BY k ORDER BY t, id)),
 r AS (SELECT *, sum(CASE WHEN lag_on IS NOT DISTINCT FROM on_ AND i > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY i) AS run FROM (SELECT *, lag(on_) OVER (PARTITION BY k ORDER BY i) AS lag_on FROM c))
-SELECT k, min(t) AS start, max(t) AS "end", count(*) AS samples, min(i) = 1 AS cut_left, max(i) = any_value(n) AS cut_right FROM r WHERE on_ GROUP BY k, run""")
+SELECT k, min(t) AS start, max(t) AS "end", count(*) AS samples, min(i) = 1 AS cut_left, max(i) = any_value(n) AS cut_right FROM r WHERE on_ GROUP BY k, run"""
+
+
+@query(ONSET_SQL)
 def contact_onsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paired.onsets(samples(spark, sf_dir).withColumn("touch", F.col("v") > 100), K, BY, "t", "touch")
 
@@ -143,3 +146,14 @@ def contact_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     on = lambda ch: F.bool_or((F.col("ch") == ch) & F.coalesce(F.col("v") > 100, F.lit(False)))
     h = samples(spark, sf_dir).groupBy("k", F.floor(F.col("t") / (24 * HOUR)).alias("h")).agg(on("click").alias("a"), on("view").alias("b"))
     return rounded(evidence.detection_scores(h, K, "a", "b").drop("hits", "false_alarms", "misses"), 6, "precision", "recall", "f1")
+
+
+@query("WITH o AS (" + ONSET_SQL + """), f AS (SELECT user_id AS k, event_id AS frame, epoch_us(ts) AS t FROM events WHERE event_id % 2 = 0)
+SELECT o.k, start, "end", max(frame) FILTER (t < start AND t = b AND NOT cut_left) AS before, max(frame) FILTER (t = n AND NOT cut_left) AS "on", max(frame) FILTER (t = l AND NOT cut_right) AS last, max(frame) FILTER (t = a AND NOT cut_right) AS after
+FROM (SELECT o.*, max(t) FILTER (t < start) AS b, min(t) FILTER (t >= start) AS n, max(t) FILTER (t <= "end") AS l, min(t) FILTER (t > "end") AS a FROM o LEFT JOIN f USING (k) GROUP BY ALL) o LEFT JOIN f USING (k) GROUP BY ALL""")
+def onset_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames (every second event) around each contact's onset and release."""
+    s = samples(spark, sf_dir)
+    contacts = paired.onsets(s.withColumn("touch", F.col("v") > 100), K, BY, "t", "touch")
+    frames = s.where(F.col("id") % 2 == 0).select("k", "t", F.col("id").alias("frame"))
+    return paired.onset_frames(contacts, frames, K, "t", "frame")

@@ -88,6 +88,26 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""WITH r AS (SELECT user_id AS k, event_id * 2 + j AS id, event_id AS e, j, event_id * 1000 - CASE WHEN event_id % 397 = 0 THEN 1000000000 ELSE 0 END + CASE WHEN event_id % 23 = 0 AND j = 1 THEN 1 ELSE 0 END AS t,
+  event_id * 1000 - CASE WHEN event_id % 397 = 0 THEN 1000000000 ELSE 0 END - CASE WHEN event_id % 13 = 0 THEN 2000 ELSE 1000 END AS start, CASE WHEN event_id % 17 <> 0 THEN floor(value) END AS x FROM events, (VALUES (0), (1)) j(j) WHERE j = 0 OR event_id % 19 <> 0),
+l AS (SELECT *, t < lag(t) OVER w AS back, lag(j) OVER w AS pj, lag(t) OVER w AS pt, lag(x) OVER w AS px, lag(t - start = 1000) OVER w AS pe FROM r WINDOW w AS (PARTITION BY k ORDER BY id)),
+m AS (SELECT *, min(id) FILTER (back) OVER (PARTITION BY k) AS stop FROM l),
+y AS (SELECT *, CASE WHEN id > stop THEN 'ended' WHEN id = stop THEN 'rewind' WHEN j = 0 THEN CASE WHEN t - start <> 1000 THEN 'inexact' WHEN x IS NULL THEN 'unknown' ELSE 'captured' END WHEN pj = 0 AND pt = t AND pe AND px IS NOT NULL THEN 'used' ELSE 'none' END AS why FROM m)
+SELECT k, t, id, why, CASE WHEN why = 'used' THEN px END AS value, coalesce(sum(CASE WHEN why = 'used' THEN px * 1000 END) OVER (PARTITION BY k ORDER BY id), 0) AS total FROM y""")
+def stream_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a capture of one step and its observation; some are twice as long, unobserved, late, unknown or go back."""
+    e, i = event_stream(spark, sf_dir), F.col("id")
+    base = i * 1000 - F.when(i % 397 == 0, 1_000_000_000).otherwise(0)
+    both = F.when(i % 19 == 0, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    rows = e.select("k", i.alias("e"), F.floor("v").cast("double").alias("x"), base.alias("b"), F.explode(both).alias("j"))
+    off = lambda n, by: F.when(F.col("e") % n == 0, by)
+    d = rows.select(
+        "k", (F.col("e") * 2 + F.col("j")).alias("id"), (F.col("b") + F.when(F.col("j") == 1, F.coalesce(off(23, 1), F.lit(0))).otherwise(0)).alias("t"),
+        (F.col("b") - off(13, 2000).otherwise(1000)).alias("start"), F.when(F.col("j") == 0, "capture").otherwise("observe").alias("kind"), "x",
+    )
+    return records.closed(records.captured_steps(d, "k", "id", "t", "start", "kind", "x", 1000), "captures")
+
+
 @query(f"""WITH RECURSIVE {{samples}}, x AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t, id) AS p FROM s),
 r AS (SELECT k, p, t, id, ch, t AS last, 'transition' AS why FROM x WHERE p = 1
 UNION ALL SELECT x.k, x.p, x.t, x.id, x.ch, CASE WHEN x.ch <> r.ch OR x.t - r.last >= {6 * HOUR} THEN x.t ELSE r.last END, CASE WHEN x.ch <> r.ch THEN 'transition' WHEN x.t - r.last >= {6 * HOUR} THEN 'interval' END

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater import reports
+from tidewater.operators import clock
 from tidewater.plans.cohorts import TRIALS_SQL, trials
 from tidewater.plans.registry import ORACLE, query, samples
+from tidewater.plans.stages import EDGES, PROGRESS_SQL
 from tidewater.plans.time import HOUR
 
 EVENTS_SQL = f"""WITH pl AS (SELECT * FROM ({ORACLE["plateau_events"]})), gr AS (SELECT k, start, "end", samples FROM ({ORACLE["growth_runs"]})),
@@ -51,3 +53,50 @@ def trial_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     invalid = {"price_too_low": price < 60000, "success_without_protocol": success & ~F.col("formal")}
     d = reports.summarize_trials(trials(spark, sf_dir).drop("status"), ["task"], missing, invalid, "success", "formal")
     return d.withColumn("rate", F.round("rate", 6))
+
+
+def tactile(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return reports.analyze_tactile(samples(spark, sf_dir), ["k"], "ch", "t", "id", "v", 100.0, 60.0, 6 * HOUR)
+
+
+@query(f"""SELECT c.*, weight, mean, std, p50, p95 FROM ({ORACLE["channel_load_stats"]}) c JOIN ({ORACLE["left_hold_weighted_stats"]}) w USING (k, ch)""")
+def tactile_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels of tactile records with their weighted intensity."""
+    both = tactile(spark, sf_dir)
+    d = both["channels"].withColumn("impulse", F.round(F.col("impulse") / 1e6, 2)).withColumns({c: F.round(c, 6) for c in ("coverage", "contact_share", "cv")})
+    w = both["intensity"].select("k", "ch", "weight", F.round("mean", 3).alias("mean"), F.round("std", 3).alias("std"), "p50", "p95")
+    return d.join(w, ["k", "ch"])
+
+
+def progressed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Samples with their share of the record as progress, unknown in every 13th."""
+    place = F.round(F.percent_rank().over(clock.in_order(["k"], "t", "id")), 9)
+    s = samples(spark, sf_dir).withColumn("_pr", place).withColumn("done", F.when(F.col("id") % 13 != 0, F.col("_pr"))).drop("_pr")
+    return reports.analyze_episode(s, ["k"], "t", "id", "done", "v", EDGES)
+
+
+@query(PROGRESS_SQL + " SELECT k, bin, samples, visits, first, observed, round(mean, 4) AS mean, peak FROM bins")
+def episode_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progressed(spark, sf_dir)["bins"].drop("delta").withColumn("mean", F.round("mean", 4))
+
+
+@query(PROGRESS_SQL + """ SELECT k, edge, min(t) AS reached FROM e, (SELECT unnest([0.2, 0.4, 0.6, 0.8, 1.0])::DOUBLE AS edge) WHERE id % 13 <> 0 AND pr >= edge GROUP BY k, edge""")
+def episode_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each edge of progress was reached first."""
+    return progressed(spark, sf_dir)["milestones"]
+
+
+@query(PROGRESS_SQL + " SELECT bin, count(*) AS episodes, count(mean) AS known, round(avg(mean), 4) AS mean, round(quantile_cont(mean, 0.5), 4) AS median FROM bins GROUP BY bin")
+def episode_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.summarize_population(progressed(spark, sf_dir)["bins"], [], "mean").withColumns({c: F.round(c, 4) for c in ("mean", "median")})
+
+
+@query(f"""SELECT c.*, over, excess, known, status FROM ({ORACLE["contact_continuity"]}) c JOIN ({ORACLE["load_report"]}) l USING (k)""")
+def contact_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = reports.assess_contact_quality(samples(spark, sf_dir), ["k"], "t", "id", "v", 100.0, 300.0)
+    return d.withColumn("share", F.round("share", 6)).withColumn("excess", F.round(F.col("excess") / 1e6, 2))
+
+
+@query(ORACLE["macro_success"])
+def aggregated_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.aggregate_reports(trials(spark, sf_dir), "task", "outcome").withColumn("macro", F.round("macro", 8))

@@ -68,6 +68,42 @@ def committed_steps(df: DataFrame, key: str, t: str, tie: str, kind: str, value:
     return _in_order(df, key, t, tie, [kind, value], "n long, staged long, value double, skipped long", schema, step)
 
 
+def captured_steps(df: DataFrame, key: str, order: str, t: str, start: str, kind: str, value: str, step: int) -> DataFrame:
+    """Values captured over exactly one step each, handed to the observation at the step's end; one row out for each row in.
+
+    Rows come in the order of ``order`` and are captures (from ``start`` to ``t``) or
+    observations (at ``t``). A capture of any other length, or of an unknown value, is
+    refused and clears what was captured; an observation takes the capture that ends
+    at its own clock, once. A clock that goes back, or is missing, ends the key: nothing after it counts. Gives
+    t, id (the order), why (captured, inexact, unknown, used, none, rewind or ended), value
+    (where used) and total (of values times ``step`` so far).
+    """
+    def advance(now: tuple | None, i: int, _: int, at: int | None, since: int | None, k: str | None, x: float | None) -> tuple[tuple, list]:
+        last, until, held, total, over = now or (None, None, None, 0.0, False)
+        state, why, out = (last, until, held, total, over), "ended", None
+        if not over and (at is None or (last is not None and at < last)):
+            state, why = (last, None, None, total, True), "rewind"
+        elif not over and k == "capture":
+            exact = since is not None and at - since == step
+            why = "inexact" if not exact else "unknown" if x is None else "captured"
+            state = (at, at, x, total, False) if why == "captured" else (at, None, None, total, False)
+        elif not over and until == at:
+            why, out = "used", held
+            total += held * step
+            state = (at, None, None, total, False)
+        elif not over:
+            state, why = (at, until, held, total, False), "none"
+        return state, [(None if at is None else int(at), i, why, out, total)]
+
+    kept = "last long, until long, held double, total double, over boolean"
+    out = f"{key} long, t long, id long, why string, value double, total double"
+    # Clocks go by as strings, for a column with a null would pass through floats on its way.
+    whole = [F.col(c).cast("string").alias(f"_{c}_") for c in (t, start)]
+    named = df.select(key, order, *whole, kind, value)
+    read = lambda now, i, j, at, since, k, x: advance(now, i, j, None if at is None else int(at), None if since is None else int(since), k, x)
+    return _in_order(named, key, order, order, [f"_{t}_", f"_{start}_", kind, value], kept, out, read)
+
+
 def closed(stream: DataFrame, tag: str) -> DataFrame:
     """Runs a stream over all data that is there into a table of its own, checks its count batch by batch, and reads it; without data it is empty."""
     return run_into(stream, scratch(stream.sparkSession, tag))["rows"]
