@@ -16,7 +16,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
+from itertools import accumulate, chain
 from pathlib import Path
 
 import numpy as np
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewater.llm.common import fill_missing, per_worker, text_chunks, texts_of, trimmed
+from tidewater.llm.common import per_worker, text_chunks, texts_of, trimmed
 
 #: doc_id of a row without one, in the files.
 NO_ID = -(2**63)
@@ -93,11 +93,12 @@ class ByteEncoder:
             for t in texts
         ]
         words = [p[1:] if p else [] for p in parts]
-        found = [list(map(rest.get, w)) for w in words]
-        fill_missing(words, found, rest, self._encode_words)
+        missing = [w for w in dict.fromkeys(chain.from_iterable(words)) if w not in rest]
+        if missing:
+            rest.update(zip(missing, self._encode_words(missing), strict=True))
         # First words, and texts that are not plain, as they stand.
         heads = self._encode([p[0] if p else t for p, t in zip(parts, texts, strict=True)])
-        return [h + b"".join(f) if f else h for h, f in zip(heads, found, strict=True)]
+        return [h + b"".join(map(rest.__getitem__, w)) if w else h for h, w in zip(heads, words, strict=True)]
 
 
 @per_worker
