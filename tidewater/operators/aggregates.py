@@ -63,10 +63,12 @@ def percentile_scale(df: DataFrame, key: list[str], v: str, floor: float = 1.0)
 
 
 def agreement(df: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
-    """How two streams agree: pairs, correlation, root mean square, mean absolute and mean difference."""
-    d = F.col(a) - F.col(b)
+    """How two streams agree: pairs, correlation (null where a side never varies), root mean square, mean absolute and mean difference."""
+    d, x, y = F.col(a) - F.col(b), F.stddev_pop(a), F.stddev_pop(b)
+    # F.corr divides by zero, which is an error, for a side that is constant over several pairs.
+    corr = F.when((x > 0) & (y > 0), F.covar_pop(a, b) / x / y)
     return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*key).agg(
-        F.count("*").alias("pairs"), F.corr(a, b).alias("corr"), F.sqrt(F.avg(d * d)).alias("rms"), F.avg(F.abs(d)).alias("mae"), F.avg(d).alias("bias")
+        F.count("*").alias("pairs"), corr.alias("corr"), F.sqrt(F.avg(d * d)).alias("rms"), F.avg(F.abs(d)).alias("mae"), F.avg(d).alias("bias")
     )
 
 
