@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tests.compare import assert_same
+from tests.compare import assert_same, sql_rows
 from tidewater.operators import aggregates
 from tidewater.plans import ORACLE, QUERIES
 
@@ -25,3 +25,11 @@ def test_agreement_of_a_stream_that_never_varies(spark, tmp_path):
         (1, 0, 'click', 5.0::DOUBLE), (1, 0, 'view', 1.0), (1, 1, 'click', 5.0), (1, 1, 'view', 2.0), (2, 0, 'click', 1.0), (2, 0, 'view', 3.0),
         (2, 1, 'click', 2.0), (2, 1, 'view', 7.0)) e(user_id, day, event_type, value)""", tmp_path / "events.parquet")
     assert assert_same(QUERIES["stream_agreement"](spark, str(tmp_path)), ORACLE["stream_agreement"], str(tmp_path)) == 2
+
+
+def test_packed_grids_keep_the_sign_of_zero(spark, tmp_path):
+    put("""SELECT 1::BIGINT AS vec_id, 0::INTEGER AS label, list_transform(range(64), lambda i: CASE i WHEN 0 THEN -3e-7 WHEN 1 THEN 3e-7 WHEN 2 THEN '-0.0'::DOUBLE WHEN 3 THEN -5 ELSE 0.0 END::FLOAT) AS embedding""", tmp_path / "embeddings.parquet")
+    got = QUERIES["packed_grids"](spark, str(tmp_path)).first()
+    _, want = sql_rows(ORACLE["packed_grids"].replace("AS grid", "::VARCHAR AS grid"), str(tmp_path))
+    ((grid, _, _),) = want
+    assert str(got.grid) == grid and str(got.grid).count("-0.0,") == 2

@@ -14,6 +14,12 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Rounds half away from zero; unlike F.round, what becomes zero keeps its sign, as in other engines."""
+    r = F.round(x, digits)
+    return F.when(r == 0, x * 0.0).otherwise(r)
+
+
 def wilson(successes: Column, trials: Column) -> tuple[Column, Column]:
     """The 95 % Wilson interval, null without trials."""
     n, z2 = trials.cast("double"), F.lit(Z95 * Z95)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.functions.numbers import micros
+from tidewater.functions.numbers import micros, rounded
 from tidewater.operators import features
 from tidewater.operators.clock import in_order
 from tidewater.plans.registry import query, samples, table
@@ -54,7 +54,7 @@ SELECT vec_id, list_transform(q, lambda x: round(CASE WHEN odd = 1 THEN -x ELSE
 def continuous_quaternions(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.when(F.col("vec_id") % 9 == 0, F.array_repeat(F.lit(0.0), 4)).otherwise(F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")))
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", q.alias("q"))
-    return features.continuous_signs(e, ["label"], ["vec_id"], "q").select("vec_id", F.transform("q", lambda x: F.round(x, 6)).alias("q"))
+    return features.continuous_signs(e, ["label"], ["vec_id"], "q").select("vec_id", F.transform("q", lambda x: rounded(x, 6)).alias("q"))
 
 
 @query("""WITH c AS (SELECT l_orderkey, count(*) AS rows FROM lineitem GROUP BY 1), r AS (SELECT *, CAST(sum(rows) OVER (ORDER BY l_orderkey) AS BIGINT) AS "end" FROM c) SELECT l_orderkey, rows, "end" - rows AS start, "end" FROM r""")
@@ -93,14 +93,14 @@ def relative_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = F.array(*map(F.lit, (1.0, 0.0, 0.0, 0.1, 0.0, 1.0, 0.0, 0.2, 0.0, 0.0, 1.0, 0.3, 0.0, 0.0, 0.0, 1.0)))
     d = table(spark, sf_dir, "embeddings").select("vec_id", pose.alias("m"))
     d = d.withColumn("rel", features.composed(features.rigid_inverse(F.col("m")), target)).withColumn("abs", features.composed(F.col("m"), F.col("rel")))
-    at = lambda c: F.array(*[F.round(F.col(c)[i], 6) for i in (3, 7, 11)])
+    at = lambda c: F.array(*[rounded(F.col(c)[i], 6) for i in (3, 7, 11)])
     return d.select("vec_id", at("rel").alias("relative"), at("abs").alias("absolute"))
 
 
 @query("""SELECT vec_id, list_transform(range(64), lambda i: round(greatest(-0.1, least(0.1, CAST(embedding[1 + (i % 8) * 8 + i // 8] AS DOUBLE))), 6)) AS grid, list_transform(range(6), lambda i: CASE WHEN i IN (1, 4) THEN 1 ELSE 0 END) AS mask FROM embeddings""")
 def packed_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = features.packed_grid(F.col("embedding"), 8, 8, -0.1, 0.1)
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(grid, lambda x: F.round(x, 6)).alias("grid"), features.state_mask([1, 4], 6).alias("mask"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(grid, lambda x: rounded(x, 6)).alias("grid"), features.state_mask([1, 4], 6).alias("mask"))
 
 
 @query("""WITH l AS (SELECT l_orderkey, l_linestatus || l_returnflag AS name, sum(CAST(l_quantity AS DOUBLE)) AS v FROM lineitem GROUP BY 1, 2), g AS (SELECT l_orderkey, map_from_entries(list((name, v))) AS m, list_sort(list(name) FILTER (name NOT IN ('FR', 'FA', 'ON'))) AS unknown FROM l GROUP BY 1)
@@ -131,7 +131,7 @@ def rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(REBUILT_SQL + " SELECT k, i, [round(o, 4)] AS observed, [round(a0, 4), a1] AS action FROM r WHERE more IS NOT NULL")
 def rebuilt_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations and next-frame actions from states and commands."""
-    near = lambda c: F.transform(c, lambda x: F.round(x, 4)).alias(c)
+    near = lambda c: F.transform(c, lambda x: rounded(x, 4)).alias(c)
     return rebuilt(spark, sf_dir).select("k", "i", near("observed"), near("action"))
 
 
