@@ -33,3 +33,24 @@ def test_packed_grids_keep_the_sign_of_zero(spark, tmp_path):
     _, want = sql_rows(ORACLE["packed_grids"].replace("AS grid", "::VARCHAR AS grid"), str(tmp_path))
     ((grid, _, _),) = want
     assert str(got.grid) == grid and str(got.grid).count("-0.0,") == 2
+
+
+def stage_tables(folder: Path, lines: str) -> str:
+    """One valid trial with the given lines (number, flag)."""
+    put("SELECT 1::BIGINT AS c_custkey, 'FURNITURE' AS c_mktsegment", folder / "customer.parquet")
+    put("SELECT 7::BIGINT AS o_orderkey, 1::BIGINT AS o_custkey, 'F' AS o_orderstatus, 100000.0::DOUBLE AS o_totalprice, '2-HIGH' AS o_orderpriority", folder / "orders.parquet")
+    put(f"SELECT 7::BIGINT AS l_orderkey, l::INTEGER AS l_linenumber, f AS l_returnflag FROM {lines} x(l, f)", folder / "lineitem.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["stage_counts", "group_stage_summary", "stage_csv"])
+def test_stages_without_a_number_come_last(spark, tmp_path, name):
+    folder = stage_tables(tmp_path, "(VALUES (NULL, 'R'), (1, 'N'), (2, 'A'), (NULL, 'A'), (2, 'R'))")
+    assert assert_same(QUERIES[name](spark, folder), ORACLE[name], folder) == 5
+
+
+@pytest.mark.parametrize("name", ["stage_counts", "group_stage_summary", "stage_csv"])
+def test_stages_beyond_the_nineteenth_are_kept(spark, tmp_path, name):
+    """The SQL of these queries lists the first 19 stages of a trial only; the queries list all."""
+    folder = stage_tables(tmp_path, "(SELECT i, CASE WHEN i % 2 = 0 THEN 'R' ELSE 'N' END FROM range(1, 26) r(i))")
+    assert assert_same(QUERIES[name](spark, folder), ORACLE[name].replace("range(1, 20)", "range(1, 26)"), folder) == 25

@@ -16,9 +16,9 @@ st AS (SELECT id, list(s ORDER BY line, s NULLS FIRST) AS stages FROM li GROUP B
 
 
 def in_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trials with the flags of their stages in order (R: reached, N: not, A: unknown)."""
+    """Trials with the flags of their stages in order (R: reached, N: not, A: unknown); lines without a number come last."""
     s = F.when(F.col("l_returnflag") == "R", True).when(F.col("l_returnflag") == "N", False)
-    of = F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("i"), s.alias("x"))))
+    of = F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").isNull().alias("no"), F.col("l_linenumber").alias("i"), s.alias("x"))))
     per = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.transform(of, lambda r: r["x"]).alias("stages"))
     return trials(spark, sf_dir).join(per, "id")
 
