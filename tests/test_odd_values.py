@@ -6,9 +6,10 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import assert_same, sql_rows
-from tidewater.operators import aggregates
+from tidewater.operators import aggregates, cohorts
 from tidewater.plans import ORACLE, QUERIES
 
 
@@ -54,3 +55,19 @@ def test_stages_beyond_the_nineteenth_are_kept(spark, tmp_path, name):
     """The SQL of these queries lists the first 19 stages of a trial only; the queries list all."""
     folder = stage_tables(tmp_path, "(SELECT i, CASE WHEN i % 2 = 0 THEN 'R' ELSE 'N' END FROM range(1, 26) r(i))")
     assert assert_same(QUERIES[name](spark, folder), ORACLE[name].replace("range(1, 20)", "range(1, 26)"), folder) == 25
+
+
+def test_differences_count_repeats_in_one_aggregation(spark):
+    a = spark.createDataFrame([(1, "x")] * 3 + [(2, None)] * 2 + [(3, "y")], "i int, s string")
+    b = spark.createDataFrame([(1, "x")] + [(2, None)] * 3 + [(4, "y")] * 70_000, "i int, s string")
+    d = cohorts.differences(a, b)
+    assert {(r.i, r.s, r.side): r["count"] for r in d.groupBy("i", "s", "side").count().collect()} == {
+        (1, "x", "missing"): 2, (2, None, "unexpected"): 1, (3, "y", "missing"): 1, (4, "y", "unexpected"): 70_000,
+    }
+    assert d.columns == ["i", "s", "side"] and "replicaterows" not in d._jdf.queryExecution().toString()
+
+
+def test_tasks_grow_in_number_with_the_rows(spark, sf_dir):
+    d = cohorts.dealt(spark.range(1000).withColumn("k", F.col("id") % 100), ["k"], rows=100)
+    assert d.rdd.getNumPartitions() == 11 and d.withColumn("p", F.spark_partition_id()).groupBy("k").agg(F.countDistinct("p").alias("n")).where("n > 1").count() == 0
+    assert "REPARTITION_BY_NUM" in QUERIES["published_against_rebuilt"](spark, sf_dir)._jdf.queryExecution().toString()
