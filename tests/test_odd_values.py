@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tests.compare import assert_same, sql_rows
 from tidewater.operators import aggregates, cohorts
 from tidewater.plans import ORACLE, QUERIES
+from tidewater.streaming import late
 
 
 def put(select: str, path: Path) -> None:
@@ -71,3 +72,19 @@ def test_tasks_grow_in_number_with_the_rows(spark, sf_dir):
     d = cohorts.dealt(spark.range(1000).withColumn("k", F.col("id") % 100), ["k"], rows=100)
     assert d.rdd.getNumPartitions() == 11 and d.withColumn("p", F.spark_partition_id()).groupBy("k").agg(F.countDistinct("p").alias("n")).where("n > 1").count() == 0
     assert "REPARTITION_BY_NUM" in QUERIES["published_against_rebuilt"](spark, sf_dir)._jdf.queryExecution().toString()
+
+
+def test_late_rows_share_groups_and_a_batch_runs_once(spark, tmp_path):
+    spark.range(3000).select(F.col("id").alias("k"), "id", F.timestamp_millis(F.col("id") * 1000).alias("ts")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k long, id long, ts timestamp").parquet(str(tmp_path / "in"))
+    marked, kept = late.marked_late(stream, "k", "ts", "5 seconds"), []
+    assert marked.columns == ["k", "id", "ts", "late"]
+    assert "_shard" in marked._jdf.queryExecution().toString()
+
+    def split(batch):
+        kept.append(batch.storageLevel.useMemory)
+        return {"on_time": batch.where(~F.col("late")), "late": batch.where("late")}
+
+    sinks = late.run_into(marked, str(tmp_path / "out"), split)
+    assert sinks["on_time"].count() == 3000 and sinks["late"].count() == 0
+    assert len(kept) > 1 and all(kept[1:])

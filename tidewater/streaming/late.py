@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+#: Groups among which marked_late deals the keys.
+SHARDS = 128
+
 
 def marked_late(df: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
     """The rows of a stream with late: whether ``ts`` was behind the watermark (``delay`` behind the latest time of earlier micro-batches).
 
     Nothing is dropped. Rows that come in the same micro-batch as the time that
-    moves the watermark are on time, and so is a row without a time.
+    moves the watermark are on time, and so is a row without a time. Keys share
+    ``SHARDS`` groups, so a micro-batch takes as many calls however many keys it has.
     """
     schema = StructType([*df.schema.fields]).add("late", "boolean")
 
@@ -23,11 +27,11 @@ def marked_late(df: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
         watermark = state.getCurrentWatermarkMs()
         for f in frames:
             f["late"] = (f["_ms"] < watermark).fillna(False).astype(bool)
-            yield f.drop(columns="_ms")
+            yield f[schema.names]
 
     # The state stays empty: the operator is stateful only to see the query's watermark.
     timed = df.withColumn("_ms", F.unix_millis(F.col(ts).cast("timestamp"))).withWatermark(ts, delay)
-    return timed.groupBy(key).applyInPandasWithState(mark, schema, "nothing int", "append", GroupStateTimeout.NoTimeout)
+    return timed.withColumn("_shard", F.pmod(F.xxhash64(key), F.lit(SHARDS))).groupBy("_shard").applyInPandasWithState(mark, schema, "nothing int", "append", GroupStateTimeout.NoTimeout)
 
 
 def sessions(df: DataFrame, key: str, ts: str, delay: str, gap_ms: int) -> DataFrame:
@@ -87,8 +91,13 @@ def run_into(stream: DataFrame, path: str, split: Callable[[DataFrame], dict[str
         said.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}-counts/batch={number}")
 
     def keep(batch: DataFrame, number: int) -> None:
-        for name, part in split(batch).items():
-            put(name, part, number)
+        # Each sink would run the micro-batch anew, its state included.
+        batch.persist()
+        try:
+            for name, part in split(batch).items():
+                put(name, part, number)
+        finally:
+            batch.unpersist()
 
     nothing = split(spark.createDataFrame([], stream.schema))
     for name, part in nothing.items():
