@@ -91,8 +91,8 @@ def run_into(stream: DataFrame, path: str, split: Callable[[DataFrame], dict[str
         said.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}-counts/batch={number}")
 
     def keep(batch: DataFrame, number: int) -> None:
-        # Each sink would run the micro-batch anew, its state included.
-        batch.persist()
+        if len(nothing) > 1:  # each sink would run the micro-batch anew, its state included
+            batch.persist()
         try:
             for name, part in split(batch).items():
                 put(name, part, number)
